@@ -27,17 +27,17 @@ def split_sql(key: str) -> str:
 
 
 def series(spark: SparkSession, sf: str, hot_rows: int | None = None) -> DataFrame:
-    """(clip_id, t, value, valid, event_type, event_id, ts): one frame row per event."""
+    """(clip_id, t, value, x, valid, event_type, event_id, ts): one frame row per event."""
     events = table(spark, sf, "events").select(
         F.col("user_id").alias("clip_id"), "event_id", "ts", "event_type", "value",
-        (F.col("event_type") != "error").alias("valid"),
+        (F.col("event_type") != "error").alias("valid"), F.sqrt("value").alias("x"),
     )
     extra = {} if hot_rows is None else {"hot_rows": hot_rows}
     return positions(events, ["clip_id"], ["ts", "event_id"], **extra)
 
 
 SERIES = """series AS (
-  SELECT user_id AS clip_id, event_id, ts, event_type, value, event_type <> 'error' AS valid,
+  SELECT user_id AS clip_id, event_id, ts, event_type, value, event_type <> 'error' AS valid, sqrt(value) AS x,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t
   FROM events)"""
 
@@ -62,12 +62,12 @@ SAMPLES = f"""samples AS (
 
 def clips(spark: SparkSession, sf: str) -> DataFrame:
     """(clip_id, speaker_id, source_id, start_s, end_s, duration_s, split, status, priority, added)."""
-    day = F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("double")
+    start = (F.col("o_orderkey") * 60).cast("double")  # clips last at most 50 s, so none overlap
     duration = F.col("o_totalprice") / F.lit(1e4)
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("clip_id"), F.col("o_custkey").alias("speaker_id"),
         F.concat_ws(":", F.col("o_custkey"), F.year("o_orderdate")).alias("source_id"),
-        day.alias("start_s"), (day + duration).alias("end_s"), duration.alias("duration_s"),
+        start.alias("start_s"), (start + duration).alias("end_s"), duration.alias("duration_s"),
         split_of(F.col("o_custkey")).alias("split"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("added"),
     )
@@ -76,8 +76,7 @@ def clips(spark: SparkSession, sf: str) -> DataFrame:
 CLIPS = f"""clips AS (
   SELECT o_orderkey AS clip_id, o_custkey AS speaker_id,
          o_custkey::VARCHAR || ':' || year(o_orderdate)::VARCHAR AS source_id,
-         date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE AS start_s,
-         date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE + o_totalprice / 1e4 AS end_s,
+         (o_orderkey * 60)::DOUBLE AS start_s, (o_orderkey * 60)::DOUBLE + o_totalprice / 1e4 AS end_s,
          o_totalprice / 1e4 AS duration_s, {split_sql('o_custkey')} AS split,
          o_orderstatus AS status, o_orderpriority AS priority, o_orderdate AS added
   FROM orders)"""

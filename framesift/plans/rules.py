@@ -310,8 +310,8 @@ def b15(spark, sf):
 
 @query("b16_cell_labels", "B16", f"""
 WITH {CLIPS}, c AS (SELECT clip_id, ['real','sham','voice','source','donor','both'][(clip_id % 6 + 1)::INT] AS cell,
-    CASE WHEN status = 'F' THEN 'full' ELSE 'partial' END AS kind, round(duration_s, 4) AS d,
-    round(duration_s * 0.25, 4) AS a, round(duration_s * 0.5, 4) AS b FROM clips),
+    CASE WHEN status = 'F' THEN 'full' ELSE 'partial' END AS kind, round(duration_s, 1) AS d,
+    round(duration_s, 1) * 0.25 AS a, round(duration_s, 1) * 0.5 AS b FROM clips),
 t AS (SELECT *, printf('%.4f-%.4f', 0.0, d) AS whole, printf('%.4f-%.4f', a, b) AS part,
     CASE WHEN kind = 'full' THEN printf('%.4f-%.4f', 0.0, d) ELSE printf('%.4f-%.4f', a, b) END AS touched FROM c)
 SELECT clip_id, (cell NOT IN ('real', 'sham'))::BIGINT AS label,
@@ -322,7 +322,7 @@ SELECT clip_id, (cell NOT IN ('real', 'sham'))::BIGINT AS label,
 def b16(spark, sf):
     cell = nth(R.CELLS, F.col("clip_id") % 6)
     kind = F.when(F.col("status") == "F", LIT("full")).otherwise(LIT("partial"))
-    d = F.col("duration_s")
+    d = F.round("duration_s", 1)
     part = F.array(S.span(d * 0.25, d * 0.5))
     rows = clips(spark, sf).select("clip_id", R.cell_labels(cell, kind, d, part).alias("l"))
     return rows.select("clip_id", F.col("l.label"),
