@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.functions.hashing import stable_int
-from framesift.operators.ordered import BLOCK, halo, positions, previous, running
+from framesift.operators.ordered import (
+    BLOCK, HOT_ROWS, halo, positions, previous, running, settle,
+)
 
 
 def range_join(points: DataFrame, spans: DataFrame, keys: list[str], pos: str, a: str, b: str,
@@ -24,7 +26,8 @@ def range_join(points: DataFrame, spans: DataFrame, keys: list[str], pos: str, a
     return left.join(right, [*keys, "_bucket"]).where(inside).drop("_bucket")
 
 
-def as_of(grid: DataFrame, rows: DataFrame, keys: list[str], pos: str, columns: list[str]) -> DataFrame:
+def as_of(grid: DataFrame, rows: DataFrame, keys: list[str], pos: str, columns: list[str],
+          hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Last row at or before each grid point, as one ordered pass over grid ∪ rows.
 
     Both sides have `keys` and `pos`; a grid point before the first row gets NULLs.
@@ -32,7 +35,7 @@ def as_of(grid: DataFrame, rows: DataFrame, keys: list[str], pos: str, columns:
     packed = F.struct(*columns)
     both = rows.select(*keys, pos, packed.alias("_row"), F.lit(0).alias("_grid")).unionByName(
         grid.select(*keys, pos, F.lit(1).alias("_grid")), allowMissingColumns=True)
-    filled = running(both, keys, [pos, "_grid"], {"_last": ("last", F.col("_row"))})
+    filled = running(both, keys, [pos, "_grid"], {"_last": ("last", F.col("_row"))}, hot_rows=hot_rows)
     return filled.where("_grid = 1").select(
         *keys, pos, *[F.col("_last")[c].alias(c) for c in columns])
 
@@ -71,20 +74,22 @@ def lag_sums(df: DataFrame, keys: list[str], pos: str, terms: dict, valid: str,
     return long.withColumns({t: F.when(enough, F.col(t)) for t in terms})
 
 
-def donors(df: DataFrame, group: list[str], ident: str, size: str, shorter: float, seed: str) -> DataFrame:
+def donors(df: DataFrame, group: list[str], ident: str, size: str, shorter: float, seed: str,
+           hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Pool size and one donor per row, without listing pairs.
 
     A donor is another row of the group whose size is at least `size − shorter`. Sorted by falling
     size the pool is a prefix, so a running count gives its length and a hash picks a position in
     it (own position skipped). Rows of one source must not overlap in time, as cut clips never do.
     """
-    ranked = positions(df, group, [f"-{size}", ident], "_pos")
+    hot_rows = settle(df, group, hot_rows)
+    ranked = positions(df, group, [f"-{size}", ident], "_pos", hot_rows)
     reach = F.col(size) - F.lit(shorter) - F.lit(1e-6)
     marks = ranked.select(*group, F.col(size).alias("_x"), F.lit(0).alias("_ask"), F.lit(1).alias("_one"))
     asks = ranked.select(*group, reach.alias("_x"), F.lit(1).alias("_ask"), F.lit(0).alias("_one"),
                          ident, "_pos")
     counted = running(marks.unionByName(asks, allowMissingColumns=True), group, ["-_x", "_ask"],
-                      {"_n": ("sum", F.col("_one"))}).where("_ask = 1")
+                      {"_n": ("sum", F.col("_one"))}, hot_rows=hot_rows).where("_ask = 1")
     pool = (F.col("_n") - 1).cast("long")
     k = stable_int(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string"))) % F.col("pool")
     chosen = counted.withColumn("pool", pool).select(
@@ -94,16 +99,18 @@ def donors(df: DataFrame, group: list[str], ident: str, size: str, shorter: floa
     return chosen.join(picks, [*group, "_pos"], "left").drop("_pos")
 
 
-def nearest_donor(df: DataFrame, group: list[str], ident: str, size: str, shorter: float) -> DataFrame:
+def nearest_donor(df: DataFrame, group: list[str], ident: str, size: str, shorter: float,
+                  hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Donor of the closest size (the longer one on a tie), else the longest of the group.
 
     The closest rows are the neighbours in size order, so no pairs are formed.
     """
+    hot_rows = settle(df, group, hot_rows)
     row = {"_id": ident, "_size": size}
     low = previous(df.select(*group, ident, size), group, [size, ident],
-                   {f"low{k}": v for k, v in row.items()})
+                   {f"low{k}": v for k, v in row.items()}, hot_rows)
     flipped = low.withColumn("_neg", -F.col(size)).withColumn("_negid", -F.col(ident))
-    both = previous(flipped, group, ["_neg", "_negid"], {f"high{k}": v for k, v in row.items()})
+    both = previous(flipped, group, ["_neg", "_negid"], {f"high{k}": v for k, v in row.items()}, hot_rows)
     fits = F.col("low_size") >= F.col(size) - F.lit(shorter) - F.lit(1e-6)
     down = F.when(fits, F.col(size) - F.col("low_size"))
     up = F.col("high_size") - F.col(size)

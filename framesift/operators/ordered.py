@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from framesift.session import checkpointed
+
 HOT_ROWS = 1_000_000  # rows of one key that one task may sort
 HOT_KEYS = 2_000  # a key is cut only above 1/HOT_KEYS of all rows, so at most this many are
 RANGE_BITS = 10  # a heavy key is cut into up to 2**RANGE_BITS ranges
@@ -61,6 +63,7 @@ class OrderedRows:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    split: bool
 
     def fold(self, specs: dict[str, tuple[str, Column]], exclusive: bool = False) -> OrderedRows:
         """Add running values per key: name → (sum | max | min | last, column).
@@ -68,7 +71,8 @@ class OrderedRows:
         `exclusive` leaves the current row out. NULLs are skipped by every fold.
         """
         frame = (W.unboundedPreceding, -1 if exclusive else W.currentRow)
-        inner = W.partitionBy(*self.keys, "_range").orderBy(*sort_columns(list(self.order)))
+        ranges = ["_range"] if self.split else []
+        inner = W.partitionBy(*self.keys, *ranges).orderBy(*sort_columns(list(self.order)))
         inner = inner.rowsBetween(*frame)
         outer = W.partitionBy(*self.keys).orderBy("_range")
         outer = outer.rowsBetween(W.unboundedPreceding, -1)
@@ -87,6 +91,8 @@ class OrderedRows:
         ):
             raise ValueError("A last-value fold needs ascending order columns")
         rows = self.df.withColumns(local)
+        if not self.split:
+            return replace(self, df=rows)
         heavy = self.df.where("_heavy").groupBy(*self.keys, "_range").agg(*totals)
         carry = heavy.select(*self.keys, "_range", *carries)
         joined = rows.join(carry, [*self.keys, "_range"], "left")
@@ -116,14 +122,40 @@ def _combine(how: str, carry: Column, local: Column) -> Column:
     return {"max": F.greatest, "min": F.least}[how](carry, local)
 
 
+def light(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
+    """True when no key holds more than max(hot_rows, all rows / HOT_KEYS) rows.
+
+    One aggregate over the key columns; only its largest and total count reach the driver.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    top, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return top is None or top <= max(hot_rows, total // HOT_KEYS)
+
+
+def settle(df: DataFrame, keys: list[str], hot_rows: int | None) -> int | None:
+    """`hot_rows`, or None when a check shows that every key is light.
+
+    Operators that chain several ordered steps over the same keys check once and hand the result
+    on: a later step never has more rows per key than a small multiple of the first.
+    """
+    return None if hot_rows is None or light(df, keys, hot_rows) else hot_rows
+
+
 def ordered(
-    df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = HOT_ROWS
 ) -> OrderedRows:
-    """Attach ranges. A key is heavy above max(hot_rows, all rows / HOT_KEYS).
+    """Attach ranges. With only light keys (or `hot_rows=None`: known to be light) there is one
+    range per key and no second level.
 
-    The table of heavy keys therefore has at most HOT_KEYS rows, which is what makes it safe to
-    broadcast. With no heavy key its branch is empty and adaptive execution drops it.
+    Otherwise the rows are written once to the shared folder and keys above max(hot_rows, all rows
+    / HOT_KEYS) are cut at quantiles of the first order column. There are at most HOT_KEYS such
+    keys, which is what makes it safe to broadcast them.
     """
+    hot_rows = settle(df, keys, hot_rows)
+    if hot_rows is None:
+        plain = df.withColumn("_range", F.lit(0)).withColumn("_heavy", F.lit(False))
+        return OrderedRows(plain, tuple(keys), tuple(order), split=False)
+    df = checkpointed(df)
     first = order[0].lstrip("-")
     x = _as_number(df, first)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -143,11 +175,11 @@ def ordered(
             F.lit(sign) * F.coalesce(_range_of(x, F.col("_cuts")), F.lit(0))
         ),
     )
-    return OrderedRows(out.drop("_cuts"), tuple(keys), tuple(order))
+    return OrderedRows(out.drop("_cuts"), tuple(keys), tuple(order), split=True)
 
 
 def positions(
-    df: DataFrame, keys: list[str], order: list[str], name: str = "t", hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], name: str = "t", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Dense 0-based position of each row inside its key."""
     folded = ordered(df, keys, order, hot_rows).fold({name: ("sum", F.lit(1).cast("long"))})
@@ -160,14 +192,15 @@ def running(
     order: list[str],
     specs: dict[str, tuple[str, Column]],
     exclusive: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Running folds per key, see `OrderedRows.fold`."""
     return ordered(df, keys, order, hot_rows).fold(specs, exclusive).rows()
 
 
 def previous(
-    df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str],
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Value of the row just before: {new name: column}. NULL on the first row of a key."""
     row = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
@@ -238,7 +271,8 @@ def runs(
 
 
 def merge_spans(
-    df: DataFrame, keys: list[str], a: str, b: str, gap: float = 0.0, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], a: str, b: str, gap: float = 0.0,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Union of spans per key: a span joins the open one when it starts at most `gap` after its end."""
     spans = ordered(df.select(*keys, a, b), keys, [a, b], hot_rows)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.hashing import split_of
 from framesift.functions.vectors import doubles
-from framesift.operators.ordered import positions
+from framesift.operators.ordered import HOT_ROWS, positions, settle
 from framesift.session import table
 
 DIMENSIONS = 64
@@ -26,14 +26,18 @@ def split_sql(key: str) -> str:
     return f"(CASE WHEN {h} < 12 THEN 'train' WHEN {h} < 15 THEN 'validation' ELSE 'test' END)"
 
 
-def series(spark: SparkSession, sf: str, hot_rows: int | None = None) -> DataFrame:
+def event_limit(spark: SparkSession, sf: str, hot_rows: int = HOT_ROWS) -> int | None:
+    """None when no user is heavy, so the ordered steps of a query over events need no ranges."""
+    return settle(table(spark, sf, "events"), ["user_id"], hot_rows)
+
+
+def series(spark: SparkSession, sf: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """(clip_id, t, value, x, valid, event_type, event_id, ts): one frame row per event."""
     events = table(spark, sf, "events").select(
         F.col("user_id").alias("clip_id"), "event_id", "ts", "event_type", "value",
         (F.col("event_type") != "error").alias("valid"), F.sqrt("value").alias("x"),
     )
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
-    return positions(events, ["clip_id"], ["ts", "event_id"], **extra)
+    return positions(events, ["clip_id"], ["ts", "event_id"], hot_rows=hot_rows)
 
 
 SERIES = """series AS (

@@ -6,7 +6,7 @@ from framesift.functions import rules as R
 from framesift.functions import spans as S
 from framesift.operators import intervals as I
 from framesift.operators.ordered import merge_spans, previous, runs
-from framesift.plans.fixtures import CLIPS, SERIES, SPANS, clips, series, spans
+from framesift.plans.fixtures import CLIPS, SERIES, SPANS, clips, event_limit, series, spans
 from framesift.plans.registry import query
 from framesift.session import table
 
@@ -105,14 +105,16 @@ r2 AS (SELECT clip_id, greatest(0.0, a - 0.03::DOUBLE) AS a, least(duration, b +
 regions AS (SELECT * FROM {union_sql('r2', '0.0')})"""
 
 
-def regions(spark, sf, s):
+def regions(spark, sf, s, hot):
     durations = s.groupBy("clip_id").agg((F.count(LIT(1)) * 0.032).alias("duration"))
-    return I.speech_regions(s, ["clip_id"], "t", F.col("value") >= 30, durations, silence=0.04, pad=0.03, shortest=0.1)
+    return I.speech_regions(s, ["clip_id"], "t", F.col("value") >= 30, durations, silence=0.04, pad=0.03, shortest=0.1,
+                            hot_rows=hot)
 
 
 @query("c6_speech_regions", "C6", f"WITH {SERIES}, {REGIONS} SELECT clip_id, round(a, 4) AS a, round(b, 4) AS b FROM regions")
 def c6(spark, sf):
-    out = regions(spark, sf, series(spark, sf))
+    hot = event_limit(spark, sf)
+    out = regions(spark, sf, series(spark, sf, hot), hot)
     return out.select("clip_id", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
@@ -120,8 +122,9 @@ def c6(spark, sf):
 p AS (SELECT clip_id, start * 0.032::DOUBLE AS p, stop * 0.032::DOUBLE AS q FROM {runs_sql('value < 30')})
 SELECT p.clip_id, round(p, 3) AS a, round(q, 3) AS b FROM p WHERE EXISTS (SELECT 1 FROM regions r WHERE r.clip_id = p.clip_id AND r.a < p AND q < r.b)""")
 def c7(spark, sf):
-    s = series(spark, sf)
-    return I.pauses_inside(s, regions(spark, sf, s), ["clip_id"], "t", F.col("value") < 30)
+    hot = event_limit(spark, sf)
+    s = series(spark, sf, hot)
+    return I.pauses_inside(s, regions(spark, sf, s, hot), ["clip_id"], "t", F.col("value") < 30, hot_rows=hot)
 
 
 @query("c8_runs", "C8", f"WITH {SERIES} SELECT * FROM {runs_sql('valid')}")
@@ -139,20 +142,20 @@ HOURS = """hours AS (SELECT user_id AS clip_id, event_id, value, event_type <> '
   epoch_us(ts) / 3.6e9::DOUBLE - 473352.0::DOUBLE AS h FROM events)"""
 
 
-def gaps(spark, sf):
+def gaps(spark, sf, hot):
     """Pauses between neighbouring events of a user: (clip_id, mid, length)."""
-    g = previous(hours(spark, sf), ["clip_id"], ["h", "event_id"], {"p": "h"}).where("p IS NOT NULL")
+    g = previous(hours(spark, sf), ["clip_id"], ["h", "event_id"], {"p": "h"}, hot).where("p IS NOT NULL")
     return g.select("clip_id", ((F.col("h") + F.col("p")) / 2).alias("mid"), (F.col("h") - F.col("p")).alias("length"))
 
 
 @query("c9_plan_clips", "C9")
 def c9(spark, sf):
     """Speech = events merged over gaps of 12 h; scene bounds at events marked error."""
-    h = hours(spark, sf)
-    speech = merge_spans(h.select("clip_id", F.col("h").alias("a"), (F.col("h") + 1).alias("b")), ["clip_id"], "a", "b", 12.0)
+    h, hot = hours(spark, sf), event_limit(spark, sf)
+    speech = merge_spans(h.select("clip_id", F.col("h").alias("a"), (F.col("h") + 1).alias("b")), ["clip_id"], "a", "b", 12.0, hot)
     videos = h.groupBy("clip_id").agg((F.max("h") + 1).alias("duration"))
     scenes = h.where("NOT valid AND value > 100").select("clip_id", F.col("h").alias("t"))
-    return I.plan_clips(speech, scenes, gaps(spark, sf), videos, "clip_id")
+    return I.plan_clips(speech, scenes, gaps(spark, sf, hot), videos, "clip_id", hot_rows=hot)
 
 
 @query("c10_best_pause", "C10", f"""WITH {HOURS},
@@ -163,7 +166,7 @@ SELECT w.clip_id, w.lo, w.hi, round(coalesce(least(greatest(round_even(mid * 25,
 def c10(spark, sf):
     day = F.floor(F.col("h") / 24) * 24.0
     w = hours(spark, sf).select("clip_id", day.alias("lo"), (day + 18).alias("hi")).distinct()
-    return I.best_cut(w, gaps(spark, sf), ["clip_id"], 24.0).select("clip_id", "lo", "hi", F.round("cut", 6).alias("cut"))
+    return I.best_cut(w, gaps(spark, sf, event_limit(spark, sf)), ["clip_id"], 24.0).select("clip_id", "lo", "hi", F.round("cut", 6).alias("cut"))
 
 
 @query("c11_coverage_gate", "C11", f"""WITH {HOURS},
@@ -194,8 +197,9 @@ SELECT f.clip_id, f.t, round(CASE WHEN f.v IS NOT NULL THEN f.v WHEN b.v IS NULL
   ELSE (1 - (f.t - bt) / (at_ - bt)) * b.v + (f.t - bt) / (at_ - bt) * a.v END, 6) AS filled
 FROM f LEFT JOIN k b ON b.clip_id = f.clip_id AND b.t = f.bt LEFT JOIN k a ON a.clip_id = f.clip_id AND a.t = f.at_""")
 def c13(spark, sf):
-    s = series(spark, sf).select("clip_id", "t", F.when(F.col("valid"), F.col("x")).alias("v"))
-    return I.fill_gaps(s, ["clip_id"], "t", "v", "filled").select("clip_id", "t", F.round("filled", 6).alias("filled"))
+    hot = event_limit(spark, sf)
+    s = series(spark, sf, hot).select("clip_id", "t", F.when(F.col("valid"), F.col("x")).alias("v"))
+    return I.fill_gaps(s, ["clip_id"], "t", "v", "filled", hot).select("clip_id", "t", F.round("filled", 6).alias("filled"))
 
 
 @query("c14_fill_blocks", "C14", f"""WITH {HOURS},
@@ -217,7 +221,7 @@ def c15(spark, sf):
     h = hours(spark, sf)
     first = h.groupBy("clip_id").agg(F.min("h").alias("h0"))
     rows = h.join(first, "clip_id").withColumn("since", F.col("h") - F.col("h0"))
-    return I.resample(rows, ["clip_id"], ["h", "event_id"], "since", 12.0).select("clip_id", "event_id", "tick")
+    return I.resample(rows, ["clip_id"], ["h", "event_id"], "since", 12.0, event_limit(spark, sf)).select("clip_id", "event_id", "tick")
 
 
 def lengths(s):
