@@ -27,6 +27,11 @@ def normalize(v: Column, floor: float = 1e-8) -> Column:
     return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(floor)))
 
 
+def unit(v: Column, eps: float = 1e-8) -> Column:
+    """v / (|v| + eps)."""
+    return F.transform(v, lambda x: x / (norm(v) + F.lit(eps)))
+
+
 def distance(a: Column, b: Column, eps: float = 0.0) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y + F.lit(eps)) * (x - y + F.lit(eps)))))
 
