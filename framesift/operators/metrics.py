@@ -67,7 +67,7 @@ def eer(df: DataFrame, keys: list[str], score: str, label: str, hot_rows: int |
     first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     bends = (F.col("_pos") != F.col("pos")) | (F.col("_neg") != F.col("neg"))
     kept = lower.where(first | F.col("_pos").isNull() | bends)
-    fpr, tpr = F.col("fp") / F.col("n"), F.col("tp") / F.col("p")
+    fpr, tpr = F.try_divide("fp", "n"), F.try_divide("tp", "p")
     best = F.min(F.struct(F.abs(fpr - (1 - tpr)).alias("d"), (-F.col(score)).alias("s"), ((fpr + 1 - tpr) / 2).alias("eer")))
     out = kept.groupBy(*keys).agg(best.alias("_b"), F.max("p").alias("_p"), F.max("n").alias("_n"))
     value = F.when((F.col("_p") > 0) & (F.col("_n") > 0),
@@ -100,7 +100,7 @@ def at_threshold(df: DataFrame, keys: list[str], score: str, label: str, thresho
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Σ recall step × precision over distinct scores; NULL without positives."""
     curve = roc(df, keys, score, label, hot_rows)
-    ap = F.sum(F.col("pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    ap = F.sum(F.try_divide("pos", "p") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return curve.groupBy(*keys).agg(F.when(F.max("p") > 0, ap).alias("ap"))
 
 
@@ -254,8 +254,8 @@ def temporal_scores(matched: DataFrame, clip: str, hot_rows: int | None = HOT_RO
     upto = running(placed, ["_all"], ["_r"], {f"_{h}": ("sum", F.col(h)) for h in hits}, hot_rows=hot_rows)
     upto = upto.withColumns({f"_p{h}": F.col(f"_{h}") / (F.col("_r") + 1) for h in hits}).withColumn("_back", -F.col("_r"))
     env = running(upto, ["_all"], ["_back"], {f"_e{h}": ("max", F.col(f"_p{h}")) for h in hits}, hot_rows=hot_rows)
-    ap = env.agg(*[(F.sum(F.col(h) * F.col(f"_e{h}")) / F.max(total)).alias(h.replace("hit_", "ap@")) for h in hits])
-    ar = matched.agg(*[(F.sum(f"ar_{n}") / F.max(total)).alias(f"ar@{n}") for n in AR_AT])
+    ap = env.agg(*[F.try_divide(F.sum(F.col(h) * F.col(f"_e{h}")), F.max(total)).alias(h.replace("hit_", "ap@")) for h in hits])
+    ar = matched.agg(*[F.try_divide(F.sum(f"ar_{n}"), F.max(total)).alias(f"ar@{n}") for n in AR_AT])
 
     def long(df):
         cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in df.columns]))
@@ -332,7 +332,7 @@ def paired_bootstrap(df: DataFrame, speaker: str, label: str, first: str, second
         inside, "side string, slice long, r int, pos double, neg double, wins double")
     w = W.partitionBy("side", "r").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     chained = parts.withColumn("_below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
-    value = F.sum(F.col("wins") + F.col("pos") * F.col("_below")) / (F.sum("pos") * F.sum("neg"))
+    value = F.try_divide(F.sum(F.col("wins") + F.col("pos") * F.col("_below")), F.sum("pos") * F.sum("neg"))
     areas = chained.groupBy("r").pivot("side", ["a", "b"]).agg(value)
     delta = areas.select("r", (F.col("a") - F.col("b")).alias("d"))
     sizes = known.agg(F.count_distinct(speaker).alias("speakers"), F.count(F.lit(1)).alias("samples"))
@@ -357,7 +357,7 @@ def roc_points(df: DataFrame, keys: list[str], score: str, label: str, points: i
     size = curve.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_m") / points))
     thin = placed.join(size, keys).where(F.col("_i") % step == 0)
-    return thin.select(*keys, score, (F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"))
+    return thin.select(*keys, score, F.try_divide("fp", "n").alias("fpr"), F.try_divide("tp", "p").alias("tpr"))
 
 
 def over_seeds(df: DataFrame, keys: list[str], value: str) -> DataFrame:
