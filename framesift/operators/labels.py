@@ -57,27 +57,33 @@ def thresholds(rows: DataFrame, rules: dict | None = None) -> DataFrame:
     return out.withColumn("reals", enough)
 
 
+def with_limits(rows: DataFrame, thr: DataFrame) -> DataFrame:
+    """Attach the limits of every meter as columns. They form one row, so broadcasting it is safe."""
+    names = ("negative", "positive", "sharpness")
+    row = thr.groupBy(F.lit(1).alias("_one")).agg(*[
+        F.max(F.when(F.col("meter") == m, F.col(n))).alias(f"{n}_{m}") for m in METERS for n in names])
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(row), "_one", "left").drop("_one")
+
+
 def region(rows: DataFrame, thr: DataFrame) -> DataFrame:
-    """Add bad_<meter> and measurable: every meter present and sharp enough. NULL when a meter is
-    missing."""
+    """Add the limits, bad_<meter> and measurable: every meter present and sharp enough. NULL when a
+    meter is missing."""
     ok, present = F.lit(True), F.lit(True)
     out = {}
     for m, c in METERS.items():
         out[f"bad_{m}"] = badness(m, F.col(c))
-        least = thr.where(F.col("meter") == m).select("sharpness").scalar()
-        ok = ok & F.coalesce(sharpness(m, F.col(c)) >= least, F.lit(False))
+        ok = ok & F.coalesce(sharpness(m, F.col(c)) >= F.col(f"sharpness_{m}"), F.lit(False))
         present = present & F.col(c).isNotNull()
-    return rows.withColumns({**out, "measurable": F.when(present, ok)})
+    return with_limits(rows, thr).withColumns({**out, "measurable": F.when(present, ok)})
 
 
-def measured_state(bads: dict[str, Column], thr: DataFrame, k: int) -> Column:
+def measured_state(bads: dict[str, Column], k: int) -> Column:
     """1 when every meter is above its positive limit, 0 when all are at or under the negative one."""
     above, below = F.lit(True), F.lit(True)
     for m, bad in bads.items():
-        limits = thr.where(F.col("meter") == m)
         value = at_shift(bad, k)
-        above = above & (value > limits.select("positive").scalar())
-        below = below & (value <= limits.select("negative").scalar())
+        above = above & (value > F.col(f"positive_{m}"))
+        below = below & (value <= F.col(f"negative_{m}"))
     return F.when(above, F.lit(1)).when(below, F.lit(0)).cast("long")
 
 
@@ -96,30 +102,30 @@ def _bads(column: str) -> dict[str, Column]:
     return {m: F.col(column)[f"bad_{m}"] for m in METERS}
 
 
-def real_state(thr: DataFrame | None, k: int, mode: str = "measured", near: int = 1) -> Column:
+def real_state(k: int, mode: str = "measured", near: int = 1) -> Column:
     """State of real lips with real audio shifted k frames: 0 near no shift, else as measured."""
     if abs(k) <= near:
         return F.lit(0).cast("long")
     if mode != "measured":
         return F.lit(None).cast("long")
-    return F.when(F.col("src.measurable"), measured_state(_bads("src"), thr, k))
+    return F.when(F.col("src.measurable"), measured_state(_bads("src"), k))
 
 
-def generated_state(thr: DataFrame | None, k: int, mode: str = "measured") -> Column:
+def generated_state(k: int, mode: str = "measured") -> Column:
     """State of generated lips: needs a measurable source, not a sharp curve of its own."""
     if mode != "measured":
         return F.lit(None).cast("long")
-    return F.when(F.col("src.measurable") & F.col("gen").isNotNull(), measured_state(_bads("gen"), thr, k))
+    return F.when(F.col("src.measurable") & F.col("gen").isNotNull(), measured_state(_bads("gen"), k))
 
 
-def video_state(thr: DataFrame | None, k: int = 0, mode: str = "measured", near: int = 1) -> Column:
+def video_state(k: int = 0, mode: str = "measured", near: int = 1) -> Column:
     """Label of the whole video at shift k from av_mismatch, visual spans, cell and duration_s."""
     given = F.size("av_mismatch") > 0
     if mode == "construction":
         return given.cast("long")
     made = F.col("cell").isin(LIPSYNC_CELLS) & (F.size("visual") > 0)
     whole = made & (total_length(F.col("visual")) >= F.col("duration_s") - 0.04)
-    gen, real = generated_state(thr, k, mode), real_state(thr, k, mode, near)
+    gen, real = generated_state(k, mode), real_state(k, mode, near)
     state = F.when(made & ~whole, kleene_or(gen, real)).when(whole, kleene_or(gen)).otherwise(kleene_or(real))
     return F.when(given, F.lit(1)).otherwise(state).cast("long")
 

@@ -29,7 +29,7 @@ def judged(spark, sf):
     r = rows(spark, sf)
     thr = L.thresholds(r, RULES)
     sibling = F.when(F.col("kind") == "partial", F.col("sample_id") - 1).otherwise(F.col("sample_id"))
-    return L.with_regions(r, thr, sibling), thr
+    return L.with_regions(r, thr, sibling)
 
 
 ROWS = f"""{MEASURED}, lr AS (SELECT * REPLACE (CASE WHEN sample_id % 17 <> 0 THEN dist END AS dist) FROM measured),
@@ -90,15 +90,15 @@ def l3(spark, sf):
     thr = L.thresholds(r, RULES)
     reg = L.region(r, thr)
     bads = {m: F.col(f"bad_{m}") for m in L.METERS}
-    pair = F.explode(F.array(*[F.struct(LIT(k).cast("long").alias("k"), F.when(F.col("measurable"), L.measured_state(bads, thr, k)).alias("state")) for k in (0, 5)])).alias("p")
+    pair = F.explode(F.array(*[F.struct(LIT(k).cast("long").alias("k"), F.when(F.col("measurable"), L.measured_state(bads, k)).alias("state")) for k in (0, 5)])).alias("p")
     return reg.select("sample_id", pair).select("sample_id", "p.k", "p.state")
 
 
 @query("l4_video_state", "L4", f"""WITH {ROWS} SELECT sample_id, {real_sql('4')}::BIGINT AS real_4, {gen_sql('0')}::BIGINT AS gen_0, {video_sql('0')} AS video_0, {video_sql('4')} AS video_4 FROM jn, th""")
 def l4(spark, sf):
-    j, thr = judged(spark, sf)
-    return j.select("sample_id", L.real_state(thr, 4).alias("real_4"), L.generated_state(thr, 0).alias("gen_0"),
-                    L.video_state(thr, 0).alias("video_0"), L.video_state(thr, 4).alias("video_4"))
+    j = judged(spark, sf)
+    return j.select("sample_id", L.real_state(4).alias("real_4"), L.generated_state(0).alias("gen_0"),
+                    L.video_state(0).alias("video_0"), L.video_state(4).alias("video_4"))
 
 
 @query("l5_frame_targets", "L5", f"""WITH {ROWS}, f AS (SELECT jn.*, th.*, f AS frame, CASE WHEN cell = 'sham' THEN greatest(0, least((f + 1) * 0.04, 1.0) - greatest(f * 0.04, 0.5)) / 0.04 ELSE 0 END::DOUBLE AS content,
@@ -106,7 +106,7 @@ def l4(spark, sf):
 s AS (SELECT sample_id, frame, content, CASE WHEN made THEN {gen_sql('0')} ELSE {real_sql('0')} END AS st FROM f)
 SELECT sample_id, round(sum(CASE WHEN content > 1e-9 THEN greatest(coalesce(st, 0), content) ELSE coalesce(st, 0) END), 4) AS total, count(*) FILTER (content > 1e-9 OR st IS NOT NULL) AS valid FROM s GROUP BY 1""")
 def l5(spark, sf):
-    j, thr = judged(spark, sf)
+    j = judged(spark, sf)
     frames = j.withColumn("frame", F.explode(F.sequence(LIT(0), LIT(99))))
     a = F.col("frame") * 0.04
 
@@ -115,7 +115,7 @@ def l5(spark, sf):
 
     content = F.round(cover(F.col("av_mismatch")), 9)
     made = F.col("cell").isin(LIPSYNC_CELLS) & (cover(F.col("visual")) > 0.5)
-    value, valid = L.frame_state(made, content, L.real_state(thr, 0), L.generated_state(thr, 0))
+    value, valid = L.frame_state(made, content, L.real_state(0), L.generated_state(0))
     return frames.select("sample_id", value.alias("v"), valid.alias("ok")).groupBy("sample_id").agg(
         F.round(F.sum("v"), 4).alias("total"), F.count(F.when(F.col("ok"), 1)).alias("valid"))
 
@@ -123,39 +123,39 @@ def l5(spark, sf):
 @query("l6_annotate_modes", "L6", f"""WITH {ROWS} SELECT sample_id, 'construction' AS mode, (cell = 'sham')::BIGINT AS label FROM jn UNION ALL SELECT sample_id, 'mask_lipsync', {video_sql('0', 'mask')} FROM jn, th
 UNION ALL SELECT sample_id, 'measured', {video_sql('0')} FROM jn, th""")
 def l6(spark, sf):
-    j, thr = judged(spark, sf)
-    mode = F.explode(F.array(*[F.struct(LIT(m).alias("mode"), L.video_state(thr, 0, m).alias("label")) for m in ("construction", "mask_lipsync", "measured")])).alias("m")
+    j = judged(spark, sf)
+    mode = F.explode(F.array(*[F.struct(LIT(m).alias("mode"), L.video_state(0, m).alias("label")) for m in ("construction", "mask_lipsync", "measured")])).alias("m")
     return j.select("sample_id", mode).select("sample_id", "m.mode", "m.label")
 
 
 @query("l7_video_targets", "L7", f"WITH {ROWS} SELECT sample_id, coalesce({video_sql('0')}, -1) AS mismatch, (cell IN ('source','both'))::BIGINT AS visual FROM jn, th")
 def l7(spark, sf):
-    j, thr = judged(spark, sf)
-    return j.select("sample_id", F.coalesce(L.video_state(thr, 0), LIT(-1).cast("long")).alias("mismatch"), (F.size("visual") > 0).cast("long").alias("visual"))
+    j = judged(spark, sf)
+    return j.select("sample_id", F.coalesce(L.video_state(0), LIT(-1).cast("long")).alias("mismatch"), (F.size("visual") > 0).cast("long").alias("visual"))
 
 
 @query("l8_mismatch_intervals", "L8", f"""WITH {ROWS} SELECT sample_id, CASE WHEN cell = 'sham' THEN '0.5000-1.0000' WHEN cell IN ('source','both') THEN CASE {gen_sql('0')} WHEN 1 THEN CASE WHEN kind = 'partial' THEN '1.0000-2.0000' ELSE '0.0000-4.0000' END WHEN 0 THEN '' END ELSE '' END AS spans FROM jn, th""")
 def l8(spark, sf):
-    j, thr = judged(spark, sf)
+    j = judged(spark, sf)
     made = F.size("visual") > 0
-    spans = L.mismatch_spans(made, L.generated_state(thr, 0), F.col("av_mismatch"), F.col("visual"))
-    return j.select("sample_id", S.as_text(spans).alias("spans"))
+    spans = L.mismatch_spans(made, L.generated_state(0), F.col("av_mismatch"), F.col("visual"))
+    return j.select("sample_id", spans.alias("spans")).select("sample_id", S.as_text(F.col("spans")).alias("spans"))
 
 
 @query("g14_mismatch_counts", "G14", f"""WITH {ROWS}, v AS (SELECT split || '/' || CASE WHEN cell IN ('source','both') THEN cell || '/' || (label % 3)::VARCHAR ELSE cell END AS key, {video_sql('0')} AS s FROM jn, th)
 SELECT key, count(*) FILTER (s = 1) AS one, count(*) FILTER (s = 0) AS zero, count(*) FILTER (s IS NULL) AS mask FROM v GROUP BY 1""")
 def g14(spark, sf):
-    j, thr = judged(spark, sf)
+    j = judged(spark, sf)
     cell = F.when(F.col("cell").isin(LIPSYNC_CELLS), F.concat_ws("/", "cell", F.col("label") % 3)).otherwise(F.col("cell"))
-    v = j.select(F.concat_ws("/", "split", cell).alias("key"), L.video_state(thr, 0).alias("s"))
+    v = j.select(F.concat_ws("/", "split", cell).alias("key"), L.video_state(0).alias("s"))
     return v.groupBy("key").agg(F.count(F.when(F.col("s") == 1, 1)).alias("one"), F.count(F.when(F.col("s") == 0, 1)).alias("zero"), F.count(F.when(F.col("s").isNull(), 1)).alias("mask"))
 
 
 @query("g15_label_by_shift", "G15", f"""WITH {ROWS}, v AS (SELECT k, {real_sql('k')} AS s FROM jn, th, range(-5, 8) r(k) WHERE split = 'train' AND cell = 'real')
 SELECT k::BIGINT AS k, count(*) FILTER (s = 1) AS one, count(*) FILTER (s = 0) AS zero, count(*) FILTER (s IS NULL) AS mask FROM v GROUP BY 1""")
 def g15(spark, sf):
-    j, thr = judged(spark, sf)
-    pair = F.explode(F.array(*[F.struct(LIT(k).cast("long").alias("k"), L.video_state(thr, k).alias("s")) for k in range(-5, 8)])).alias("p")
+    j = judged(spark, sf)
+    pair = F.explode(F.array(*[F.struct(LIT(k).cast("long").alias("k"), L.video_state(k).alias("s")) for k in range(-5, 8)])).alias("p")
     v = j.where("split = 'train' AND cell = 'real'").select(pair).select("p.*")
     return v.groupBy("k").agg(F.count(F.when(F.col("s") == 1, 1)).alias("one"), F.count(F.when(F.col("s") == 0, 1)).alias("zero"), F.count(F.when(F.col("s").isNull(), 1)).alias("mask"))
 
