@@ -276,7 +276,7 @@ def job_error(text: Column) -> Column:
                  F.lit(0))
     prefix = "Worker failed: "
     lines = F.filter(
-        F.transform(F.split(F.substring(text, len(prefix) + 1, 1 << 30), "\\r\\n|\\r|\\n"), F.trim),
+        F.transform(F.split(F.substring(text, len(prefix) + 1, 1 << 30), "\\r\\n|\\r|\\n"), lambda x: F.trim(x)),
         lambda x: x != "")
     message = F.array_join(
         F.when(F.size(lines) > 1, F.array(F.substring(F.get(lines, F.lit(0)), 1, 100),

@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     for _ in range(rounds):
         # Large star: neighbours above a node point to the smallest neighbour (or the node itself).
         sym = work.union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: neighbours below a node, and the node, point to the smallest of them.
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
