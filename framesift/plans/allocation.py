@@ -60,7 +60,7 @@ def d4(spark, sf):
 @query("d5_pack_batches", "D5")
 def d5(spark, sf):
     v = orders(spark, sf).withColumn("h", F.col("duration_s") / 3600).withColumn("mb", F.col("duration_s") / 8)
-    return A.pack_batches(v.withColumn("rank", F.col("video_id")), "input_id", "video_id", "rank", "h", "mb", 6.0, 4000.0)
+    return A.pack_batches(v.withColumn("rank", F.col("video_id")), "input_id", "video_id", "rank", "h", "mb", 20.0, 16000.0)
 
 
 @query("d6_single_target", "D6", f"WITH {ORD} SELECT input_id, round_even(30 + least(1.0::DOUBLE, greatest(0.0::DOUBLE, (sum(duration_s) / 60 - 200) / 600)) * 10, 0)::BIGINT AS target FROM ord GROUP BY 1")
