@@ -54,12 +54,16 @@ SELECT task, 'all' AS "group", n::BIGINT AS n, round(auc, 6) AS auc FROM {auc_sq
 UNION ALL SELECT task, 'speaker balanced', round(n)::BIGINT, round(auc, 6) FROM {auc_sql('w', 'task', w='w')}
 UNION ALL SELECT task, grp, n::BIGINT, round(auc, 6) FROM {auc_sql('g', 'task, grp')}""")
 def flagship(spark, sf):
-    t = tasked(spark, sf)
-    whole = M.auc(t, ["task"], "score", "y").withColumn("group", LIT("all"))
-    even = M.auc(M.speaker_weight(t, ["task"], "speaker_id"), ["task"], "score", "y", F.col("weight")).withColumn(
-        "group", LIT("speaker balanced"))
-    cells = M.auc(t.withColumn("group", F.concat(LIT("cell/"), "cell")), ["task", "group"], "score", "y")
-    out = whole.unionByName(even).unionByName(cells)
+    t = M.speaker_weight(tasked(spark, sf), ["task"], "speaker_id")
+
+    def group(name, weight):
+        return F.struct(name.alias("group"), weight.alias("w"))
+
+    groups = F.explode(F.array(
+        group(LIT("all"), LIT(1.0)), group(LIT("speaker balanced"), F.col("weight")),
+        group(F.concat(LIT("cell/"), "cell"), LIT(1.0)))).alias("g")
+    rows = t.select("task", "score", "y", groups).select("task", "score", "y", "g.*")
+    out = M.auc(rows, ["task", "group"], "score", "y", F.col("w"))
     return out.select("task", "group", F.round("n").cast("long").alias("n"), r6("auc"))
 
 
