@@ -314,11 +314,16 @@ def paired_bootstrap(df: DataFrame, speaker: str, label: str, first: str, second
     placed = running(sizes, ["side"], ["s"], {"_upto": ("sum", F.col("_n"))}, hot_rows=hot_rows)
     placed = placed.select("side", "s", F.floor((F.col("_upto") - F.col("_n")) / slice_rows).alias("slice"))
     weights = bootstrap_weights(known, speaker, replicates, seed)
-    rows = cells.join(placed, ["side", "s"]).join(weights, speaker)
+    rows = cells.join(placed, ["side", "s"]).select("side", "slice", "s", F.col(speaker).alias("_sp"), "pos", "neg")
+    # A slice gets the weights of its speakers once, not once per row.
+    drawn = rows.select("side", "slice", "_sp").distinct().join(weights.withColumnRenamed(speaker, "_sp"), "_sp").select(
+        F.col("side").alias("_side"), F.col("slice").alias("_slice"), F.col("_sp").alias("_who"), "w")
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+    def inside(pdf: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s")
-        w = np.stack(pdf["w"].to_numpy()).astype(np.float64)
+        table = np.stack(draws["w"].to_numpy()).astype(np.float64)
+        place = pd.Series(np.arange(len(draws)), index=draws["_who"])
+        w = table[place.loc[pdf["_sp"]].to_numpy()]
         w = np.concatenate([np.ones((len(pdf), 1)), w], axis=1)  # replicate −1: every speaker once
         starts = np.flatnonzero(np.r_[True, np.diff(pdf["s"].to_numpy()) != 0])
         pos = np.add.reduceat(w * pdf["pos"].to_numpy()[:, None], starts, axis=0)
@@ -328,7 +333,7 @@ def paired_bootstrap(df: DataFrame, speaker: str, label: str, first: str, second
             "side": pdf["side"].iloc[0], "slice": pdf["slice"].iloc[0], "r": np.arange(-1, w.shape[1] - 1),
             "pos": pos.sum(axis=0), "neg": neg.sum(axis=0), "wins": wins})
 
-    parts = rows.groupBy("side", "slice").applyInPandas(
+    parts = rows.groupBy("side", "slice").cogroup(drawn.groupBy("_side", "_slice")).applyInPandas(
         inside, "side string, slice long, r int, pos double, neg double, wins double")
     w = W.partitionBy("side", "r").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     chained = parts.withColumn("_below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))

@@ -127,8 +127,8 @@ def light(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
 
     One aggregate over the key columns; only its largest and total count reach the driver.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    top, total = counts.agg(F.max("n"), F.sum("n")).first()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    top, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
     return top is None or top <= max(hot_rows, total // HOT_KEYS)
 
 

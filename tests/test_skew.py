@@ -9,7 +9,7 @@ from framesift.operators import metrics as M
 from framesift.operators.intervals import fill_gaps, resample
 from framesift.operators.joins import as_of, donors, lag_sums, nearest_donor
 from framesift.operators.ordered import HOT_ROWS, halo, light, merge_spans, positions, previous, running, runs
-from framesift.operators.signals import exact_quantiles, pool
+from framesift.operators.signals import exact_quantiles, pool, proposals
 
 HOT = 25  # forces the key "big" onto the range path
 
@@ -120,3 +120,9 @@ def test_metrics_on_heavy_keys(series, rows):
         a, b = f(scored, ["k"], "v", "y", HOT), f(scored, ["k"], "v", "y")
         names = [c for c in a.columns if c != "k"]
         same(a.select("k", *[F.round(c, 9) for c in names]), b.select("k", *[F.round(c, 9) for c in names]), rows)
+
+
+def test_proposals_in_rounds_match_one_task(series, rows):
+    s = series.withColumn("v", F.coalesce("v", F.lit(0.0)) + F.col("id") / 1000)
+    a, b = (proposals(s, ["k"], "id", "v", hot_rows=h).select("k", "a", "b", F.round("score", 9).alias("s")) for h in (HOT, HOT_ROWS))
+    same(a, b, rows)
