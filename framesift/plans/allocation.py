@@ -115,24 +115,38 @@ def d10(spark, sf):
     return A.take_spread(w, ["k"], "ok", "quota", "budget").select("k", "event_id", "tried")
 
 
-def graph_edges(spark, sf):
-    lines = table(spark, sf, "lineitem").where((F.col("l_partkey") % 10 == 0) & (F.col("l_quantity") >= 45))
-    return lines.select(F.concat(LIT("order:"), F.col("l_orderkey")).alias("src"), F.concat(LIT("part:"), F.col("l_partkey")).alias("dst")).distinct()
+def order_part_edges(spark, sf):
+    """The whole order–part graph, mostly one huge component."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    return lines.select(F.concat(LIT("order:"), F.col("l_orderkey")).alias("src"), F.concat(LIT("part:"), F.col("l_partkey")).alias("dst"))
 
 
-@query("d11_components", "D11", """
-WITH RECURSIVE e AS (SELECT DISTINCT 'order:' || l_orderkey::VARCHAR AS s, 'part:' || l_partkey::VARCHAR AS d FROM lineitem WHERE l_partkey % 10 = 0 AND l_quantity >= 45),
-b AS (SELECT s, d FROM e UNION ALL SELECT d, s FROM e), r(node, reach) AS (SELECT DISTINCT s, s FROM b UNION SELECT r.node, b.d FROM r JOIN b ON b.s = r.reach)
-SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+def document_edges(spark, sf):
+    """Documents tied by equal content or by the same repost group (language and length)."""
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.concat_ws(":", "lang", "n_chars").alias("repost"))
+    return C.identity_edges(docs, "doc_id", {"digest": "media", "repost": "group"})
+
+
+GROUPS = """e AS (SELECT 'row:' || doc_id::VARCHAR AS s, 'media:' || sha256(text) AS d FROM documents UNION SELECT 'row:' || doc_id::VARCHAR, 'group:' || lang || ':' || n_chars::VARCHAR FROM documents),
+b AS (SELECT s, d FROM e UNION ALL SELECT d, s FROM e), r(node, reach) AS (SELECT DISTINCT s, s FROM b UNION SELECT r.node, b.d FROM r JOIN b ON b.s = r.reach),
+comp AS (SELECT node, min(reach) AS component FROM r GROUP BY 1)"""
+
+
+@query("d11_components", "D11")
 def d11(spark, sf):
-    return C.connected_components(graph_edges(spark, sf))
+    return C.connected_components(order_part_edges(spark, sf))
+
+
+@query("d11_identity_groups", "D11", f"WITH RECURSIVE {GROUPS} SELECT node, component FROM comp")
+def d11_groups(spark, sf):
+    return C.connected_components(document_edges(spark, sf))
 
 
-@query("b8_leakage", "B8")
+@query("b8_leakage", "B8", f"""WITH RECURSIVE {GROUPS} SELECT component, min(split) AS first_split, max(split) AS last_split, count(*) AS n
+FROM (SELECT component, {split_sql("node")} AS split FROM comp WHERE node LIKE 'row:%') GROUP BY 1 HAVING count(DISTINCT split) > 1""")
 def b8(spark, sf):
-    comp = C.connected_components(graph_edges(spark, sf))
-    rows = comp.withColumn("split", split_of(F.col("node")))
-    return C.leaking_components(rows, "component", "split")
+    comp = C.connected_components(document_edges(spark, sf)).where("node LIKE 'row:%'")
+    return C.leaking_components(comp.withColumn("split", split_of(F.col("node"))), "component", "split")
 
 
 @query("d12_identity_list", "D12", """
@@ -160,7 +174,7 @@ def d13(spark, sf):
 
 @query("d14_ratio_splits", "D14")
 def d14(spark, sf):
-    comp = C.connected_components(graph_edges(spark, sf))
+    comp = C.connected_components(document_edges(spark, sf)).where("node LIKE 'row:%'")
     lock = F.max(F.when((F.col("node") == F.col("component")) & (stable_int(F.col("component")) % 5 == 0), split_of(F.col("component"))))
     groups = comp.groupBy("component").agg(F.count(LIT(1)).alias("n"), lock.alias("locked"))
     return A.assign_ratio_splits(groups, "42")
