@@ -45,9 +45,9 @@ def lag_sums(df: DataFrame, keys: list[str], pos: str, terms: dict, valid: str,
     """(keys, lag, pairs, n, one sum per term) for every lag in ±max_lag.
 
     Row t is paired with row t − lag of the same series; each `term(row, other)` is summed where
-    both rows are valid. The pairs come from lag windows, so no row is multiplied, and partial
-    sums are combined before the shuffle. With fewer than `least` overlapping rows, or no valid
-    pair, the sums are NULL.
+    both rows are valid. The partners come from lag windows, not from a join; each row lists its
+    2·max_lag + 1 partners inside the task and partial sums are combined before the shuffle. With
+    fewer than `least` overlapping rows, or no valid pair, the sums are NULL.
     """
     lags = range(-max_lag, max_lag + 1)
 
@@ -55,23 +55,18 @@ def lag_sums(df: DataFrame, keys: list[str], pos: str, terms: dict, valid: str,
         row = F.struct(valid, *carried)
         return {f"_o{i}": F.lag(row, d).over(w) for i, d in enumerate(lags)}
 
-    wide = halo(df, keys, pos, max_lag, shifted, block)
-    row = {c: F.col(c) for c in carried}
-    sums = []
-    for i, _ in enumerate(lags):
-        other = F.col(f"_o{i}")
-        both = F.col(valid) & other[valid]
-        sums += [F.count(other).alias(f"_p{i}"), F.count(F.when(both, F.lit(1))).alias(f"_n{i}")]
-        pair = {c: other[c] for c in carried}
-        sums += [F.sum(F.when(both, term(row, pair))).alias(f"_{name}{i}") for name, term in terms.items()]
-    flat = wide.groupBy(*keys).agg(*sums)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(d).cast("long").alias("lag"), F.col(f"_p{i}").alias("pairs"),
-                 F.col(f"_n{i}").alias("n"), *[F.col(f"_{t}{i}").alias(t) for t in terms])
-        for i, d in enumerate(lags)])).alias("r")
-    long = flat.select(*keys, rows).select(*keys, "r.*")
+    wide = halo(df.select(*keys, pos, valid, *carried), keys, pos, max_lag, shifted, block)
+    partners = F.explode(F.array(*[
+        F.struct(F.lit(d).cast("long").alias("lag"), F.col(f"_o{i}").alias("o")) for i, d in enumerate(lags)])).alias("_p")
+    long = wide.select(*keys, valid, *carried, partners).select(
+        *keys, F.col("_p.lag").alias("lag"), valid, *carried, F.col("_p.o").alias("_o"))
+    both = F.col(valid) & F.col("_o")[valid]
+    row, other = {c: F.col(c) for c in carried}, {c: F.col("_o")[c] for c in carried}
+    out = long.groupBy(*keys, "lag").agg(
+        F.count("_o").alias("pairs"), F.count(F.when(both, F.lit(1))).alias("n"),
+        *[F.sum(F.when(both, term(row, other))).alias(name) for name, term in terms.items()])
     enough = (F.col("pairs") >= least) & (F.col("n") > 0)
-    return long.withColumns({t: F.when(enough, F.col(t)) for t in terms})
+    return out.withColumns({t: F.when(enough, F.col(t)) for t in terms})
 
 
 def donors(df: DataFrame, group: list[str], ident: str, size: str, shorter: float, seed: str,
