@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from framesift.functions.hashing import stable_int
 from framesift.operators.ordered import HOT_ROWS, positions, previous, running, settle
 from framesift.operators.signals import exact_quantiles
+from framesift.session import checkpointed
 
 # False-alarm targets, fake rates, IoU levels and list lengths of the reports.
 FPR_TARGETS = {"fpr_0.01": 0.99, "fpr_0.05": 0.95}
@@ -244,8 +245,10 @@ def temporal_scores(matched: DataFrame, clip: str, hot_rows: int | None = HOT_RO
     """(metric, value): AP at the IoU levels with the falling precision envelope, and AR@N.
 
     Segments of all clips are ranked together in two ordered passes: precision from the top, its
-    running maximum from the bottom.
+    running maximum from the bottom. The matched rows (a few per clip) are written once, because the
+    totals, both passes and the recall read them.
     """
+    matched = checkpointed(matched)
     total = matched.groupBy(clip).agg(F.max("truths").alias("k")).agg(F.sum("k")).scalar()
     rows = matched.where("score IS NOT NULL").withColumn("_all", F.lit(0))
     hot_rows = settle(rows, ["_all"], hot_rows)
