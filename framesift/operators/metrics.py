@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from framesift.functions.hashing import stable_int
-from framesift.operators.ordered import HOT_ROWS, positions, previous, running, settle
+from framesift.operators.ordered import HOT_ROWS, positions, previous, python_groups, running, settle
 from framesift.operators.signals import exact_quantiles
 from framesift.session import checkpointed
 
@@ -238,7 +238,7 @@ def match_segments(found: DataFrame, truth: DataFrame, clip: str) -> DataFrame:
             out[f"ar_{n}"] = [reached] + [0.0] * (len(out) - 1)
         return out
 
-    return segs.groupBy(clip).applyInPandas(match, schema)
+    return python_groups(segs, [clip]).applyInPandas(match, schema)
 
 
 def temporal_scores(matched: DataFrame, clip: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:

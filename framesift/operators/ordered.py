@@ -208,6 +208,13 @@ def previous(
     return out.withColumns({n: F.col("_prev")[n] for n in columns}).drop("_prev")
 
 
+def python_groups(df: DataFrame, keys: list[str]):
+    """Group for a Python fold. The explicit partition count keeps adaptive execution from merging
+    small shuffles into one partition, where the folds would run one after the other."""
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys).groupBy(*keys)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[str], k: int, name: str = "rank") -> DataFrame:
     """First k rows per key. The rank filter is pushed below the shuffle as a per-task group limit,
     so a heavy key sends k rows per task, not all of them."""
