@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from framesift.llm import mixing
+from framesift.llm import mixing, packing, quality
 
 QUERIES = {
+    "op3_quality_rules": quality.op3,
     "op7_mix_sources": mixing.op7,
+    "op8_best_fit_packing": packing.op8,
 }
 
 ORACLES = {
