@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from framesift.llm import mixing, packing, quality
+from framesift.llm import mixing, near_join, packing, quality
 
 QUERIES = {
     "op3_quality_rules": quality.op3,
     "op7_mix_sources": mixing.op7,
     "op8_best_fit_packing": packing.op8,
+    "op10_ngram_jaccard_join": near_join.op10,
 }
 
 ORACLES = {
     "op7_mix_sources": mixing.ORACLE,
+    "op10_ngram_jaccard_join": near_join.ORACLE,
 }
