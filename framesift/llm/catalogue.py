@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framesift.llm import mixing, near_join, packing, quality
+from framesift.llm import mixing, near_join, packing, privacy, quality
 
 QUERIES = {
+    "op2_sanitise_pii": privacy.op2,
     "op3_quality_rules": quality.op3,
     "op7_mix_sources": mixing.op7,
     "op8_best_fit_packing": packing.op8,
