@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from framesift.llm import mixing, near_join, packing, privacy, quality
 
 QUERIES = {
@@ -10,6 +11,7 @@ QUERIES = {
     "op7_mix_sources": mixing.op7,
     "op8_best_fit_packing": packing.op8,
     "op10_ngram_jaccard_join": near_join.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
