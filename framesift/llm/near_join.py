@@ -21,11 +21,11 @@ from framesift.llm.tables import WORD, read, small_batches, written
 from framesift.operators.components import connected_components
 
 WIDTH, LEVEL = 5, 0.8  # words in a window; wanted similarity, as 4 / 5 in whole numbers below
-RECALL = 1 - 1e-7  # of each pair at the wanted similarity
-DEPTH, WIDER = 4, 3.0  # levels of splitting; draws at the lower ones, in units of 1 / LEVEL
-BUCKET = 1024  # sets that are compared at once
+RECALL = 1 - 1e-6  # of each pair at the wanted similarity
+DEPTH, WIDER = 2, 2.0  # levels of splitting; draws at the lower ones, in units of 1 / LEVEL
+BUCKET = 4096  # sets that are compared at once
 SKETCH = 64
-TILE_TOKENS = 4_000_000
+TILE, TILE_TOKENS = 1024, 4_000_000  # sets and tokens that are compared exactly at once
 CHECKED_BROADCAST = 1_000_000  # keys; beyond that the join shuffles
 ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -193,10 +193,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     shared = count > 1
     column = np.cumsum(shared) - 1
     own, token = owner[shared[token]], column[token[shared[token]]]
-    total, width = np.zeros((len(sets), len(sets)), np.float32), 4096
+    columns = int(shared.sum())
+    total, width = np.zeros((len(sets), len(sets)), np.float32), max(1, min(4096, columns))
     order = np.argsort(token, kind="stable")
     own, token = own[order], token[order]
-    for lo in range(0, int(shared.sum()), width):
+    for lo in range(0, columns, width):
         a, b = np.searchsorted(token, [lo, lo + width])
         part = np.zeros((len(sets), width), np.float32)
         part[own[a:b], token[a:b] - lo] = 1
@@ -267,8 +268,8 @@ def similar_sets(docs: DataFrame, key: str, text: str, recall: float) -> tuple[D
     group = written(connected_components(edges).withColumnRenamed("component", "group"), "join_groups")
     member = group.join(tokens, "node").join(nodes.select("node", "copies"), "node")
     totals = group.join(tokens.select("node", "n"), "node").groupBy("group").agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_tokens"))
-    totals = written(totals.select("group", F.greatest(F.ceil(F.col("_sets") * 2 / BUCKET), F.ceil(F.col("_tokens") * 2 / TILE_TOKENS)).cast("int").alias("_tiles"),
-                                   (F.col("_sets") > BUCKET).alias("_many"), (F.col("_tokens") > TILE_TOKENS).alias("_long")), "join_totals")
+    totals = written(totals.select("group", F.greatest(F.ceil(F.col("_sets") * 2 / TILE), F.ceil(F.col("_tokens") * 2 / TILE_TOKENS)).cast("int").alias("_tiles"),
+                                   (F.col("_sets") > TILE).alias("_many"), (F.col("_tokens") > TILE_TOKENS).alias("_long")), "join_totals")
     totals = totals.select("group", F.when(F.col("_many") | F.col("_long"), F.col("_tiles")).otherwise(1).alias("_tiles"))
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_tiles")).cast("int")
     tiled = (member.join(totals, "group").withColumn("side", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
