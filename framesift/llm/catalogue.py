@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from framesift.llm import mixing, near_join, packing, privacy, quality
+from framesift.llm import mixing, near_join, neighbours, packing, privacy, quality, toxicity
 
 QUERIES = {
+    "op1_nearest_neighbours": neighbours.op1,
     "op2_sanitise_pii": privacy.op2,
     "op3_quality_rules": quality.op3,
+    "op4_toxicity": toxicity.op4,
     "op7_mix_sources": mixing.op7,
     "op8_best_fit_packing": packing.op8,
     "op10_ngram_jaccard_join": near_join.op10,
