@@ -23,6 +23,7 @@ STEMS, REPEATS = (4, 5, 6, 7), 3  # lengths of word beginnings that may stand in
 TERMS, VOTERS = 120, 20  # lexicon entries and lexicon voters, at most
 MIN_TOXIC, MIN_RATIO = 6, 25.0  # toxic rows with a term; its share among toxic rows over that among others
 FEATURES, MIN_ROWS = 1500, 4  # terms the classifier weighs, and rows each must occur in
+PURE = 8  # toxic rows for each other row that a further term of a voter needs
 TIED = 0.3  # correlation within a class from which two voters are modelled together
 LETTERS = re.compile(r"[^\W\d_]+")
 SHOUT = re.compile(r"[!?]{3,}|\b[A-Z]{4,}\b")
@@ -81,6 +82,8 @@ def lexicon(rows: list[set[str]], toxic: np.ndarray) -> list[list[str]]:
         stem = term.partition("*")[0]
         home = next((v for v in voters if any(stem.startswith(x) or x.startswith(stem) for x in (t.partition("*")[0] for t in v))), None)
         if home is not None:
+            if PURE * seen[0][term] > seen[1][term]:
+                continue  # a loose relative would blunt its voter
             home.append(term)
         elif len(voters) < VOTERS:
             voters.append([term])
@@ -192,7 +195,7 @@ class LabelModel:
         for g, t in zip(self.groups, self.tables):
             at = self.pattern(bits, g)
             says = np.log(t[1, at] / t[0, at])
-            odds += np.where(at > 0, says, 0.0) if g[0] < self.lexical else says
+            odds += np.where(at > 0, np.maximum(says, 0.0), 0.0) if g[0] < self.lexical else says
         return sigmoid(odds)
 
 
