@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from framesift.llm import mixing, near_join, neighbours, packing, privacy, quality, toxicity
+from framesift.llm import licences, mixing, near_join, neighbours, packing, preference, privacy, quality, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1,
     "op2_sanitise_pii": privacy.op2,
     "op3_quality_rules": quality.op3,
     "op4_toxicity": toxicity.op4,
+    "op5_license_scan": licences.op5,
+    "op6_preference_format": preference.op6,
     "op7_mix_sources": mixing.op7,
     "op8_best_fit_packing": packing.op8,
     "op10_ngram_jaccard_join": near_join.op10,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_preference_format": preference.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op10_ngram_jaccard_join": near_join.ORACLE,
 }
