@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from framesift.llm import licences, mixing, near_join, neighbours, packing, preference, privacy, quality, toxicity
+from framesift.llm import context_tree, licences, mixing, near_join, neighbours, packing, preference, privacy, quality, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_preference_format": preference.op6,
     "op7_mix_sources": mixing.op7,
     "op8_best_fit_packing": packing.op8,
+    "op9_context_tree_score": context_tree.op9,
     "op10_ngram_jaccard_join": near_join.op10,
     "pipeline": corpus_pipeline.run,
 }
