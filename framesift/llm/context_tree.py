@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from framesift.llm.tables import fold_of, read, small_batches, written
 
-DEPTH = 4  # bytes of context; below the two nearest ones a tree has at most 256 ** 2 contexts
+DEPTH, NEAR = 6, 3  # bytes of context; nearest bytes whose part of the tree is one group
 BLOCK_BYTES = 8_000_000  # text of a block; one longer text is a block of its own
 FLUSH = 400_000  # different words a task holds before it passes its counts on
 END = b""  # stands for the end token among the words
@@ -131,8 +131,19 @@ def node_at(context: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
     return (context & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8) | place
 
 
+def mixed(names, zeros, ones, share, node, bit, deeper) -> np.ndarray:
+    """Chance of each bit at one depth: the node's own estimate and the deeper one, by its share. A node
+    never met in training says one half."""
+    if not len(names):
+        return np.full(node.shape, 0.5)
+    at = np.minimum(np.searchsorted(names, node), len(names) - 1)
+    own = (np.where(bit > 0, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1.0)
+    return np.where(names[at] == node, share[at] * own + (1 - share[at]) * deeper, 0.5)
+
+
 class Level:
-    """Nodes of one depth: sorted names, counts, and the weight of their own estimate against the deeper ones."""
+    """Nodes of one depth: sorted names, counts, log probability, and the share of their own estimate
+    against the deeper ones."""
 
     def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
         self.node, self.zeros, self.ones = node, zeros, ones
@@ -141,13 +152,7 @@ class Level:
         self.share = np.ones(len(node)) if below is None else np.exp(own + HALF - self.log)
 
     def predict(self, node: np.ndarray, bit: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-        """Chance of each bit; a node never met in training says one half."""
-        if not len(self.node):
-            return np.full(node.shape, 0.5)
-        at = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
-        count = np.where(bit > 0, self.ones[at], self.zeros[at])
-        mine = (count + 0.5) / (self.zeros[at] + self.ones[at] + 1.0)
-        return np.where(self.node[at] == node, self.share[at] * mine + (1 - self.share[at]) * deeper, 0.5)
+        return mixed(self.node, self.zeros, self.ones, self.share, node, bit, deeper)
 
 
 def summed(node: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -155,61 +160,79 @@ def summed(node: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return name, *[np.bincount(where.ravel(), weights=v.ravel(), minlength=len(name)) for v in values]
 
 
-def deep_levels(key, table):
-    """Depths DEPTH to 2 of the tree under one pair of nearest bytes.
+def near_levels(run: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels DEPTH to NEAR of the tree, from the runs met in training."""
+    context, place, bit = decisions(run[n > 0])
+    n = n[n > 0].astype(float)[:, None]
+    levels: list[Level] = []
+    for depth in range(DEPTH, NEAR - 1, -1):
+        node, zeros, ones = summed(node_at(context, place, depth), n * (1 - bit.astype(float)), n * bit)
+        below = None
+        if levels:  # every node of the deeper level has its parent here, and every node a child
+            deep = levels[-1]
+            below = summed(node_at(deep.node >> np.uint64(8), deep.node & np.uint64(255), depth), deep.log)[1]
+        levels.append(Level(node, zeros, ones, below))
+    return levels
+
+
+def grow(key, table):
+    """Nodes at depth NEAR of one group of runs, for the levels above."""
+    top = near_levels(table["run"].to_numpy().view(np.uint64), table["n"].to_numpy())[-1]
+    return pa.table({"node": pa.array(top.node.view(np.int64)), **{n: pa.array(v, pa.float64()) for n, v in (("zeros", top.zeros), ("ones", top.ones), ("log", top.log))}})
+
+
+def above(nodes: DataFrame, depth: int) -> DataFrame:
+    """Counts and children's log probability of the nodes one level up, at `depth`."""
+    up = F.col("node").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1))
+    return nodes.groupBy(up.alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log").alias("below"))
 
-    Gives, for each run met anywhere, the chances of its eight bits as seen from depth 2, and the nodes
-    of depth 2 for the levels above.
-    """
-    run, n = table["run"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(float)
-    context, place, bit = decisions(run)
-    known = n > 0
-    c, p, one = context[known], place[known], bit[known] * n[known][:, None]
-    zero = n[known][:, None] - one
-    chance, below = np.full(bit.shape, 0.5), None
-    for depth in range(DEPTH, 1, -1):
-        node, zeros, ones = summed(node_at(c, p, depth), zero, one)
-        inner = None
-        if below is not None:
-            parent, logs = summed(node_at(below.node >> np.uint64(8), below.node & np.uint64(255), depth), below.log)
-            inner = logs  # parents of all nodes of the level below are the nodes of this one, in the same order
-            assert np.array_equal(parent, node)
-        below = Level(node, zeros, ones, inner)
-        chance = below.predict(node_at(context, place, depth), bit, chance)
-    m, k = len(run), len(below.node)
-    return pa.table({"run": pa.chunked_array([pa.array(run.view(np.int64)), pa.nulls(k, pa.int64())]),
-                     "chance": pa.chunked_array([pa.array([x.tobytes() for x in chance], pa.binary()), pa.nulls(k, pa.binary())]),
-                     "node": pa.chunked_array([pa.nulls(m, pa.int64()), pa.array(below.node.view(np.int64))]),
-                     **{name: pa.chunked_array([pa.nulls(m, pa.float64()), pa.array(v, pa.float64())]) for name, v in (("zeros", below.zeros), ("ones", below.ones), ("log", below.log))}})
+
+def weighed(nodes: DataFrame) -> DataFrame:
+    """(node, zeros, ones, log, share) of nodes with their children's log probability."""
+
+    def weigh(batches):
+        for b in batches:
+            level = Level(b["node"].to_numpy(), b["zeros"].to_numpy(), b["ones"].to_numpy(), b["below"].to_numpy())
+            yield pa.RecordBatch.from_arrays([b["node"], b["zeros"], b["ones"], pa.array(level.log), pa.array(level.share)], ["node", "zeros", "ones", "log", "share"])
+
+    return written(nodes.mapInArrow(weigh, "node long, zeros double, ones double, log double, share double"), "lm_level")
 
 
 def run_scores(runs: DataFrame) -> DataFrame:
-    """(run, score): log10 of the chance of a run's last byte after its context, by the whole tree."""
+    """(run, score): log10 of the chance of a run's last byte after its context, by the whole tree.
+
+    The tree grows from its deep end: groups of runs that share their NEAR nearest context bytes, then
+    one aggregate per level. Depths 1 and 0 hold at most 65,535 nodes and go to every task; depth 2 meets
+    the groups that lie under it, at most 255 nodes each. Then the groups are weighed again from the top.
+    """
     spark = runs.sparkSession
-    near = F.shiftrightunsigned("run", 8).bitwiseAND(F.lit(0xFFFF))
-    deep = written(runs.select("run", "n", near.alias("near")).groupBy("near").applyInArrow(
-        deep_levels, "run long, chance binary, node long, zeros double, ones double, log double"), "lm_tree")
-    # One byte of context and 255 places: at most 65,280 rows reach the driver.
-    up = F.col("node").bitwiseAND(F.lit(0xFFFF))
-    first = deep.where("node IS NOT NULL").groupBy(up.alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log").alias("log")).toArrow().sort_by("node")
-    node, zeros, ones, logs = (first[c].to_numpy() for c in ("node", "zeros", "ones", "log"))
-    one = Level(node.astype(np.uint64), zeros, ones, logs)
-    top = Level(*summed(one.node & np.uint64(255), zeros, ones), summed(one.node & np.uint64(255), one.log)[1])
+    near = F.shiftrightunsigned("run", 8).bitwiseAND(F.lit((1 << 8 * NEAR) - 1))
+    runs = written(runs.select("run", "n", near.alias("near")), "lm_runs")
+    nodes = written(runs.groupBy("near").applyInArrow(grow, "node long, zeros double, ones double, log double"), "lm_nodes")
+    second = weighed(above(nodes, 2))
+    first = above(second, 1).toArrow().sort_by("node")
+    one = Level(*(first[c].to_numpy().astype(t) for c, t in (("node", np.uint64), ("zeros", float), ("ones", float), ("below", float))))
+    top = Level(*summed(one.node & np.uint64(255), one.zeros, one.ones, one.log))
     shared = spark.sparkContext.broadcast((one, top))
+    pair = F.lit(0xFFFF)
+    parts = second.groupBy(F.shiftright("node", 8).alias("pair")).agg(F.array_sort(F.collect_list(F.struct(F.col("node").bitwiseAND(F.lit(255)).alias("place"), "zeros", "ones", "share"))).alias("nodes"))
+    groups = written(runs.select("near").distinct().withColumn("pair", F.col("near").bitwiseAND(pair)).join(parts, "pair", "left").select("near", "nodes"), "lm_parts")
 
-    def finish(batches):
+    def weigh(left, right):
         one, top = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            run = b["run"].to_numpy().view(np.uint64)
-            context, place, bit = decisions(run)
-            chance = np.frombuffer(b"".join(b["chance"].to_pylist()), np.float64).reshape(-1, 8)
-            chance = one.predict(node_at(context, place, 1), bit, chance)
-            chance = top.predict(node_at(context, place, 0), bit, chance)
-            yield pa.RecordBatch.from_arrays([b["run"], pa.array(np.log10(chance).sum(1))], ["run", "score"])
-
-    return written(deep.where("run IS NOT NULL").select("run", "chance").mapInArrow(finish, "run long, score double"), "lm_runs")
+        run = left["run"].to_numpy().view(np.uint64)
+        context, place, bit = decisions(run)
+        chance = np.full(bit.shape, 0.5)
+        for depth, level in zip(range(DEPTH, NEAR - 1, -1), near_levels(run, left["n"].to_numpy())):
+            chance = level.predict(node_at(context, place, depth), bit, chance)
+        rows = right["nodes"][0].as_py() or []
+        zeros, ones, share = (np.array([r[c] for r in rows]) for c in ("zeros", "ones", "share"))
+        chance = mixed(np.array([r["place"] for r in rows], np.uint64), zeros, ones, share, place, bit, chance)
+        chance = one.predict(node_at(context, place, 1), bit, chance)
+        chance = top.predict(node_at(context, place, 0), bit, chance)
+        return pa.table({"run": left["run"], "score": pa.array(np.log10(chance).sum(1))})
+
+    return written(runs.groupBy("near").cogroup(groups.groupBy("near")).applyInArrow(weigh, "run long, score double"), "lm_scores")
 
 
 def scored(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
