@@ -89,40 +89,48 @@ def node_of(tokens: np.ndarray) -> bytes | None:
 
 
 def described(docs: DataFrame, key: str, text: str, runs: int) -> DataFrame:
-    """(key, node, buckets): every document with its set's name and first-level buckets, written once."""
+    """(key, node, n, buckets, sketch): every document with its set's name, size, first-level buckets and
+    least hashes, written once."""
     small_batches(docs.sparkSession)
     seeds, kind = run_seeds(runs), docs.schema[key].dataType.simpleString()
 
     def describe(batches):
         for b in batches:
             sets = [token_set(t) for t in b["_text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["_key"], pa.array([node_of(s) for s in sets], pa.binary()),
-                                              pa.array([first_buckets(s, seeds) if len(s) else [] for s in sets], pa.list_(pa.int64()))], ["key", "node", "buckets"])
+            yield pa.RecordBatch.from_arrays([b["_key"], pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([first_buckets(s, seeds) if len(s) else [] for s in sets], pa.list_(pa.int64())), _as_binary([sketch_of(s) for s in sets])],
+                                             ["key", "node", "n", "buckets", "sketch"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return written(rows.mapInArrow(describe, f"key {kind}, node binary, buckets array<bigint>"), "join_sets")
+    return written(rows.mapInArrow(describe, f"key {kind}, node binary, n long, buckets array<bigint>, sketch binary"), "join_sets")
 
 
-def tokens_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, n, tokens, sketch) for the wanted (key, node); repeated rows of a key may repeat a node."""
-    few = wanted.select("key").distinct()
-    few = F.broadcast(few) if few.count() <= CHECKED_BROADCAST else few
-    kind = docs.schema[key].dataType.simpleString()
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """The SKETCH least hashes of a set."""
+    h = scrambled(tokens)
+    return (np.sort(np.partition(h, SKETCH - 1)[:SKETCH] if len(h) > SKETCH else h) >> np.uint64(32)).astype(np.uint32)
+
+
+def with_tokens(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """`wanted` (key, node, ...) with the tokens of each node, worked out anew from the texts; a node comes
+    as often as rows repeat its key and text. Few wanted rows go to the texts, else both sides are shuffled."""
+    side = F.broadcast(wanted) if wanted.count() <= CHECKED_BROADCAST else wanted
+    more = [c for c in wanted.columns if c not in ("key", "node")]
+    fields = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in more)
 
     def build(batches):
         for b in batches:
             sets = [token_set(t) for t in b["_text"].to_pylist()]
-            least = [np.sort(np.partition(scrambled(s), SKETCH - 1)[:SKETCH] if len(s) > SKETCH else scrambled(s)) for s in sets]
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                                              _as_binary(sets), _as_binary([(x >> np.uint64(32)).astype(np.uint32) for x in least])], ["key", "node", "n", "tokens", "sketch"])
+            same = np.flatnonzero([node_of(s) == n for s, n in zip(sets, b["node"].to_pylist())])
+            at = pa.array(same, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b[c].take(at) for c in ("node", *more)], _as_binary([sets[i] for i in same])], ["node", *more, "tokens"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    picked = rows.join(few, F.col("_key").eqNullSafe(F.col("key"))).select("key", "_text")
-    built = picked.mapInArrow(build, f"key {kind}, node binary, n long, tokens binary, sketch binary")
-    return written(built, "join_tokens")
+    picked = rows.join(side, F.col("_key").eqNullSafe(F.col("key"))).select("_text", "node", *more)
+    return picked.mapInArrow(build, ", ".join(x for x in ("node binary", fields, "tokens binary") if x))
 
 
-def leaves(first: DataFrame, tokens: DataFrame) -> DataFrame:
+def leaves(first: DataFrame, tokens_for) -> DataFrame:
     """(leaf, node): the buckets to compare, of at most BUCKET sets each, without those of one set."""
     rows, found = first, []
     for level in range(1, DEPTH + 1):
@@ -141,7 +149,7 @@ def leaves(first: DataFrame, tokens: DataFrame) -> DataFrame:
             found.append(tiled.select(F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("leaf"), "node"))
             break
         again = again.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # buckets of one set, a few per run
-        rows = written(again.join(tokens.select("node", "tokens"), "node").mapInArrow(split, "bucket long, node binary").distinct(), "join_level")
+        rows = written(tokens_for(again).mapInArrow(split, "bucket long, node binary").distinct(), "join_level")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -252,32 +260,37 @@ def verify(batches):
 
 
 def similar_sets(docs: DataFrame, key: str, text: str, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(key, node) of every document, and (node, copies, root, links) of every node that has links."""
+    """Documents with their node; nodes with key and copies; (node, links, root) per tile; nodes of groups
+    that take several tiles."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = described(docs, key, text, runs_for(recall))
-    named = sets.where("node IS NOT NULL")
-    nodes = written(named.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "join_nodes")
-    spread = written(named.groupBy("node").agg(F.first("buckets").alias("buckets")).select("node", F.explode("buckets").alias("bucket")), "join_first")
+    nodes = written(sets.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "buckets", "sketch")]), "join_nodes")
+    spread = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = written(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket"), "join_buckets")
     first = written(spread.join(shared, "bucket", "left_semi"), "join_shared")
-    tokens = tokens_of(docs, nodes.join(first.select("node").distinct(), "node", "left_semi"), key, text)
-    found = written(leaves(first, tokens), "join_leaves")
-    rows = found.join(tokens.select("node", "sketch"), "node")
+    keys = nodes.select("node", "key")
+
+    def tokens_for(rows):
+        return with_tokens(docs, written(rows.join(keys, "node").select("key", "node", "buckets"), "join_split"), key, text)
+
+    found = written(leaves(first, tokens_for), "join_leaves")
+    rows = found.join(nodes.select("node", "sketch"), "node")
     edges = written(rows.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(sketch_edges, "src binary, dst binary").distinct(), "join_edges")
-    group = written(connected_components(edges).withColumnRenamed("component", "group"), "join_groups")
-    member = group.join(tokens, "node").join(nodes.select("node", "copies"), "node")
-    totals = group.join(tokens.select("node", "n"), "node").groupBy("group").agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_tokens"))
-    totals = written(totals.select("group", F.greatest(F.ceil(F.col("_sets") * 2 / TILE), F.ceil(F.col("_tokens") * 2 / TILE_TOKENS)).cast("int").alias("_tiles"),
-                                   (F.col("_sets") > TILE).alias("_many"), (F.col("_tokens") > TILE_TOKENS).alias("_long")), "join_totals")
-    totals = totals.select("group", F.when(F.col("_many") | F.col("_long"), F.col("_tiles")).otherwise(1).alias("_tiles"))
+    group = connected_components(edges).withColumnRenamed("component", "group")
+    member = written(group.join(nodes.select("node", "key", "n", "copies"), "node"), "join_members")
+    size = member.groupBy("group").agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_tokens"))
+    tiles = F.greatest(F.ceil(F.col("_sets") * 2 / TILE), F.ceil(F.col("_tokens") * 2 / TILE_TOKENS)).cast("int")
+    wide = written(size.where((F.col("_sets") > TILE) | (F.col("_tokens") > TILE_TOKENS)).select("group", tiles.alias("_tiles")), "join_wide")
+    placed = written(member.join(wide, "group", "left").select("key", "node", "n", "copies", "group", F.coalesce("_tiles", F.lit(1)).alias("_tiles")), "join_placed")
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("_tiles")).cast("int")
-    tiled = (member.join(totals, "group").withColumn("side", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    tiled = (with_tokens(docs, placed, key, text).withColumn("side", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
              .withColumn("pair", F.col("side") != F.col("_other"))
              .withColumn("tile", F.xxhash64("group", F.least("side", "_other"), F.greatest("side", "_other"))))
     checked = written(tiled.select("tile", "side", "pair", "node", "n", "copies", "tokens").repartition(parts, "tile").sortWithinPartitions("tile")
                       .mapInArrow(verify, "node binary, links long, root binary"), "join_links")
-    wide = written(group.join(totals.where("_tiles > 1"), "group").select("node"), "join_wide")
+    wide = placed.where("_tiles > 1").select("node")
     return sets, nodes, checked, wide
 
 
@@ -296,7 +309,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: flo
     else:  # groups in several tiles: the tiles' own labels are edges between them
         edges = checked.join(wide, "node", "left_semi").select(F.col("node").alias("src"), F.col("root").alias("dst"))
         label = links.join(connected_components(edges), "node", "left").select("node", "links", F.coalesce("component", "root").alias("root"))
-    facts = written(nodes.join(label, "node", "left").select("node", "key", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "join_facts")
+    facts = written(nodes.select("node", "key", "copies").join(label, "node", "left").select("node", "key", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "join_facts")
     least = facts.groupBy("root").agg(F.min("key").alias("class_id"))
     facts = written(facts.join(least, "root").select("node", "class_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")), "join_classes")
     return sets.select("key", "node").join(facts, "node", "left").select(
