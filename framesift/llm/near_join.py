@@ -295,7 +295,7 @@ def similar_sets(docs: DataFrame, key: str, text: str, recall: float) -> tuple[D
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """(key, node, class_id, n_links, copies) for every document.
+    """(key, node, root, class_id, n_links, copies) for every document; root names the class.
 
     class_id: the least key among all documents connected by links of similarity 0.8 or more, itself
     included; n_links: other documents whose set is that similar, copies counted; copies: documents with
@@ -311,9 +311,9 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", recall: flo
         label = links.join(connected_components(edges), "node", "left").select("node", "links", F.coalesce("component", "root").alias("root"))
     facts = written(nodes.select("node", "key", "copies").join(label, "node", "left").select("node", "key", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "join_facts")
     least = facts.groupBy("root").agg(F.min("key").alias("class_id"))
-    facts = written(facts.join(least, "root").select("node", "class_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")), "join_classes")
+    facts = written(facts.join(least, "root").select("node", "root", "class_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")), "join_classes")
     return sets.select("key", "node").join(facts, "node", "left").select(
-        F.col("key").alias(key), "node", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
+        F.col("key").alias(key), "node", "root", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
@@ -323,8 +323,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Documents without words all stay. Keys should be unique; where rows repeat a key, the right one is
     found by its text and kept once.
     """
-    found = written(joined(docs, key, text).select(F.col(key).alias("key"), "node", "class_id"), "join_found")
-    best = found.where("node IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("key", "node")).alias("best")).select("best.*")
+    found = written(joined(docs, key, text).select(F.col(key).alias("key"), "node", "root"), "join_found")
+    best = found.where("node IS NOT NULL").groupBy("root").agg(F.min(F.struct("key", "node")).alias("best")).select("best.*")
     rows = found.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("node").isNull()).alias("_blank"))
     keep = written(best.join(rows, best["key"].eqNullSafe(rows["key"])).select(best["key"].alias("_key"), F.col("node").alias("_node"), "_rows"), "join_keep")
     named = [F.col(f"`{c}`") for c in docs.columns]
