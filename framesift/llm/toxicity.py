@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -249,12 +250,13 @@ def scored(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str =
     def score(batches):
         m = shared.value
         if m:
-            bits, votes = voter_bits(m["voters"]), len(m["voters"]) + 2
+            bits, votes, weigh = voter_bits(m["voters"]), len(m["voters"]) + 2, m["weights"].get
         for b in batches:
             out = []
             for t in b["_text"].to_pylist():
                 words = words_of(t)
-                out.append(float(sigmoid(m["b"] + sum(m["weights"].get(x, 0.0) for x in sorted(features_of(words, bits(words, pattern_votes(t)), votes))))) if m else 0.0)
+                known = filter(None, map(weigh, features_of(words, bits(words, pattern_votes(t)), votes))) if m else ()
+                out.append(float(sigmoid(m["b"] + fsum(known))) if m else 0.0)  # fsum: the same sum in any order
             yield pa.RecordBatch.from_arrays([b["_key"], pa.array(out, pa.float64())], ["_key", "score"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(score, f"_key {kind}, score double")
