@@ -257,7 +257,8 @@ def temporal_scores(matched: DataFrame, clip: str, hot_rows: int | None = HOT_RO
     upto = running(placed, ["_all"], ["_r"], {f"_{h}": ("sum", F.col(h)) for h in hits}, hot_rows=hot_rows)
     upto = upto.withColumns({f"_p{h}": F.col(f"_{h}") / (F.col("_r") + 1) for h in hits}).withColumn("_back", -F.col("_r"))
     env = running(upto, ["_all"], ["_back"], {f"_e{h}": ("max", F.col(f"_p{h}")) for h in hits}, hot_rows=hot_rows)
-    ap = env.agg(*[F.try_divide(F.sum(F.col(h) * F.col(f"_e{h}")), F.max(total)).alias(h.replace("hit_", "ap@")) for h in hits])
+    # No proposals at all, but segments to find: 0.
+    ap = env.agg(*[F.try_divide(F.coalesce(F.sum(F.col(h) * F.col(f"_e{h}")), F.lit(0.0)), total).alias(h.replace("hit_", "ap@")) for h in hits])
     ar = matched.agg(*[F.try_divide(F.sum(f"ar_{n}"), F.max(total)).alias(f"ar@{n}") for n in AR_AT])
 
     def long(df):

@@ -175,8 +175,9 @@ def d13(spark, sf):
 @query("d14_ratio_splits", "D14")
 def d14(spark, sf):
     comp = C.connected_components(document_edges(spark, sf)).where("node LIKE 'row:%'")
-    lock = F.max(F.when((F.col("node") == F.col("component")) & (stable_int(F.col("component")) % 5 == 0), split_of(F.col("component"))))
-    groups = comp.groupBy("component").agg(F.count(LIT(1)).alias("n"), lock.alias("locked"))
+    lock = F.when((F.col("node") == F.col("component")) & (stable_int(F.col("component")) % 5 == 0), split_of(F.col("component")))
+    locks = A.component_locks(comp.withColumn("lock", lock), "component", "lock")
+    groups = comp.groupBy("component").agg(F.count(LIT(1)).alias("n")).join(locks, "component")
     return A.assign_ratio_splits(groups, "42")
 
 

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from framesift.operators import allocate as A
@@ -69,6 +70,27 @@ def test_pack_batches_matches_loop(spark):
     assert got == want
 
 
+def test_pack_batches_goes_on_in_the_open_batch(spark):
+    df = spark.createDataFrame([(1, 1, 2.0, 10.0), (2, 2, 3.0, 10.0), (3, 3, 3.0, 10.0)], "src long, vid long, h double, mb double").withColumn("rank", F.col("vid"))
+    got = {r["vid"]: r["batch"] for r in A.pack_batches(df, "src", "vid", "rank", "h", "mb", 6.0, 700.0, open_batch=(4, 1.5, 20.0)).collect()}
+    assert got == {1: 4, 2: 5, 3: 5}
+
+
+def test_pack_batches_does_not_depend_on_size(spark):
+    rows = spark.range(10_000).selectExpr("1L AS src", "id AS vid", "id AS rank", "0.4D AS h", "1.0D AS mb")
+    got = A.pack_batches(rows, "src", "vid", "rank", "h", "mb", 2.1, 1e9).groupBy("batch").count().collect()
+    assert len(got) == 2000 and all(r["count"] == 5 for r in got)
+
+
+def test_ratio_splits_refuse(spark):
+    few = spark.createDataFrame([("a", 1, None), ("b", 2, None)], "component string, n long, locked string")
+    with pytest.raises(ValueError, match="Fewer groups"):
+        A.assign_ratio_splits(few, "42")
+    torn = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", None)], "component string, lock string")
+    with pytest.raises(ValueError, match="two splits"):
+        A.component_locks(torn, "component", "lock")
+
+
 def test_ratio_splits_keep_locks_and_fill_all(spark):
     data = [(f"g{i}", n, "test" if i == 3 else None) for i, n in enumerate([30, 20, 10, 8, 5, 5, 4, 3, 2, 1])]
     df = spark.createDataFrame(data, "component string, n long, locked string")
@@ -85,7 +107,8 @@ def test_form_parts_balances_genders(spark):
     data = [(f"c{i:02d}", f"2024-01-{i + 1:02d}", *kinds[i % 3], i == 4) for i in range(15)]
     df = spark.createDataFrame(data, "component string, first string, m long, f long, blocked boolean")
     got = A.form_parts(df, 3).collect()
-    assert "c04" not in {r["component"] for r in got}
+    assert {r["component"]: r["part"] for r in got if r["status"] == "blocked"} == {"c04": None} and len(got) == 15
+    assert all((r["part"] is not None) == (r["status"] == "placed") for r in got)
     size = {d[0]: (d[2], d[3]) for d in data}
     parts = defaultdict(lambda: [0, 0])
     for r in got:
