@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from framesift.functions import vectors as V
 from framesift.operators.ordered import HOT_ROWS, positions, running, top_k
+from framesift.session import checkpointed
 
-# An input has at most 15 videos of 150 clips, so this bounds one cluster block.
-BLOCK_CLIPS = 15 * 150
 # Cosine thresholds of the match rule.
 MATCH = {"high": 0.55, "low": 0.35, "margin": 0.08, "voice_low": 0.35}
 
@@ -119,42 +118,100 @@ def match_registry(probes: DataFrame, ident: str, registry: DataFrame, key: str,
         F.when(~channel & ~overall & low, F.col("_best")).alias("suggestion"), F.col("_sim").alias("sim"))
 
 
+class Leaders:
+    """Running sums of the clusters of one block, and their unit centres."""
+
+    def __init__(self, width: int):
+        self.sums, self.centres = np.empty((0, width)), np.empty((0, width))
+
+    def _centre(self, i: int) -> None:
+        self.centres[i] = self.sums[i] / max(float(np.sqrt(self.sums[i] @ self.sums[i])), 1e-8)
+
+    def take(self, vector: np.ndarray, threshold: float) -> None:
+        """Add a vector to the closest leader, or let it lead."""
+        near = self.centres @ vector
+        i = int(near.argmax()) if len(near) else -1
+        if i < 0 or near[i] < threshold:
+            i = len(self.sums)
+            self.sums, self.centres = (np.append(x, np.zeros((1, x.shape[1])), 0) for x in (self.sums, self.centres))
+        self.sums[i] += vector
+        self._centre(i)
+
+    def joined(self, threshold: float) -> np.ndarray:
+        """Unit centres after the closest two have been joined for as long as they reach the threshold;
+        only the similarities of the joined centre are worked out again."""
+        n = len(self.sums)
+        alike = np.where(np.triu(np.ones((n, n), bool), 1), self.centres @ self.centres.T, -np.inf)
+        gone = np.zeros(n, bool)
+        while n - gone.sum() > 1:
+            keep, lost = np.unravel_index(int(alike.argmax()), alike.shape)
+            if alike[keep, lost] < threshold:
+                break
+            self.sums[keep] += self.sums[lost]
+            self._centre(keep)
+            gone[lost] = True
+            alike[lost, :] = alike[:, lost] = -np.inf
+            fresh = np.where(gone, -np.inf, self.centres @ self.centres[keep])
+            alike[keep, keep + 1:], alike[:keep, keep] = fresh[keep + 1:], fresh[:keep]
+        return self.centres[~gone]
+
+
 def leader_clusters(points: DataFrame, block: str, order: str, vector: str, threshold: float) -> DataFrame:
-    """points(block, order, vector) → adds cluster: join the closest leader at or above the
-    threshold in id order, merge close centres, assign once more.
+    """points(block, order, vector) → adds cluster: join the closest leader at or above the threshold in
+    order, join close centres, assign once more to the closest. A block is one input of any size.
 
-    A block is one input; planning caps it at BLOCK_CLIPS clips, and a larger one is refused.
+    Leading is sequential: a block's sorted rows stream through one task whose state is the leaders.
+    The second assignment is spread over tasks, each of which gets the block's centres first.
     """
-    schema = points.select("*", F.lit(0).alias("cluster")).schema
-
-    def unit(rows: np.ndarray) -> np.ndarray:
-        return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-8)
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > BLOCK_CLIPS:
-            raise ValueError(f"Input with {len(pdf)} clips, planning allows {BLOCK_CLIPS}")
-        pdf = pdf.sort_values(order)
-        data = np.stack(pdf[vector].to_numpy()).astype(float)
-        sums = np.zeros((0, data.shape[1]))
-        for row in data:
-            sims = unit(sums) @ row
-            if len(sims) and sims.max() >= threshold:
-                sums[int(sims.argmax())] += row
-            else:
-                sums = np.vstack([sums, row])
-        while len(sums) > 1:
-            centres = unit(sums)
-            sims = centres @ centres.T
-            np.fill_diagonal(sims, -1)
-            a, b = sorted(np.unravel_index(int(sims.argmax()), sims.shape))
-            if sims[a, b] < threshold:
-                break
-            sums[a] += sums[b]
-            sums = np.delete(sums, b, axis=0)
-        labels = (data @ unit(sums).T).argmax(axis=1)
-        return pdf.assign(cluster=pd.factorize(labels, sort=True)[0].astype("int32"))
-
-    return points.groupBy(block).applyInPandas(assign, schema)
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(points.dtypes)[block]
+
+    def lead(batches):
+        name, leaders = None, None
+
+        def done():
+            centres = leaders.joined(threshold)
+            return pd.DataFrame({block: [name] * len(centres), "_cluster": np.arange(len(centres)), "_v": list(centres)})
+
+        for pdf in batches:
+            for key, row in zip(pdf[block], pdf["_v"]):
+                if leaders is None or key != name:
+                    if leaders is not None:
+                        yield done()
+                    name, leaders = key, Leaders(len(row))
+                leaders.take(np.asarray(row, float), threshold)
+        if leaders is not None:
+            yield done()
+
+    v = F.col(vector).cast("array<double>").alias("_v")
+    led = points.select(block, order, v).repartition(block).sortWithinPartitions(block, order).mapInPandas(
+        lead, f"{block} {kind}, _cluster long, _v array<double>")
+    led = checkpointed(led)
+    named = points.select(block, order, v, F.pmod(F.xxhash64(order), F.lit(spread)).alias("_salt"), F.lit(None).cast("long").alias("_cluster"))
+    copied = led.select(block, F.lit(None).cast(dict(points.dtypes)[order]).alias(order), "_v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("_salt"), "_cluster")
+    both = named.unionByName(copied).repartition(block, "_salt").sortWithinPartitions(block, "_salt", F.col("_cluster").asc_nulls_last())
+
+    def assign(batches):
+        name, centres, stacked = None, [], None
+        for pdf in batches:
+            found = []
+            for key, salt, cluster, row in zip(pdf[block], pdf["_salt"], pdf["_cluster"], pdf["_v"]):
+                if (key, salt) != name:
+                    name, centres, stacked = (key, salt), [], None
+                if not pd.isna(cluster):
+                    centres.append(row)
+                    found.append(-1)
+                    continue
+                if stacked is None:
+                    stacked = np.stack(centres)
+                found.append(int((stacked @ np.asarray(row, float)).argmax()))
+            yield pdf[[block, order]].assign(_cluster=found)[np.array(found) >= 0]
+
+    closest = both.mapInPandas(assign, f"{block} {kind}, {order} {dict(points.dtypes)[order]}, _cluster long")
+    closest = checkpointed(closest)
+    used = closest.select(block, "_cluster").distinct()  # a centre that lost all its rows leaves no number behind
+    number = (F.row_number().over(W.partitionBy(block).orderBy("_cluster")) - 1).alias("cluster")
+    return points.join(closest.join(used.select(block, "_cluster", number), [block, "_cluster"]).drop("_cluster"), [block, order])
 
 
 def add_vectors(a: Column, b: Column, sign: int = 1) -> Column:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from framesift.functions import vectors as V
 from framesift.functions.rules import add_flag
 from framesift.operators import identity as P
-from framesift.operators.ordered import positions
 from framesift.operators.signals import exact_quantiles
 from framesift.plans.fixtures import VECTORS, vectors
 from framesift.plans.registry import query
@@ -38,10 +37,8 @@ def j11(spark, sf):
 
 @query("v1_leader_clusters", "V1")
 def v1(spark, sf):
-    """Blocks of one label and one planning cap of clips."""
-    placed = positions(vectors(spark, sf), ["label"], ["vec_id"])
-    block = F.concat_ws(":", "label", F.floor(F.col("t") / P.BLOCK_CLIPS))
-    points = placed.select(block.alias("input"), "vec_id", "v")
+    """One label is one input."""
+    points = vectors(spark, sf).select(F.col("label").cast("string").alias("input"), "vec_id", "v")
     return P.leader_clusters(points, "input", "vec_id", "v", 0.2).select("input", "vec_id", "cluster")
 
 
@@ -77,8 +74,7 @@ def v3(spark, sf):
 @query("v4_identify_batch", "V4")
 def v4(spark, sf):
     """Cluster every input, match the cluster centres, keep small unmatched clusters unassigned."""
-    placed = positions(vectors(spark, sf), ["label"], ["vec_id"])
-    points = placed.select(F.concat_ws(":", "label", F.floor(F.col("t") / P.BLOCK_CLIPS)).alias("input"), "vec_id", "v")
+    points = vectors(spark, sf).select(F.col("label").cast("string").alias("input"), "vec_id", "v")
     clustered = P.leader_clusters(points, "input", "vec_id", "v", 0.2).withColumn("probe", F.concat_ws("/", "input", "cluster"))
     centres = P.centroids(clustered, "probe", "v", SIZE)
     probes = centres.select("probe", "n", F.col("centre").alias("face"), F.array().cast("array<bigint>").alias("channels"))
