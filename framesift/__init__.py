@@ -1 +1,8 @@
 """framesift: Spark DataFrame operators for curating talking-head clips and grading detectors."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the executors by value, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
