@@ -7,8 +7,8 @@ its length and its number within that length.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left, insort
-from functools import lru_cache
 from json import loads
 from zlib import crc32
 
@@ -88,9 +88,12 @@ class WordEncoder:
         return [b"".join([self.known[w] for w in words]) for words in split]
 
 
-@lru_cache(1)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """The worker process's encoder; kept outside this module, whose functions arrive anew with each task."""
+    kept = sys.__dict__.setdefault("_framesift_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
