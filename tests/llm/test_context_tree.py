@@ -102,7 +102,7 @@ def test_log_gamma():
 
 
 def test_held_out_texts_beat_the_word_counts(spark):
-    out = tree.op9(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    out = tree.op9(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
     assert out.s > out.b
 
 
