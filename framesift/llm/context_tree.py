@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from framesift.llm.tables import fold_of, read, small_batches, written
 
-DEPTH, NEAR = 6, 3  # bytes of context; nearest bytes whose part of the tree is one group
-BLOCK_BYTES = 8_000_000  # text of a block; one longer text is a block of its own
+DEPTH, NEAR = 5, 3  # bytes of context; nearest bytes whose part of the tree is one group
+BLOCK_BYTES = 32_000_000  # text of a block; one longer text is a block of its own
 FLUSH = 400_000  # different words a task holds before it passes its counts on
 END = b""  # stands for the end token among the words
 HALF = float(np.log(0.5))
