@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,10 +126,27 @@ def stretches(words: list[bytes], template: list[bytes], covered: float) -> list
     return out
 
 
+def windows(words: list[bytes], template: list[bytes], a: int, b: int) -> list[tuple[int, int]]:
+    """The stretch, and its parts around each place of a word that stands once in the template, from the
+    word's place before to its place after: there the word is unique, however many copies stand together."""
+    once = {w for w, n in Counter(template).items() if n == 1}
+    size, places = SPREAD * len(template), defaultdict(list)
+    for i in range(a, b):
+        if words[i] in once:
+            places[words[i]].append(i)
+    out = {(a, b)}
+    for at in places.values():
+        for before, i, after in zip([a - 1, *at], at, [*at[1:], b]):
+            out.add((max(before + 1, i - size + 1), min(after, i + size)))
+    return sorted(out)
+
+
 def best_cover(words: list[bytes], template: list[bytes], covered: float = COVERED) -> tuple[float, int, int]:
     """(coverage, first word, end word) of the best alignment in a whole text; (0, 0, 0) without one."""
     best = (0.0, 0, 0)
-    for a, b in stretches(words, template, covered):
+    for a, b in sorted({w for s in stretches(words, template, covered) for w in windows(words, template, *s)}):
+        if best[0] == 1 and best[1] <= a:
+            break  # no later window holds a better or an earlier one
         pairs = aligned(words[a:b], template)
         if pairs:
             got = (len(pairs) / len(template), a + pairs[0][0], a + pairs[-1][0] + 1)

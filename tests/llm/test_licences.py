@@ -67,3 +67,15 @@ def test_every_planted_line(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     for r in licences.op5(spark, "/root/testdata/sf0.01").collect():
         assert set(filter(None, r.found.split(","))) == {n for n, line in lines.items() if line in texts[r.doc_id]}
+
+
+def test_copies_that_stand_together_inside_prose(spark, docs_of):
+    line, mit, apache = (licences.TEMPLATES[n] for n in ("Apache-2.0", "MIT-text", "Apache-2.0-notice"))
+    edited = mit.replace("free of charge", "at no cost").replace("sublicense", "relicense")
+    prose = "of the end and to the rest in any case or not "
+    rows = [(1, f"the end. {line} {line} See the rest"), (2, prose + mit + " " + mit + " " + prose), (3, prose + edited + " " + edited + " " + edited + " " + prose),
+            (4, prose + apache + "\n" + apache + "\n" + prose), (5, prose + edited + " " + prose + mit + " " + prose), (6, prose * 40)]
+    got = {r.doc_id: r for r in licences.scan(docs_of(rows)).collect()}
+    assert [got[i].licence for i in range(1, 7)] == ["Apache-2.0", "MIT-text", "MIT-text", "Apache-2.0-notice", "MIT-text", None]
+    assert [got[i].coverage for i in (1, 2, 4, 5)] == [1] * 4 and 0.9 < got[3].coverage < 1
+    assert (got[1].first_word, got[1].end_word) == (2, 9) and got[2].first_word == len(licences.words_of(prose))
