@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from framesift.llm.near_join import by_group
 from framesift.llm.tables import read, small_batches, uniform, written
 
-NEIGHBOURS = 14  # edges each vector keeps
-PROJECTIONS, BLOCK = 3, 96  # first neighbours: sorted along random directions, compared in blocks
-ROUNDS, SETTLED = 7, 0.01  # most rounds; share of changed edges at which they end
-OFFERS = 6  # new neighbours a vector may be offered by one of its neighbours in a round
-BEAM, EXPAND, HOPS = 48, 12, 10  # vectors a query keeps, expands at once, and most hops
+NEIGHBOURS = 24  # edges each vector keeps
+PROJECTIONS, BLOCK = 3, 256  # first neighbours: sorted along random directions, compared in blocks
+SETTLED = 0.01  # share of changed edges at which the rounds end
+HELD = 1_000_000  # edges a task holds before it drops those that cannot be kept
+WAYS_IN = 4  # nearest neighbours from which a vector is always reached, also where they are hubs
+BEAM, EXPAND = 96, 32  # vectors a query keeps at first, and expands at once
+CHECKED, RECALL = 64, 0.95  # queries compared with the whole table; share of their nearest the search must find
 ENTRIES = 64  # fixed starting points of the search, a sample by hash
 
 
@@ -72,12 +74,45 @@ def nearest_in(nodes: np.ndarray, d: np.ndarray, most: int) -> pa.RecordBatch:
     return edge_batch(nodes[row], nodes[at[row, col]], near[row, col])
 
 
+def thinned(batches):
+    """Edges without repeats and without those beyond the nearest NEIGHBOURS of a vector in this task,
+    which no later step could keep."""
+
+    def thin(held):
+        u, v, d = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        at = np.lexsort((v, d, u))
+        u, v, d = u[at], v[at], d[at]
+        new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (d[1:] != d[:-1])]
+        u, v, d = u[new], v[new], d[new]
+        first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+        rank = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)]))
+        near = rank < NEIGHBOURS
+        return edge_batch(u[near], v[near], d[near])
+
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+        if size > HELD:
+            held = [thin(held)]
+            size = held[0].num_rows
+            if size > HELD // 2:
+                yield from held
+                held, size = [], 0
+    if held:
+        yield thin(held)
+
+
 def first_edges(nodes: DataFrame) -> DataFrame:
     """Neighbours within blocks of vectors that lie together along a few random directions."""
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(batches):
+        return thinned(blocks(batches))
+
+    def blocks(batches):
         held: list[tuple[int, bytes]] = []
         for b in batches:
             held += zip(b["node"].to_pylist(), b["half"].to_pylist())
@@ -114,7 +149,11 @@ def kept(edges: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
 
 def local_join(batches):
     """Distances between the neighbours of one vector, where one of the two is fresh; only offers that
-    beat what a vector has are sent on."""
+    beat what a vector has are sent on. No vector can keep more than NEIGHBOURS of them."""
+    return thinned(offers_of(batches))
+
+
+def offers_of(batches):
     for group in by_group(batches, "centre"):
         node, at = np.unique(group["member"].to_numpy(), return_index=True)
         fresh, radius = group["fresh"].to_numpy()[at] > 0, group["radius"].to_numpy()[at]
@@ -124,7 +163,7 @@ def local_join(batches):
         d = square_distances(unpacked([halves[i] for i in at]))
         np.fill_diagonal(d, np.inf)
         d[~(fresh[:, None] | fresh[None, :]) | (d >= radius[:, None])] = np.inf
-        yield nearest_in(node, d, OFFERS)
+        yield nearest_in(node, d, NEIGHBOURS)
 
 
 def neighbour_graph(nodes: DataFrame) -> DataFrame:
@@ -135,7 +174,7 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
     halves = written(packed(nodes), "nn_vectors")
     total = halves.count()
     graph = written(kept(first_edges(halves).withColumn("fresh", F.lit(1))), "nn_graph")
-    for _ in range(ROUNDS):
+    while True:
         forward = graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "fresh", "d")
         back = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "fresh", "d")
         rank = W.partitionBy("centre").orderBy(F.desc("fresh"), "d", "member")  # a hub joins its nearest, not all
@@ -155,34 +194,69 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """(query_id, node, score): the nearest BEAM vectors found for (query_id, qvec, node or null).
+def exact(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(query_id, node): the k nearest other vectors of CHECKED queries, a sample by hash, from the whole table."""
+    sample = queries.orderBy(uniform(F.lit("checked"), "query_id"), "query_id").limit(CHECKED).collect()
+    ids, own = np.array([r.query_id for r in sample], np.int64), np.array([r.node for r in sample], np.int64)
+    q = np.array([r.qvec for r in sample], float).reshape(len(sample), -1 if sample else 0)
 
-    Every query starts at ENTRIES fixed vectors, and at its own where it has one in the graph. Each hop
-    expands the nearest vectors not yet expanded along edges both ways, and ends when all kept ones are.
+    def look(batches):
+        d, node = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        for b in batches:
+            if b.num_rows and len(ids):
+                x, name = short(b["vec"]).astype(float), b["node"].to_numpy()
+                far = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
+                far[own[:, None] == name[None, :]] = np.inf
+                d, node = np.hstack([d, far]), np.hstack([node, np.broadcast_to(name, far.shape)])
+                at = np.argsort(d, 1, kind="stable")[:, :k]
+                d, node = np.take_along_axis(d, at, 1), np.take_along_axis(node, at, 1)
+        row, col = np.nonzero(np.isfinite(d))
+        yield edge_batch(ids[row], node[row, col], d[row, col])
+
+    found = nodes.select("node", "vec").mapInArrow(look, "u long, v long, d double")
+    rank = F.row_number().over(W.partitionBy("u").orderBy("d", "v"))
+    return written(found.withColumn("r", rank).where(F.col("r") <= k).select(F.col("u").alias("query_id"), F.col("v").alias("node")), "nn_exact")
+
+
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, node, score): the nearest vectors found for (query_id, qvec, node), BEAM or more.
+
+    Every query starts at ENTRIES fixed vectors and at its own. Each hop expands the nearest kept vectors
+    not yet expanded along edges both ways. When none is left, a sample of the queries is compared with
+    the whole table: until RECALL of their nearest are found, every query keeps twice as many and goes on.
     """
-    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d")
-    back = back.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).where(F.col("r") <= NEIGHBOURS).drop("r")
+    back = graph.withColumn("own", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).select(F.col("v").alias("u"), F.col("u").alias("v"), "d", "own")
+    back = back.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).where((F.col("r") <= NEIGHBOURS) | (F.col("own") <= WAYS_IN)).select("u", "v", "d")
     ways = written(graph.unionByName(back).select("u", "v").distinct(), "nn_ways")
     entries = nodes.orderBy(uniform(F.lit("entry"), "node"), "node").limit(ENTRIES).select("node", "vec")
     lists = entries.agg(F.collect_list(F.struct("node", "vec")).alias("entries"))  # ENTRIES vectors, in one row
     start = queries.join(F.broadcast(lists)).select("query_id", "qvec", F.explode("entries").alias("e")).select("query_id", F.col("e.node").alias("node"), distance(F.col("qvec"), F.col("e.vec")).alias("score"))
     own = queries.where("node IS NOT NULL").select("query_id", "node", F.lit(0.0).alias("score"))
-    seen = start.unionByName(own).groupBy("query_id", "node").agg(F.min("score").alias("score")).withColumn("open", F.lit(True))
-    seen = written(seen, "nn_seen")
+    seen = written(start.unionByName(own).groupBy("query_id", "node").agg(F.min("score").alias("score")), "nn_seen")
+    turns = None
+    wanted, total, width = exact(queries, nodes, k), nodes.count(), BEAM
+    sought = wanted.count()
     near = W.partitionBy("query_id").orderBy("score", "node")
-    for _ in range(HOPS):
-        beam = seen.withColumn("r", F.row_number().over(near)).where(F.col("r") <= BEAM).where("open")
-        turn = written(beam.withColumn("r", F.row_number().over(near)).where(F.col("r") <= EXPAND).select("query_id", "node"), "nn_turn")
+
+    def best(rows):
+        return written(rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= width).drop("r"), "nn_beam")
+
+    beam = best(seen.withColumn("open", F.lit(True)))
+    while True:
+        turn = written(beam.where("open").withColumn("r", F.row_number().over(near)).where(F.col("r") <= EXPAND).select("query_id", "node", F.lit(True).alias("_done")), "nn_turn")
         if turn.isEmpty():
-            break
+            if width >= total or beam.join(wanted, ["query_id", "node"]).count() >= RECALL * sought:
+                return beam.select("query_id", "node", "score")
+            width *= 2
+            rows = seen if turns is None else seen.join(turns, ["query_id", "node"], "left")
+            beam = best(rows.select("query_id", "node", "score", F.lit(True).alias("open") if turns is None else F.col("_done").isNull().alias("open")))
+            continue
         reached = turn.join(ways, F.col("node") == F.col("u")).select("query_id", F.col("v").alias("node")).distinct()
         new = reached.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").join(nodes, "node").join(queries.select("query_id", "qvec"), "query_id")
-        scored = new.select("query_id", "node", distance(F.col("qvec"), F.col("vec")).alias("score"), F.lit(True).alias("open"))
-        done = turn.withColumn("_done", F.lit(True))
-        old = seen.join(done, ["query_id", "node"], "left").select("query_id", "node", "score", (F.col("open") & F.col("_done").isNull()).alias("open"))
-        seen = written(old.unionByName(scored), "nn_seen")
-    return seen.withColumn("r", F.row_number().over(near)).where(F.col("r") <= BEAM).select("query_id", "node", "score")
+        new = written(new.select("query_id", "node", distance(F.col("qvec"), F.col("vec")).alias("score")), "nn_seen")
+        old = beam.join(turn, ["query_id", "node"], "left").select("query_id", "node", "score", (F.col("open") & F.col("_done").isNull()).alias("open"))
+        beam = best(old.unionByName(new.withColumn("open", F.lit(True))))
+        seen, turns = seen.unionByName(new), turn if turns is None else turns.unionByName(turn)
 
 
 def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
@@ -198,7 +272,7 @@ def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     named = written(good.join(nodes.select("node", "vec"), "vec").select("vec_id", "node", "vec"), "nn_named")
     graph = neighbour_graph(nodes)
     queries = written(named.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"), "node").dropDuplicates(["query_id"]), "nn_queries")
-    found = greedy_search(queries, nodes, graph)
+    found = greedy_search(queries, nodes, graph, k)
     few = W.partitionBy("node").orderBy("vec_id")  # no more members of one vector than a result can hold
     members = named.select("node", "vec_id").withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).drop("r")
     hits = found.join(members, "node").where("vec_id <> query_id")

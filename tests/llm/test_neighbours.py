@@ -49,3 +49,15 @@ def test_odd_vectors_copies_and_ties(spark):
 
 def test_empty_table(spark):
     assert neighbours.nearest(frame(spark, []), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_recall_holds_as_rows_grow(spark):
+    x = np.random.default_rng(5).standard_normal((8000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    d = ((x[::100, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    d[np.arange(80), np.arange(0, 8000, 100)] = np.inf
+    near = np.argsort(d, 1, kind="stable")[:, :10]
+    assert sum(len(got[100 * i] & set(n.tolist())) for i, n in enumerate(near)) >= 0.9 * 800
