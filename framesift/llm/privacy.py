@@ -25,7 +25,7 @@ CUE = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 MIN_JOINT = 3  # different texts in which a term meets an entity
-MIN_SHARE = 0.5  # of the documents with the term, those that hold the entity
+MIN_SHARE = 0.5  # of the different texts with the term, those that hold the entity
 MIN_BITS = 4.0  # pointwise mutual information of term and entity
 MAX_TERM = 64  # characters; a longer run of characters is no term
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
@@ -98,9 +98,9 @@ def disclosing(docs: DataFrame, base: DataFrame, text: str) -> DataFrame:
     """(_hash, terms): for each text with personal data, its terms that give one of its entities away.
 
     A term t gives entity e away if at least MIN_JOINT different texts hold both, at least MIN_SHARE of
-    all documents with t hold e in a different text, and log2 P(t, e) / (P(t) P(e)) is at least
-    MIN_BITS. Copies of a text count once in the joint and entity counts, and every document counts in
-    the term counts, so copies alone never make a term suspicious. Counts cover all documents.
+    the texts with t hold e, and log2 P(t, e) / (P(t) P(e)) is at least MIN_BITS. All counts are of
+    different texts, so copying a text neither makes a term suspicious nor clears it. They cover all
+    documents.
     """
     entity = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
     holders = base.where(F.size("spans") > 0).groupBy("_hash").agg(F.first("_blanked").alias("_blanked"), F.first(entity).alias("entities"))
@@ -112,9 +112,11 @@ def disclosing(docs: DataFrame, base: DataFrame, text: str) -> DataFrame:
     joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint"), F.first("n_entity").alias("n_entity")).where(F.col("n_joint") >= MIN_JOINT)
     joint = written(joint, "pii_joint")
     suspects = written(joint.groupBy("term").agg(F.max("n_joint").alias("_most")), "pii_suspects")
-    words = docs.select(F.explode(terms(plain(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    whole = plain(F.col(text))
+    texts = docs.select(F.md5(whole.cast("binary")).alias("_hash"), terms(whole).alias("terms")).groupBy("_hash").agg(F.first("terms").alias("terms"))
+    words = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     counts = words.join(suspects, "term").where(F.col("_most") >= F.col("n_term") * MIN_SHARE).select("term", "n_term")
-    total = docs.count()
+    total = docs.select(F.md5(whole.cast("binary")).alias("_hash")).distinct().count()
     bits = F.log2(F.col("n_joint") * float(total) / (F.col("n_term") * F.col("n_entity")))
     given = written(joint.join(counts, "term").where((F.col("n_joint") >= F.col("n_term") * MIN_SHARE) & (bits >= MIN_BITS)).select("entity", "term"), "pii_given")
     hits = spread.join(given.select("entity").distinct(), "entity", "left_semi").join(holders.select("_hash", "terms"), "_hash").select("_hash", "entity", F.explode("terms").alias("term"))

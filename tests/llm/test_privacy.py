@@ -80,3 +80,11 @@ def test_query_digest(spark):
         want = brute(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in want) for k in FIXED]
+
+
+def test_copying_a_letter_clears_no_name(spark, docs_of):
+    rows = planted() + [(500 + i, planted()[240][1]) for i in range(30)]
+    assert "Kestrel" in rows[240][1]
+    got = {r.doc_id: {s.value.lower() for s in r.term_spans} for r in privacy.examined(docs_of(rows)).select("_row.doc_id", "term_spans").collect()}
+    assert all("kestrel" in got[i] for i in [*range(40, 46), *range(500, 530)])
+    assert not any(got[i] for i in [*range(40), *range(200, 400), *range(100, 130)])
