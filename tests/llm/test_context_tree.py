@@ -110,3 +110,8 @@ def test_nothing_to_learn_from(spark, docs_of):
     got = tree.scored(docs_of([(1, "ab"), (None, None)]), F.lit(True)).collect()
     assert {round(r.score, 6) for r in got} == {round(-24 * math.log10(2), 6), round(-8 * math.log10(2), 6)} and {r.train_tokens for r in got} == {0}
     assert tree.scored(docs_of([]), F.lit(False)).count() == 0
+
+
+def test_the_sixth_byte_back_is_context():
+    run, owner = tree.runs_of([b"1abcdex", b"2abcdex"])
+    assert run[owner == 0][6] != run[owner == 1][6]
