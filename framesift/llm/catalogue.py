@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from framesift.llm import context_tree, licences, mixing, near_join, neighbours, packing, preference, privacy, quality, toxicity
+from framesift.llm import content_sort, context_tree, licences, mixing, near_join, neighbours, packing, preference, privacy, quality, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8,
     "op9_context_tree_score": context_tree.op9,
     "op10_ngram_jaccard_join": near_join.op10,
+    "op11_exact_dedup": content_sort.op11,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_preference_format": preference.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
     "op10_ngram_jaccard_join": near_join.ORACLE,
+    "op11_exact_dedup": content_sort.ORACLE,
 }
