@@ -39,3 +39,10 @@ def uniform(*parts: Column | str) -> Column:
     """A number in [0, 1) fixed by the hash of its parts; the same wherever and however often it runs."""
     text = F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression for the crc32 of an ASCII text, bit by bit."""
+    bit = "list_reduce(list_prepend(xor(a, b), range(8)), lambda s, i: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, CASE WHEN {text} = '' THEN [] ELSE {codes} END), lambda a, b: {bit}), 4294967295)"
