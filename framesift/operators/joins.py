@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from framesift.functions.hashing import stable_int
 from framesift.operators.ordered import (
-    BLOCK, HOT_ROWS, halo, positions, previous, running, settle,
+    BLOCK, HOT_KEYS, HOT_ROWS, halo, positions, previous, running, settle,
 )
+from framesift.session import checkpointed
+
+NULL_PARTS = 1_000  # rows without a key match nothing; a left join deals them to so many parts
 
 
 def range_join(points: DataFrame, spans: DataFrame, keys: list[str], pos: str, a: str, b: str,
@@ -26,6 +29,40 @@ def range_join(points: DataFrame, spans: DataFrame, keys: list[str], pos: str, a
     return left.join(right, [*keys, "_bucket"]).where(inside).drop("_bucket")
 
 
+def spread_join(rows: DataFrame, totals: DataFrame, keys: list[str], how: str = "left",
+                spread: list[str] | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Join one row per key (`totals`) to many, also where one key holds a large share of them.
+
+    Keys with more than share = max(hot_rows, all rows / HOT_KEYS) rows are hot; there are at most
+    HOT_KEYS, so their list is safe to broadcast. A hot key's rows are dealt to one part per share by
+    a hash of `spread` (all columns by default), and its total is listed once per part, at most
+    2 · HOT_KEYS rows in all. Neither side is read twice. `how` is left or inner; with only light
+    keys, or `hot_rows=None` (known to be light), it is a plain join.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError("spread_join is left or inner")
+    if hot_rows is None:
+        return rows.join(totals, keys, how)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    top, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    share = max(hot_rows, (total or 0) // HOT_KEYS, 1)
+    if (top or 0) <= share:
+        return rows.join(totals, keys, how)
+    named = [F.col(k).isNotNull() for k in keys]
+    known = named[0]
+    for one in named[1:]:
+        known = known & one
+    heavy = checkpointed(counts.where((F.col("_n") > share) & known).select(
+        *keys, F.ceil(F.col("_n") / F.lit(share)).cast("int").alias("_parts")))
+    columns = spread or [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    parts = F.when(known, F.coalesce("_parts", F.lit(1))).otherwise(F.lit(NULL_PARTS))
+    left = rows.join(F.broadcast(heavy), keys, "left").withColumn(
+        "_part", F.pmod(F.xxhash64(*[F.col(c) for c in columns]), parts).cast("int")).drop("_parts")
+    right = totals.join(F.broadcast(heavy), keys, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
 def as_of(grid: DataFrame, rows: DataFrame, keys: list[str], pos: str, columns: list[str],
           hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Last row at or before each grid point, as one ordered pass over grid ∪ rows.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framesift.operators import metrics as M
 from framesift.operators.intervals import fill_gaps, resample
-from framesift.operators.joins import as_of, donors, lag_sums, nearest_donor
+from framesift.operators.joins import as_of, donors, lag_sums, nearest_donor, spread_join
 from framesift.operators.ordered import HOT_ROWS, halo, light, merge_spans, positions, previous, running, runs
 from framesift.operators.signals import exact_quantiles, pool, proposals
 
@@ -126,3 +126,28 @@ def test_proposals_in_rounds_match_one_task(series, rows):
     s = series.withColumn("v", F.coalesce("v", F.lit(0.0)) + F.col("id") / 1000)
     a, b = (proposals(s, ["k"], "id", "v", hot_rows=h).select("k", "a", "b", F.round("score", 9).alias("s")) for h in (HOT, HOT_ROWS))
     same(a, b, rows)
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_spread_join_is_a_join(spark, series, rows, how):
+    some = series.withColumn("k", F.when(F.col("id") % 7 != 0, F.col("k")))  # a seventh has no key
+    totals = series.where("k <> 'c'").groupBy("k").agg(F.sum("v").cast("decimal(12,2)").alias("sum"))
+    same(spread_join(some, totals, ["k"], how, ["id"], HOT), spread_join(some, totals, ["k"], how, hot_rows=None), rows)
+    same(spread_join(some, totals, ["k"], how, None, HOT), spread_join(some, totals, ["k"], how), rows)
+    assert spread_join(some.limit(0), totals, ["k"], how, hot_rows=HOT).count() == 0
+
+
+def test_spread_join_deals_a_hot_key(spark):
+    """Half of the rows in one key: no task of the join reads more than three medians."""
+    table = spark.range(60_000, numPartitions=8).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"))
+    totals = table.groupBy("k").agg(F.count("*").alias("n"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(old, ("-1", "false", "16")):
+            spark.conf.set(c, v)
+        joined = spread_join(table, totals, ["k"], hot_rows=400)
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) == 60_000 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
