@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from framesift.llm import content_sort, context_tree, licences, mixing, near_join, neighbours, packing, periodic_runs, preference, privacy, quality, toxicity
+from framesift.llm import content_sort, context_tree, licences, mixing, near_join, neighbours, packing, periodic_runs, preference, prefix_trie, privacy, quality, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_context_tree_score": context_tree.op9,
     "op10_ngram_jaccard_join": near_join.op10,
     "op11_exact_dedup": content_sort.op11,
+    "op12_prefix_trie": prefix_trie.op12,
     "op13_periodic_runs": periodic_runs.op13,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,5 +27,6 @@ ORACLES = {
     "op7_mix_sources": mixing.ORACLE,
     "op10_ngram_jaccard_join": near_join.ORACLE,
     "op11_exact_dedup": content_sort.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
     "op13_periodic_runs": periodic_runs.ORACLE,
 }
