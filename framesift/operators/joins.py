@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.functions.hashing import stable_int
 from framesift.operators.ordered import (
-    BLOCK, HOT_KEYS, HOT_ROWS, halo, positions, previous, running, settle,
+    BLOCK, HOT_KEYS, HOT_ROWS, halo, running,
 )
 from framesift.session import checkpointed
 
@@ -106,57 +105,6 @@ def lag_sums(df: DataFrame, keys: list[str], pos: str, terms: dict, valid: str,
     return out.withColumns({t: F.when(enough, F.col(t)) for t in terms})
 
 
-def donors(df: DataFrame, group: list[str], ident: str, size: str, shorter: float, seed: str,
-           hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Pool size and one donor per row, without listing pairs.
-
-    A donor is another row of the group whose size is at least `size − shorter`. Sorted by falling
-    size the pool is a prefix, so a running count gives its length and a hash picks a position in
-    it (own position skipped). Rows of one source must not overlap in time, as cut clips never do.
-    """
-    hot_rows = settle(df, group, hot_rows)
-    ranked = positions(df, group, [f"-{size}", ident], "_pos", hot_rows)
-    reach = F.col(size) - F.lit(shorter) - F.lit(1e-6)
-    marks = ranked.select(*group, F.col(size).alias("_x"), F.lit(0).alias("_ask"), F.lit(1).alias("_one"))
-    asks = ranked.select(*group, reach.alias("_x"), F.lit(1).alias("_ask"), F.lit(0).alias("_one"),
-                         ident, "_pos")
-    counted = running(marks.unionByName(asks, allowMissingColumns=True), group, ["-_x", "_ask"],
-                      {"_n": ("sum", F.col("_one"))}, hot_rows=hot_rows).where("_ask = 1")
-    pool = (F.col("_n") - 1).cast("long")
-    k = stable_int(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string"))) % F.col("pool")
-    chosen = counted.withColumn("pool", pool).select(
-        *group, ident, "pool",
-        F.when(F.col("pool") > 0, k + (k >= F.col("_pos")).cast("long")).alias("_pos"))
-    picks = ranked.select(*group, "_pos", F.col(ident).alias("donor"))
-    return chosen.join(picks, [*group, "_pos"], "left").drop("_pos")
-
-
-def nearest_donor(df: DataFrame, group: list[str], ident: str, size: str, shorter: float,
-                  hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Donor of the closest size (the longer one on a tie), else the longest of the group.
-
-    The closest rows are the neighbours in size order, so no pairs are formed.
-    """
-    hot_rows = settle(df, group, hot_rows)
-    row = {"_id": ident, "_size": size}
-    low = previous(df.select(*group, ident, size), group, [size, ident],
-                   {f"low{k}": v for k, v in row.items()}, hot_rows)
-    flipped = low.withColumn("_neg", -F.col(size)).withColumn("_negid", -F.col(ident))
-    both = previous(flipped, group, ["_neg", "_negid"], {f"high{k}": v for k, v in row.items()}, hot_rows)
-    fits = F.col("low_size") >= F.col(size) - F.lit(shorter) - F.lit(1e-6)
-    down = F.when(fits, F.col(size) - F.col("low_size"))
-    up = F.col("high_size") - F.col(size)
-    donor = F.when(up.isNotNull() & (down.isNull() | (up <= down)), F.col("high_id")).when(
-        down.isNotNull(), F.col("low_id"))
-    longest = df.groupBy(*group).agg(F.max(F.struct(size, ident)).alias("_top"))
-    out = both.withColumn("donor", donor).withColumn(
-        "error", F.when(F.col("donor").isNotNull(), F.least(up, down)))
-    out = out.join(longest, group, "left")
-    other = F.when(F.col("_top")[ident] != F.col(ident), F.col("_top")[ident])
-    return out.select(*group, ident, F.coalesce("donor", other).alias("donor"), "error",
-                      F.col("donor").isNull().alias("cut"))
-
-
 def reference_of(df: DataFrame, group: list[str], ident: str, source: str, size: str) -> DataFrame:
     """Reference row per row: same group, other row; another source first, then longest, then id.
 

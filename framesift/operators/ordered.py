@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ from framesift.session import checkpointed
 HOT_ROWS = 1_000_000  # rows of one key that one task may sort
 HOT_KEYS = 2_000  # a key is cut only above 1/HOT_KEYS of all rows, so at most this many are
 RANGE_BITS = 10  # a heavy key is cut into up to 2**RANGE_BITS ranges
+BUCKET_ROWS = 20_000  # rows of small groups that one Python call gets
 BLOCK = 65_536  # positions per block once rows are numbered
 
 
@@ -215,6 +218,29 @@ def python_groups(df: DataFrame, keys: list[str]):
     return df.repartition(count, *keys).groupBy(*keys)
 
 
+def in_buckets(df: DataFrame, keys: list[str], rows: int, fold, schema: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Apply `fold(arrow table of one group)` to every group, many small groups to a Python call.
+
+    Groups are dealt to buckets by hash, about `bucket_rows` of the `rows` each; inside a bucket they are
+    told apart by their keys. A group must be of bounded size, as it is held in memory.
+    """
+    count = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // bucket_rows))
+
+    def each(part: pa.Table) -> pa.Table:
+        code = np.zeros(part.num_rows, np.int64)
+        for key in keys:
+            index = part.column(key).combine_chunks().dictionary_encode().indices
+            values = index.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            code = np.unique(code * (values.max(initial=0) + 1) + values, return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        part, borders = part.take(pa.array(order)), np.flatnonzero(np.diff(code[order])) + 1
+        starts = [0, *borders.tolist()]
+        return pa.concat_tables([fold(part.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], part.num_rows])])
+
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")).repartition(count, "_bucket")
+    return dealt.groupBy("_bucket").applyInArrow(each, schema)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[str], k: int, name: str = "rank") -> DataFrame:
     """First k rows per key. The rank filter is pushed below the shuffle as a per-task group limit,
     so a heavy key sends k rows per task, not all of them."""

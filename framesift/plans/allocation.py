@@ -5,14 +5,18 @@ from pyspark.sql import functions as F
 from framesift.functions.hashing import pick, sha1_byte, split_of, stable_int
 from framesift.operators import allocate as A
 from framesift.operators import components as C
-from framesift.operators.joins import donors, reference_of
 from framesift.operators.metrics import first_references
 from framesift.operators.ordered import positions, top_k
-from framesift.plans.fixtures import CLIPS, SAMPLES, clips, hash_sql, samples, split_sql
+from framesift.operators.plan import plan_jobs, summarize_plan
+from framesift.plans.fixtures import CLIPS, CROSSING, SAMPLES, clips, crossing_clips, hash_sql, samples, split_sql
 from framesift.plans.registry import query
 from framesift.session import table
 
 LIT = F.lit
+GENERATORS = ["g1", "g2", "g3", "g4", "g5", "g6"]
+VOICES = ["v1", "v2", "v3", "v4"]
+PLAN_GENERATORS = {"train": GENERATORS[:4], "validation": GENERATORS[:4], "test": GENERATORS}
+PLAN_VOICES = {"train": VOICES[:2], "validation": VOICES[:2], "test": VOICES}
 
 
 def orders(spark, sf):
@@ -198,11 +202,17 @@ def d16(spark, sf):
     return A.form_parts(speaker_groups(spark, sf).select("component", "first", "m", "f", "blocked"), 50)
 
 
-GENERATORS = ["g1", "g2", "g3", "g4", "g5", "g6"]
-VOICES = ["v1", "v2", "v3", "v4"]
+def generators_sql(source: str, names: str, seed: str = "42") -> str:
+    """(split, clip_id, generator, cell) by SQL: two of the generators per clip, `names` is a list by split."""
+    k = hash_sql("h || ':' || j")
+    return f"""(SELECT split, clip_id, names[g.j + 1] AS generator, ['source', 'donor', 'both'][g.cell + 1] AS cell FROM (
+  SELECT *, unnest(list_filter(list_sort(list_transform(range(n), lambda j: {{'cell': (r + j) % 3, 'k': {k} % 1000003, 'j': j}})),
+    lambda a, i: (i - 1) % sets = (p % sets + h) % sets)) AS g FROM (
+  SELECT *, p // sets AS r, {hash_sql(f"'{seed}:' || split || ':' || (p // sets)")} AS h FROM (
+  SELECT split, clip_id, names, len(names) AS n, len(names) // 2 AS sets, row_number() OVER (PARTITION BY split ORDER BY clip_id) - 1 AS p FROM (SELECT *, {names} AS names FROM {source})))))"""
 
 
-@query("d17_assign_generators", "D17")
+@query("d17_assign_generators", "D17", f"WITH {CLIPS} SELECT * FROM {generators_sql('clips', str(GENERATORS))}")
 def d17(spark, sf):
     c = clips(spark, sf).select("split", "clip_id")
     return A.assign_generators(c, "split", "clip_id", GENERATORS, 2, "42")
@@ -225,21 +235,35 @@ def d19(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("clip_id"), pick(options, F.concat(LIT("42:"), F.col("o_orderkey"))).alias("choice"))
 
 
-@query("d21_make_plan", "D21")
+def by_split_sql(table: dict) -> str:
+    return "(CASE split " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " END)"
+
+
+PLAN = f"""{CROSSING},
+fit AS (SELECT clip_id, list(other ORDER BY other) AS pool FROM apart WHERE size >= duration_s - 0.5 - 1e-6 GROUP BY 1),
+ref AS (SELECT c.clip_id, arg_min(d.clip_id, (d.source_id = c.source_id, -d.duration_s, d.clip_id)) AS reference FROM crossing c JOIN crossing d ON d.speaker_id = c.speaker_id AND d.split = c.split AND d.clip_id <> c.clip_id GROUP BY 1),
+known AS (SELECT split, speaker_id, clip_id, coalesce(len(pool), 0)::BIGINT AS pool, pool[1 + {hash_sql("'42:' || clip_id::VARCHAR")} % len(pool)] AS donor, coalesce(reference, clip_id) AS reference,
+  substr(sha256('["voice", ' || clip_id || ']'), 1, 20) AS vkey, row_number() OVER (PARTITION BY split, speaker_id ORDER BY clip_id) - 1 AS i, dense_rank() OVER (PARTITION BY split ORDER BY speaker_id) - 1 AS turn,
+  {by_split_sql(PLAN_VOICES)} AS names FROM crossing LEFT JOIN fit USING (clip_id) LEFT JOIN ref USING (clip_id)),
+lip AS (SELECT g.split, g.clip_id, g.generator, CASE WHEN g.cell = 'donor' AND k.donor IS NULL THEN 'source' ELSE g.cell END AS cell, k.donor, k.pool, k.vkey
+  FROM {generators_sql('crossing', by_split_sql(PLAN_GENERATORS))} g JOIN known k USING (clip_id)),
+jobs AS (SELECT split, clip_id, 'voice' AS type, vkey AS key, names[1 + (i + turn + {hash_sql("'42:voices'")}) % len(names)] AS arm, 'voice' AS cell, CASE split WHEN 'test' THEN 'inp' END AS inpaint, donor, pool, reference, NULL AS voice_key FROM known
+UNION ALL SELECT split, clip_id, 'lipsync', substr(sha256('["lipsync", ' || clip_id || ', "' || generator || '"]'), 1, 20), generator, cell, NULL, CASE WHEN cell = 'donor' THEN donor END, CASE WHEN cell = 'donor' THEN pool END, NULL, CASE WHEN cell = 'both' THEN vkey END FROM lip)"""
+
+
+def plan_of(spark, sf):
+    return plan_jobs(crossing_clips(spark, sf), PLAN_GENERATORS, PLAN_VOICES, 2, "42", 0.5, {"test": "inp"})
+
+
+@query("d21_make_plan", "D21", f"WITH {PLAN} SELECT * FROM jobs")
 def d21(spark, sf):
-    """Voice and lip-sync jobs of every clip, counted by type, cell and arm."""
-    c = clips(spark, sf)
-    slim = c.select("split", "speaker_id", "clip_id", "duration_s", "source_id")
-    group = ["split", "speaker_id"]
-    donor = donors(slim, group, "clip_id", "duration_s", 0.0, "42").select("clip_id", "donor")
-    reference = reference_of(slim, group, "clip_id", "source_id", "duration_s").select("clip_id", "reference")
-    voice = A.rotate_voices(slim, "speaker_id", "clip_id", VOICES, voice_offset()).select("split", "clip_id", F.col("voice").alias("arm"))
-    voice = voice.join(reference, "clip_id").join(donor, "clip_id")
-    lip = A.assign_generators(slim, "split", "clip_id", GENERATORS, 2, "42").join(donor, "clip_id")
-    cell = F.when((F.col("cell") == "donor") & F.col("donor").isNull(), LIT("source")).otherwise(F.col("cell"))
-    jobs = voice.select("split", LIT("voice").alias("type"), LIT("voice").alias("cell"), "arm", F.col("donor").isNull().alias("alone")).unionByName(
-        lip.select("split", LIT("lipsync").alias("type"), cell.alias("cell"), F.col("generator").alias("arm"), F.col("donor").isNull().alias("alone")))
-    return jobs.groupBy("split", "type", "cell", "arm").agg(F.count(LIT(1)).alias("jobs"), F.sum(F.col("alone").cast("long")).alias("without_donor"))
+    """The job table: every voice and lip-sync job with its key, donor, reference and voice."""
+    return plan_of(spark, sf)
+
+
+@query("d21_summarize", "D21", f"WITH {PLAN} SELECT split, type, cell, arm, count(*) AS jobs, count(*) FILTER (type = 'voice' AND donor IS NULL) AS without_donor FROM jobs GROUP BY ALL")
+def d21_summary(spark, sf):
+    return summarize_plan(plan_of(spark, sf))
 
 
 @query("d22_audit_sample", "D22", "SELECT doc_id, lang, rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1(doc_id::VARCHAR), doc_id) AS rank FROM documents) WHERE rank <= 20")

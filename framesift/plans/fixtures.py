@@ -86,6 +86,18 @@ CLIPS = f"""clips AS (
   FROM orders)"""
 
 
+def crossing_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips whose spans within a source often overlap."""
+    start = (F.col("clip_id") % 50 * 8).cast("double")
+    return clips(spark, sf).withColumns({"start_s": start, "end_s": start + F.col("duration_s")})
+
+
+CROSSING = CLIPS + """, crossing AS (
+  SELECT * REPLACE ((clip_id % 50 * 8)::DOUBLE AS start_s, (clip_id % 50 * 8)::DOUBLE + duration_s AS end_s) FROM clips),
+apart AS (SELECT c.clip_id, c.split, d.clip_id AS other, c.duration_s, d.duration_s AS size FROM crossing c JOIN crossing d
+  ON d.speaker_id = c.speaker_id AND d.split = c.split AND d.clip_id <> c.clip_id AND (d.source_id <> c.source_id OR d.end_s <= c.start_s OR c.end_s <= d.start_s))"""
+
+
 def spans(spark: SparkSession, sf: str) -> DataFrame:
     """(clip_id, a, b, kind): a = days since the first ship date of the order, b = a + quantity/10."""
     lines = table(spark, sf, "lineitem").select(

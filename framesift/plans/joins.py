@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from framesift.functions.rules import noticeable, sync_correction
 from framesift.operators import joins
-from framesift.plans.fixtures import CLIPS, MEASURED, SERIES, clips, hash_sql, measured, series
+from framesift.operators.donors import donors
+from framesift.plans.fixtures import CLIPS, CROSSING, MEASURED, SERIES, clips, crossing_clips, hash_sql, measured, series
 from framesift.plans.registry import query
 from framesift.session import table
 
@@ -54,18 +55,12 @@ def j4(spark, sf):
     return jobs.join(done, ["clip_id", "arm"], "left_anti")
 
 
-@query("j5_donor_pool", "J5", f"""WITH {CLIPS},
-r AS (SELECT *, row_number() OVER (PARTITION BY split, speaker_id ORDER BY duration_s DESC, clip_id) - 1 AS pos,
-  (SELECT count(*) FROM clips d WHERE d.speaker_id = c.speaker_id AND d.split = c.split
-    AND d.duration_s >= c.duration_s - 5.0 - 1e-6 AND d.clip_id <> c.clip_id
-    AND (d.source_id <> c.source_id OR d.end_s <= c.start_s OR c.end_s <= d.start_s)) AS pool FROM clips c),
-k AS (SELECT *, CASE WHEN pool > 0 THEN {hash_sql("'42:' || clip_id::VARCHAR")} % pool END AS h FROM r)
-SELECT k.clip_id, k.pool, d.clip_id AS donor FROM k LEFT JOIN r d ON d.split = k.split AND d.speaker_id = k.speaker_id
-  AND d.pos = k.h + CASE WHEN k.h >= k.pos THEN 1 ELSE 0 END""")
+@query("j5_donor_pool", "J5", f"""WITH {CROSSING},
+p AS (SELECT clip_id, list(other ORDER BY other) AS pool FROM apart WHERE size >= duration_s - 5.0 - 1e-6 GROUP BY 1)
+SELECT clip_id, coalesce(len(pool), 0)::BIGINT AS pool, pool[1 + {hash_sql("'42:' || clip_id::VARCHAR")} % len(pool)] AS donor FROM crossing LEFT JOIN p USING (clip_id)""")
 def j5(spark, sf):
-    c = clips(spark, sf).select("split", "speaker_id", "clip_id", "duration_s")
-    return joins.donors(c, ["split", "speaker_id"], "clip_id", "duration_s", 5.0, "42").select(
-        "clip_id", "pool", "donor")
+    c = crossing_clips(spark, sf)
+    return donors(c, ["split", "speaker_id"], "clip_id", "duration_s", "source_id", "start_s", "end_s", 5.0, "42").select("clip_id", "pool", "donor")
 
 
 @query("j6_full_sibling", "J6", """

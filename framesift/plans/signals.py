@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from framesift.functions import vectors as V
 from framesift.functions.text import clean_words, edit_words
 from framesift.operators import signals as G
-from framesift.operators.joins import nearest_donor, reference_of
+from framesift.operators.donors import nearest_donor
+from framesift.operators.joins import reference_of
 from framesift.operators.ordered import HOT_ROWS, positions, settle
 from framesift.plans.fixtures import (
-    CLIPS, MEASURED, SERIES, VECTORS, clips, event_limit, hash_sql, measured, series, vectors,
+    CLIPS, CROSSING, MEASURED, SERIES, VECTORS, clips, crossing_clips, event_limit, hash_sql, measured, series, vectors,
 )
 from framesift.plans.registry import query
 from framesift.plans.spans import runs_sql
@@ -121,14 +122,14 @@ def c25(spark, sf):
     return G.speech_window(s, ["clip_id"], "t", "value", targets, 20.0, 2, hot)
 
 
-@query("c26_best_donor", "C26", f"""WITH {CLIPS}, n AS (SELECT *, lag(clip_id) OVER w AS li, lag(duration_s) OVER w AS ls, lead(clip_id) OVER w AS hi, lead(duration_s) OVER w AS hs,
-  arg_max(clip_id, (duration_s, clip_id)) OVER (PARTITION BY split, speaker_id) AS top FROM clips WINDOW w AS (PARTITION BY split, speaker_id ORDER BY duration_s, clip_id)),
-c AS (SELECT *, CASE WHEN ls >= duration_s - 1.0 - 1e-6 THEN duration_s - ls END AS down, hs - duration_s AS up FROM n),
-d AS (SELECT *, CASE WHEN up IS NOT NULL AND (down IS NULL OR up <= down) THEN hi WHEN down IS NOT NULL THEN li END AS fit FROM c)
-SELECT clip_id, coalesce(fit, CASE WHEN top <> clip_id THEN top END) AS donor, CASE WHEN fit IS NOT NULL THEN round(least(up, down), 6) END AS error, fit IS NULL AS cut FROM d""")
+@query("c26_best_donor", "C26", f"""WITH {CROSSING}, n AS (SELECT clip_id, any_value(duration_s) AS d,
+  min({{'s': size, 'i': other}}) FILTER (size > duration_s OR (size = duration_s AND other > clip_id)) AS up, max({{'s': size, 'i': other}}) FILTER (size < duration_s OR (size = duration_s AND other < clip_id)) AS dn,
+  max({{'s': size, 'i': other}}) AS top FROM apart GROUP BY 1),
+e AS (SELECT *, up.s - d AS u, CASE WHEN dn.s >= d - 1.0 - 1e-6 THEN d - dn.s END AS l FROM n),
+f AS (SELECT *, CASE WHEN u IS NOT NULL AND (l IS NULL OR u <= l) THEN up.i WHEN l IS NOT NULL THEN dn.i END AS fit FROM e)
+SELECT clip_id, coalesce(fit, top.i) AS donor, CASE WHEN fit IS NOT NULL THEN round(least(u, l), 6) END AS error, fit IS NULL AS cut FROM crossing LEFT JOIN f USING (clip_id)""")
 def c26(spark, sf):
-    c = clips(spark, sf).select("split", "speaker_id", "clip_id", "duration_s")
-    out = nearest_donor(c, ["split", "speaker_id"], "clip_id", "duration_s", 1.0)
+    out = nearest_donor(crossing_clips(spark, sf), ["split", "speaker_id"], "clip_id", "duration_s", "source_id", "start_s", "end_s", 1.0)
     return out.select("clip_id", "donor", F.round("error", 6).alias("error"), "cut")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framesift.operators import metrics as M
 from framesift.operators.intervals import fill_gaps, resample
-from framesift.operators.joins import as_of, donors, lag_sums, nearest_donor, spread_join
+from framesift.operators.joins import as_of, lag_sums, spread_join
 from framesift.operators.ordered import HOT_ROWS, halo, light, merge_spans, positions, previous, running, runs
 from framesift.operators.signals import exact_quantiles, pool, proposals
 
@@ -109,9 +109,6 @@ def test_other_ordered_operators(series, rows):
     keep = ["k", "top_share", "top_k", "max"]
     a, b = (pool(scored, ["k"], "v", "id", F.col("ok"), hot_rows=h).select("k", *[F.round(c, 9).alias(c) for c in keep[1:]]) for h in (HOT, HOT_ROWS))
     same(a, b, rows)
-    sized = series.select("k", "id", (F.col("at") * 1.5).alias("d"))
-    same(donors(sized, ["k"], "id", "d", 2.0, "1", HOT), donors(sized, ["k"], "id", "d", 2.0, "1"), rows)
-    same(nearest_donor(sized, ["k"], "id", "d", 2.0, HOT), nearest_donor(sized, ["k"], "id", "d", 2.0), rows)
 
 
 def test_metrics_on_heavy_keys(series, rows):
