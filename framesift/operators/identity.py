@@ -55,7 +55,7 @@ def best_matches(probes: DataFrame, ident: str, vector: str, registry: DataFrame
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({ident: [], key: [], "sim": [], "same_tag": []}).astype({"same_tag": bool})
+            return none
         b = b.sort_values("_key")
         names = b["_key"].to_numpy()
         sims = np.stack(a["_v"].to_numpy()).astype(float) @ np.stack(b["_c"].to_numpy()).astype(float).T
@@ -75,8 +75,10 @@ def best_matches(probes: DataFrame, ident: str, vector: str, registry: DataFrame
                 ident: np.repeat(a[ident].to_numpy(), cols.shape[1]), key: names[cols.ravel()],
                 "sim": value.ravel(), "same_tag": bool(same[0])}))
         rows = pd.concat(out)
-        return rows[np.isfinite(rows["sim"])]
+        rows = rows[np.isfinite(rows["sim"])]
+        return rows if len(rows) else none
 
+    none = pd.DataFrame({ident: pd.Series(dtype=object), key: pd.Series(dtype=object), "sim": pd.Series(dtype=float), "same_tag": pd.Series(dtype=bool)})
     found = left.groupBy("_shard", "_block").cogroup(right.groupBy("_s", "_b")).applyInPandas(score, schema)
     return top_k(found, [ident, "same_tag"], ["-sim", key], k)
 
@@ -205,7 +207,9 @@ def leader_clusters(points: DataFrame, block: str, order: str, vector: str, thre
                 if stacked is None:
                     stacked = np.stack(centres)
                 found.append(int((stacked @ np.asarray(row, float)).argmax()))
-            yield pdf[[block, order]].assign(_cluster=found)[np.array(found) >= 0]
+            rows = np.array(found) >= 0
+            if rows.any():
+                yield pdf[[block, order]].assign(_cluster=found)[rows]
 
     closest = both.mapInPandas(assign, f"{block} {kind}, {order} {dict(points.dtypes)[order]}, _cluster long")
     closest = checkpointed(closest)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from framesift.functions import vectors as V
 from framesift.functions.rules import add_flag
 from framesift.operators import identity as P
+from framesift.operators import living as L
 from framesift.operators.signals import exact_quantiles
 from framesift.plans.fixtures import VECTORS, vectors
 from framesift.plans.registry import query
@@ -88,6 +89,59 @@ def v4(spark, sf):
                        add_flag(LIT(""), outlier).alias("flags"))
 
 
+def living_clips(spark, sf):
+    """Three rounds of eight one-speaker inputs; a seventh of the clips has no voice."""
+    k = F.col("vec_id") % 24
+    voice = F.when(F.col("vec_id") % 7 != 0, F.reverse("v"))
+    return vectors(spark, sf).select(
+        F.floor(k / 8).cast("long").alias("round"), F.concat(LIT("i"), k).alias("input_id"), LIT(True).alias("one"), F.col("vec_id").alias("clip_id"), F.col("v").alias("face"),
+        voice.alias("voice"), F.concat(LIT("c"), k % 5).alias("channel"), F.concat(LIT("w"), F.col("vec_id") % 3).alias("video"), F.col("v")[0].alias("quality"))
+
+
+LIVING_RULES = L.Rules({"high": 0.2, "low": 0.1, "margin": 0.02, "voice_low": -0.05}, photos=2, voice_outlier=0.3)
+
+
+def living_sql() -> str:
+    """The rounds unrolled: each matches its inputs with the speakers of the rounds before."""
+    total = lambda c, f="": f"list_transform(range(1, 65), lambda i: list_sum(list_transform(list({c}){f}, lambda x: x[i])))"
+    unit_ = lambda c: f"list_transform({c}, lambda x: x / greatest(sqrt(list_sum(list_transform({c}, lambda y: y * y))), 1e-8))"
+    parts = [f"""{VECTORS}, c AS (SELECT vec_id, vec_id % 24 AS k, vec_id % 24 // 8 AS round, v, CASE WHEN vec_id % 7 <> 0 THEN list_reverse(v) END AS w, vec_id % 24 % 5 AS ch FROM vectors),
+g AS (SELECT k, any_value(round) AS round, any_value(ch) AS ch, count(*) AS n, {total('v')} AS fs, count(w) AS vn, {total('w', ' FILTER (w IS NOT NULL)')} AS vs FROM c GROUP BY k),
+p AS (SELECT *, 'i' || k AS input_id, {unit_('fs')} AS face, CASE WHEN vn > 0 THEN {unit_('vs')} END AS voice FROM g),
+r0 AS (SELECT NULL::BIGINT AS speaker, NULL::DOUBLE[] AS fs, 0::BIGINT AS n, NULL::DOUBLE[] AS vs, 0::BIGINT AS vn, NULL::BIGINT[] AS chs, NULL::BIGINT AS hint WHERE false)"""]
+    for i in range(3):
+        parts.append(f"""s{i} AS (SELECT p.k, r.speaker, list_dot_product(p.face, {unit_('r.fs')}) AS sim, list_contains(r.chs, p.ch) AS same,
+  coalesce(CASE WHEN r.vn > 0 THEN list_dot_product(p.voice, {unit_('r.vs')}) >= -0.05 END, true) AS ok FROM p, r{i} r WHERE p.round = {i}),
+b{i} AS (SELECT k, arg_max(speaker, sim) AS best, max(sim) AS s1, coalesce(list(sim ORDER BY sim DESC)[2], -1.0) AS s2, arg_max(ok, sim) AS ok1,
+  arg_max(speaker, sim) FILTER (same) AS sb, max(sim) FILTER (same) AS ss, arg_max(ok, sim) FILTER (same) AS ok2 FROM s{i} GROUP BY k),
+d{i} AS (SELECT p.*, best, coalesce(ss >= 0.2 AND ok2, false) AS ch_, coalesce(s1 >= 0.2 AND s1 - s2 >= 0.02 AND ok1, false) AS ov, sb, s1 FROM p LEFT JOIN b{i} USING (k) WHERE p.round = {i}),
+e{i} AS (SELECT *, CASE WHEN ch_ THEN sb WHEN ov THEN best END AS matched, CASE WHEN ch_ THEN 'auto_channel' WHEN ov THEN 'auto' ELSE 'new' END AS how,
+  CASE WHEN NOT ch_ AND NOT ov AND s1 >= 0.1 THEN best END AS hint FROM d{i}),
+a{i} AS (SELECT *, CASE WHEN matched IS NULL AND n < 3 THEN NULL WHEN matched IS NULL THEN (SELECT coalesce(max(speaker), 0) FROM r{i}) + row_number() OVER (PARTITION BY matched IS NULL AND n >= 3 ORDER BY input_id) ELSE matched END AS speaker FROM e{i}),
+u{i} AS (SELECT speaker, fs, n, vs, vn, chs, hint FROM r{i} UNION ALL SELECT speaker, fs, n, vs, vn, [ch], CASE WHEN matched IS NULL THEN hint END FROM a{i} WHERE speaker IS NOT NULL),
+r{i + 1} AS (SELECT speaker, {total('fs')} AS fs, sum(n)::BIGINT AS n, CASE WHEN sum(vn) > 0 THEN {total('vs', ' FILTER (vn > 0)')} END AS vs, sum(vn)::BIGINT AS vn,
+  list_sort(list_distinct(flatten(list(chs)))) AS chs, max(hint) AS hint FROM u{i} GROUP BY speaker)""")
+    parts.append(f"al AS ({' UNION ALL '.join(f'SELECT k, input_id, speaker, how, face, voice FROM a{i}' for i in range(3))})")
+    return "WITH " + ",\n".join(parts)
+
+
+@query("v4_living_registry", "V4", f"""{living_sql()} SELECT vec_id AS clip_id, input_id, speaker, CASE WHEN speaker IS NULL THEN 'unassigned' ELSE how END AS assign,
+CASE WHEN speaker IS NULL THEN '' ELSE concat_ws(',', CASE WHEN list_dot_product(v, face) < 0.35 THEN 'face_outlier' END, CASE WHEN list_sum(list_transform(range(1, 65), lambda i: w[i] * voice[i])) < 0.3 THEN 'voice_outlier' END) END AS flags FROM c JOIN al USING (k)""")
+def v4_living(spark, sf):
+    """Match, create and add, round after round: clips with their speakers."""
+    out = L.identify(living_clips(spark, sf), L.Store(spark), SIZE, LIVING_RULES)
+    return out.select("clip_id", "input_id", "speaker", "assign", "flags")
+
+
+@query("v3_living_speakers", "V3", f"""{living_sql()} SELECT speaker, n AS face_n, round(fs[1], 6) AS first, vn AS voice_n, round(coalesce(vs[1], 0), 6) AS voice_first, array_to_string(list_transform(chs, lambda x: 'c' || x), ',') AS channels, hint AS suggestion FROM r3""")
+def v3_living(spark, sf):
+    """The registry after the three rounds."""
+    store = L.Store(spark)
+    L.identify(living_clips(spark, sf), store, SIZE, LIVING_RULES)
+    return store.before(4).select("speaker", "face_n", F.round(F.col("face_sum")[0], 6).alias("first"), "voice_n", F.round(F.coalesce(F.col("voice_sum")[0], LIT(0.0)), 6).alias("voice_first"),
+                                  F.array_join("channels", ",").alias("channels"), "suggestion")
+
+
 @query("v5_outlier_flags", "V5", f"""WITH {CENTRES} SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN CASE WHEN sim < 0.1 THEN 'face_outlier,jump_suspect' ELSE 'jump_suspect' END ELSE CASE WHEN sim < 0.1 THEN 'face_outlier' ELSE '' END END AS flags
 FROM sims WHERE speaker = label""")
 def v5(spark, sf):

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from framesift.functions import vectors as V
 from framesift.operators import metrics as M
 from framesift.plans.fixtures import SAMPLES, SERIES, VECTORS, samples, vectors
+from framesift.operators import living as L
 from framesift.plans.grading import auc_sql
+from framesift.plans.identity import LIVING_RULES, living_clips, living_sql
 from framesift.plans.registry import query
 from framesift.plans.spans import HOURS, WINDOWS
-from framesift.session import table
+from framesift.session import table, workspace
 from framesift.streaming import jobs as J
 from framesift.streaming import plugins as U
 
@@ -64,6 +66,16 @@ def t6(spark, sf):
     return out.select("label", "n", F.round(F.col("s")[0], 6).alias("first"), F.round(F.col("s")[63], 6).alias("last"))
 
 
+@query("t6_living_registry", "T6", f"""{living_sql()} SELECT vec_id AS clip_id, speaker, CASE WHEN speaker IS NULL THEN 'unassigned' ELSE how END AS assign FROM c JOIN al USING (k)""")
+def t6_living(spark, sf):
+    """The rounds of V4 as micro-batches: one file arrives per round."""
+    clips, path = living_clips(spark, sf), workspace(spark, "arrivals")
+    for n in range(3):
+        clips.where(F.col("round") == n).coalesce(1).write.parquet(f"{path}/n={n}")
+    stream = spark.readStream.schema(clips.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    return L.identify_stream(stream, L.Store(spark), 64, LIVING_RULES).select("clip_id", "speaker", "assign")
+
+
 @query("t7_status_counters", "T7", "SELECT event_type AS step, epoch_us(ts) // 86400000000 * 86400000000 AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def t7(spark, sf):
     counts = J.event_stream(spark, sf, "1 day").groupBy(F.col("event_type").alias("step"), F.window("ts", "1 day").alias("w")).agg(F.count(LIT(1)).alias("n"))
