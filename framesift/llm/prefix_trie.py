@@ -213,9 +213,9 @@ def subtree_sums(rows: DataFrame, nodes: DataFrame, shard_rows: int = SHARD_ROWS
         carried = gaps.join(ends, ["c", "depth"], "left").join(first, "c").where("leaf IS NOT NULL OR depth < _from")
         every = every.unionByName(carried.select("c", F.lit(2).alias("kind"), "depth", "a", "b", "pa", "pb",
                                                  F.coalesce("leaf", "_all.leaf").alias("leaf"), F.coalesce("own", "_all.own").alias("own")))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * count // shard_rows))
+    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * count // shard_rows))
     shard = F.pmod(F.xxhash64("c", F.floor(F.col("depth") / block)), F.lit(shards)).cast("int").alias("shard")
-    dealt = every.select(shard, "kind", "depth", "a", "b", "pa", "pb", "leaf", "own").repartition(shards, "shard")
+    dealt = every.select(shard, "kind", "depth", "a", "b", "pa", "pb", "leaf", "own")
     return dealt.groupBy("shard").applyInArrow(lambda part: shard_sums(part, block), "a long, b long, leaves long, saved long, children long")
 
 
