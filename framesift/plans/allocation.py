@@ -112,7 +112,16 @@ def d9(spark, sf):
     return A.spread_order(event_windows(spark, sf), ["k"], "a", "b", LIT(10), LIT(760.0)).select("event_id", "bucket", "turn")
 
 
-@query("d10_take_spread", "D10")
+@query("d10_take_spread", "D10", f"""WITH RECURSIVE {EVW}, b AS (SELECT *, least(9, floor((a + a + 4) / 2 / (760.0::DOUBLE / 10)))::BIGINT AS bucket FROM win),
+d AS (SELECT *, round(abs((a + a + 4) / 2 - (bucket + 0.5) * (760.0::DOUBLE / 10)), 9) AS distance FROM b),
+q AS (SELECT k, list(ws ORDER BY bucket) AS qs FROM (SELECT k, bucket, list({{'e': event_id, 'ok': ok}} ORDER BY distance, a) AS ws FROM d GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT k, qs, list_transform(qs, lambda w: 0) AS seen, list_transform(qs, lambda w: false) AS filled, range(1, len(qs) + 1) AS turn, 0 AS taken, []::BIGINT[] AS opened, 0 AS step FROM q
+UNION ALL SELECT k, qs, list_transform(seen, lambda x, i: CASE WHEN i = now THEN x + 1 ELSE x END), list_transform(filled, lambda x, i: x OR (i = now AND w.ok)), todo[2:], taken + w.ok::INT, list_append(opened, w.e), step + 1
+  FROM (SELECT *, todo[1] AS now, qs[todo[1]][seen[todo[1]] + 1] AS w FROM (SELECT *, CASE WHEN step > 0 AND len(turn) > 0 THEN turn ELSE
+    CASE WHEN len(list_filter(range(1, len(qs) + 1), lambda i: seen[i] < len(qs[i]) AND NOT filled[i])) > 0 THEN list_filter(range(1, len(qs) + 1), lambda i: seen[i] < len(qs[i]) AND NOT filled[i])
+    ELSE list_filter(range(1, len(qs) + 1), lambda i: seen[i] < len(qs[i])) END END AS todo FROM g WHERE taken < 10 AND step < 18)) WHERE now IS NOT NULL),
+o AS (SELECT DISTINCT k, unnest(opened) AS event_id FROM g)
+SELECT k, event_id, o.event_id IS NOT NULL AS tried FROM win LEFT JOIN o USING (k, event_id)""")
 def d10(spark, sf):
     w = A.spread_order(event_windows(spark, sf), ["k"], "a", "b", LIT(10), LIT(760.0))
     w = w.select("k", "event_id", "bucket", "turn", "ok", LIT(10).alias("quota"), LIT(18).alias("budget"))

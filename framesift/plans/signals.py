@@ -287,7 +287,25 @@ def c41(spark, sf):
     return G.track_faces(rows, ["clip_id"], "t", hot_rows=hot)
 
 
-@query("c42_frame_pick", "C42")
+# Greedy picks in SQL: fold the frame numbers in order, keep those more than 3 away from all kept, at most 3.
+PICKED = "list_reduce(list_prepend([-1000], list_transform({0}, lambda j: [j])), lambda t, j: CASE WHEN len(t) < 4 AND len(list_filter(t, lambda x: abs(x - j[1]) <= 3)) = 0 THEN t || j ELSE t END)[2:]"
+
+
+@query("c42_frame_pick", "C42", f"""WITH {VSER}, s AS (SELECT clip_id, t // 175 AS part, t, list_transform(v[1:4], lambda x: abs(x)) AS r FROM vser),
+i AS (SELECT *, row_number() OVER w - 1 AS i, sum((r[1] * 100 < 1)::INT) OVER w AS shut, list_transform(r, lambda x: trunc(x * 100)::INT) AS c FROM s WINDOW w AS (PARTITION BY clip_id, part ORDER BY t)),
+p AS (SELECT *, row_number() OVER (PARTITION BY clip_id, part, shut ORDER BY t) - (shut > 0)::INT AS p FROM i),
+k AS (SELECT k.clip_id, k.part, k.i, list(x.i ORDER BY x.i) AS alike FROM p k JOIN p x ON x.clip_id = k.clip_id AND x.part = k.part AND x.i <> k.i
+  AND len(list_filter(range(1, 5), lambda z: k.c[z] - x.c[z] >= -3 AND k.c[z] - x.c[z] < 3)) = 4 WHERE k.p > 0 AND k.p % 5 = 0 GROUP BY ALL),
+h AS (SELECT clip_id, part, min_by(i, i) AS k, min_by(g, i) AS g FROM (SELECT *, {PICKED.format('alike')} AS g FROM k) WHERE len(g) = 3 GROUP BY ALL),
+n AS (SELECT *, count(*) OVER (PARTITION BY clip_id, part) AS n, CASE WHEN count(*) OVER q = 5 THEN round(sum(r[1]) OVER q, 12) END AS o FROM p WINDOW q AS (PARTITION BY clip_id, part ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+m AS (SELECT clip_id, part, any_value(n) AS n, arg_max(i, (o, -i)) AS f FROM n WHERE o IS NOT NULL GROUP BY ALL HAVING any_value(n) >= 8),
+z AS (SELECT m.clip_id, m.part, m.f, list(x.i ORDER BY round(list_sum(list_transform(range(1, 5), lambda q: abs(x.r[q] - l.r[q]))), 12), x.i) AS seq
+  FROM m JOIN p x USING (clip_id, part) JOIN p l ON l.clip_id = m.clip_id AND l.part = m.part AND l.i = m.f + 4 WHERE x.i < m.f OR x.i >= m.f + 5 GROUP BY ALL),
+y AS (SELECT *, {PICKED.format('seq')} AS g FROM z),
+a AS (SELECT clip_id, part, range(k - 4, k + 1) AS l, g, false AS fallback FROM h UNION ALL
+  SELECT clip_id, part, range(f, f + 5), (g || list_filter(seq, lambda j: NOT list_contains(g, j)))[1:3], true FROM y ANTI JOIN h USING (clip_id, part)),
+u AS (SELECT clip_id, part, fallback, 'local' AS role, unnest(l) AS i FROM a UNION ALL SELECT clip_id, part, fallback, 'global', unnest(g) FROM a)
+SELECT u.clip_id, u.part, p.t, u.role, u.fallback FROM u JOIN p USING (clip_id, part, i)""")
 def c42(spark, sf):
     """A label's vectors in id order are cut into clips of 175 frames."""
     s = vector_series(spark, sf)
