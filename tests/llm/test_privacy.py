@@ -88,3 +88,23 @@ def test_copying_a_letter_clears_no_name(spark, docs_of):
     got = {r.doc_id: {s.value.lower() for s in r.term_spans} for r in privacy.examined(docs_of(rows)).select("_row.doc_id", "term_spans").collect()}
     assert all("kestrel" in got[i] for i in [*range(40, 46), *range(500, 530)])
     assert not any(got[i] for i in [*range(40), *range(200, 400), *range(100, 130)])
+
+
+def test_many_spans_are_replaced_in_order(spark, docs_of):
+    """Lists longer than one step, overlapping kinds, and a text with very many matches."""
+    rows = [(i, " ".join(f"w{j} é a{j}@b.co" for j in range(n)) + " +4111 1111 1111 1111 end") for i, n in enumerate((0, 1, 63, 64, 65, 130, 4000))]
+    clean = {r.doc_id: r.text for r in privacy.sanitised(docs_of(rows)).collect()}
+    for i, text in rows:
+        spans = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in brute(text)))
+        out, at = [], 0
+        for a, b, k in spans:
+            if a >= at:
+                out += [text[at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+        assert clean[i] == "".join(out) + text[at:]
+
+
+def test_a_name_of_an_address_is_hidden_where_it_stands_alone(spark, docs_of):
+    rows = [(i, f"common words of text {i} and") for i in range(60)] + [(100, "write to Zaphod at zaphod.12@mail.example.com and common"), (101, "x" * 70_000 + " of mail and@mail.example.org and")]
+    got = {r.doc_id: [s.value for s in r.term_spans] for r in privacy.examined(docs_of(rows)).select("_row.doc_id", "term_spans").collect()}
+    assert got[100] == ["Zaphod"] and got[101] == [] and not any(got[i] for i in range(60))
