@@ -25,6 +25,7 @@ from framesift.session import checkpointed
 HOT_ROWS = 1_000_000  # rows of one key that one task may sort
 HOT_KEYS = 2_000  # a key is cut only above 1/HOT_KEYS of all rows, so at most this many are
 RANGE_BITS = 10  # a heavy key is cut into up to 2**RANGE_BITS ranges
+SAMPLED = 32  # rows drawn for each range of a heavy key
 BUCKET_ROWS = 20_000  # rows of small groups that one Python call gets
 BLOCK = 65_536  # positions per block once rows are numbered
 
@@ -34,19 +35,25 @@ def sort_columns(order: list[str]) -> list[Column]:
     return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """A number that never decreases when `name` increases (ties allowed)."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(name)).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _as_tuple(df: DataFrame, order: list[str]) -> Column:
+    """The order columns as one struct that grows (first column ascending) or falls (descending) with the order.
+
+    A later column of the other direction is turned round where its type allows it; from the first one
+    whose type does not, rows count as ties, which stay in one range.
+    """
+    down, fields = order[0].startswith("-"), []
+    for i, name in enumerate(order):
+        x, kind = F.col(name.lstrip("-")), df.schema[name.lstrip("-")].dataType
+        if name.startswith("-") != down:
+            # Nulls stand first in ascending and last in descending columns; turned round both mean the largest.
+            if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+                x = F.coalesce(F.bitwise_not(x.cast("long")), F.lit((1 << 63) - 1))
+            elif isinstance(kind, (T.FloatType, T.DoubleType)):
+                x = F.coalesce(-x.cast("double"), F.lit(float("inf")))
+            else:
+                break
+        fields.append(x.alias(f"o{i}"))
+    return F.struct(*fields)
 
 
 def _range_of(x: Column, cuts: Column) -> Column:
@@ -55,7 +62,7 @@ def _range_of(x: Column, cuts: Column) -> Column:
     return F.aggregate(
         steps,
         F.lit(0),
-        lambda at, step: F.when(F.get(cuts, at + step - 1) < x, at + step).otherwise(at),
+        lambda at, step: F.when(F.coalesce(F.get(cuts, at + step - 1) < x, F.lit(False)), at + step).otherwise(at),
     )
 
 
@@ -151,32 +158,33 @@ def ordered(
     range per key and no second level.
 
     Otherwise the rows are written once to the shared folder and keys above max(hot_rows, all rows
-    / HOT_KEYS) are cut at quantiles of the first order column. There are at most HOT_KEYS such
-    keys, which is what makes it safe to broadcast them.
+    / HOT_KEYS) are cut at sampled splitters, which are tuples of all order columns, so ties of the first
+    column spread too. There are at most HOT_KEYS such keys, which is what makes it safe to broadcast
+    them. A sample moves the cuts, not the result.
     """
     hot_rows = settle(df, keys, hot_rows)
     if hot_rows is None:
         plain = df.withColumn("_range", F.lit(0)).withColumn("_heavy", F.lit(False))
         return OrderedRows(plain, tuple(keys), tuple(order), split=False)
     df = checkpointed(df)
-    first = order[0].lstrip("-")
-    x = _as_number(df, first)
+    x = _as_tuple(df, order)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    share = (counts.agg(F.sum("_n")).scalar() / F.lit(HOT_KEYS)).cast("long")
-    heavy = counts.where(F.col("_n") > F.greatest(F.lit(hot_rows).cast("long"), share)).drop("_n")
-    points = [i / (1 << RANGE_BITS) for i in range(1, 1 << RANGE_BITS)]
-    cuts = (
-        df.join(F.broadcast(heavy), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(x, points, 10_000).alias("_cuts"))
-    )
+    share = max(hot_rows, df.count() // HOT_KEYS)
+    # A heavy key gets four ranges per share, so there are at most 4 * HOT_KEYS cuts in all.
+    pieces = F.least(F.ceil(4 * F.col("_n") / F.lit(share)), F.lit(1 << RANGE_BITS)).cast("int")
+    heavy = checkpointed(counts.where(F.col("_n") > share).select(*keys, "_n", pieces.alias("_pieces")))
+    chance = F.col("_pieces") * SAMPLED / F.col("_n")
+    drawn = F.pmod(F.xxhash64(*[F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]), F.lit(1 << 20)) < chance * (1 << 20)
+    sample = df.join(F.broadcast(heavy), keys).where(drawn).select(*keys, "_pieces", x.alias("_x"))
+    lists = sample.groupBy(*keys, "_pieces").agg(F.array_sort(F.collect_list("_x")).alias("_s"))
+    cuts = lists.select(*keys, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("_pieces") - 1, F.lit(1))), lambda i: F.get(
+        "_s", F.floor(i * F.size("_s") / F.col("_pieces")).cast("int")))).alias("_cuts"))
+    cuts = heavy.select(*keys).join(cuts, keys, "left").withColumn("_cuts", F.coalesce("_cuts", F.array()))
     sign = -1 if order[0].startswith("-") else 1
-    out = df.join(F.broadcast(cuts), keys, "left")
+    out = df.join(F.broadcast(checkpointed(cuts)), keys, "left")
     out = out.withColumn("_heavy", F.col("_cuts").isNotNull()).withColumn(
         "_range",
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-            F.lit(sign) * F.coalesce(_range_of(x, F.col("_cuts")), F.lit(0))
-        ),
+        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.lit(sign) * _range_of(x, F.col("_cuts"))),
     )
     return OrderedRows(out.drop("_cuts"), tuple(keys), tuple(order), split=True)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framesift.operators import metrics as M
 from framesift.operators.intervals import fill_gaps, resample
 from framesift.operators.joins import as_of, lag_sums, spread_join
-from framesift.operators.ordered import HOT_ROWS, halo, light, merge_spans, positions, previous, running, runs
+from framesift.operators.ordered import HOT_ROWS, halo, light, merge_spans, ordered, positions, previous, running, runs
 from framesift.operators.signals import exact_quantiles, pool, proposals
 
 HOT = 25  # forces the key "big" onto the range path
@@ -148,3 +148,19 @@ def test_spread_join_deals_a_hot_key(spark):
         for c, v in old.items():
             spark.conf.set(c, v)
     assert sum(sizes) == 60_000 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("order", [["id"], ["-id"], ["score", "id"], ["-score", "id"], ["score", "-n"], ["-score", "n"]])
+def test_heavy_keys_are_cut_on_the_whole_tuple(spark, rows, order):
+    """Long common beginnings of ids and two distinct scores still give many ranges, in the right order."""
+    n = F.when(F.col("i") % 50 != 0, F.col("i"))
+    df = spark.range(2000).select(F.col("id").alias("i")).select(
+        F.lit("k").alias("k"), F.format_string("sample_%08d", "i").alias("id"), (F.col("i") % 2 / 2).alias("score"), n.alias("n"), "i")
+    cut = ordered(df, ["k"], order, 100)
+    ranges = cut.df.groupBy("_range").count().collect()
+    wanted = 2 if order == ["-score", "id"] else 8  # a text cannot be turned round, so its ties stay together
+    assert len(ranges) >= wanted and (wanted == 2 or max(r["count"] for r in ranges) <= 800)
+    if order[-1].lstrip("-") == "id":
+        same(positions(df, ["k"], order, hot_rows=100), positions(df, ["k"], order), rows)
+    else:
+        same(positions(df, ["k"], [*order, "i"], hot_rows=100), positions(df, ["k"], [*order, "i"]), rows)
