@@ -105,7 +105,7 @@ def lag_sums(df: DataFrame, keys: list[str], pos: str, terms: dict, valid: str,
     return out.withColumns({t: F.when(enough, F.col(t)) for t in terms})
 
 
-def reference_of(df: DataFrame, group: list[str], ident: str, source: str, size: str) -> DataFrame:
+def reference_of(df: DataFrame, group: list[str], ident: str, source: str, size: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Reference row per row: same group, other row; another source first, then longest, then id.
 
     Two summaries per group are enough: the longest row of the two best sources, and the two
@@ -117,7 +117,7 @@ def reference_of(df: DataFrame, group: list[str], ident: str, source: str, size:
     def two_best(rows, value, name):
         # top two by two maxima: a partial aggregate keeps two entries, never the whole group
         first = rows.groupBy(*group).agg(F.max(value).alias("a"))
-        rest = rows.join(first, group).where(value != F.col("a"))
+        rest = spread_join(rows, first, group, "inner", hot_rows=hot_rows).where(value != F.col("a"))
         second = rest.groupBy(*group).agg(F.max(value).alias("b"))
         return first.join(second, group, "left").select(
             *group, F.col("a").alias(f"{name}1"), F.col("b").alias(f"{name}2"))
@@ -126,7 +126,8 @@ def reference_of(df: DataFrame, group: list[str], ident: str, source: str, size:
                       F.col(source).alias("source"))
     sources = two_best(per_source, ranked, "s")
     rows = two_best(df, key, "r")
-    out = df.join(sources, group).join(rows, group)
+    both = sources.join(rows, group)
+    out = spread_join(df, both, group, "inner", [ident], hot_rows)
     mine = F.col("s1.source") == F.col(source)
     other_source = F.when(mine, -F.col("s2.neg")).otherwise(-F.col("s1.neg"))
     other_row = F.when(-F.col("r1.neg") == F.col(ident), -F.col("r2.neg")).otherwise(-F.col("r1.neg"))

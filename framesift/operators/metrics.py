@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from framesift.functions.hashing import stable_int
+from framesift.operators.joins import spread_join
 from framesift.operators.ordered import HOT_ROWS, positions, previous, python_groups, running, settle
 from framesift.operators.signals import exact_quantiles
 from framesift.session import checkpointed
@@ -44,10 +45,10 @@ def auc(df: DataFrame, keys: list[str], score: str, label: str, weight: Column |
     return ranked.groupBy(*keys).agg((p + n).alias("n"), value.alias(name))
 
 
-def speaker_weight(df: DataFrame, keys: list[str], speaker: str) -> DataFrame:
+def speaker_weight(df: DataFrame, keys: list[str], speaker: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add `weight` = 1 / rows of the speaker (within keys)."""
     n = df.groupBy(*keys, speaker).agg((1.0 / F.count(F.lit(1))).alias("weight"))
-    return df.join(n, [*keys, speaker])
+    return spread_join(df, n, [*keys, speaker], "inner", hot_rows=hot_rows)
 
 
 def roc(df: DataFrame, keys: list[str], score: str, label: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -57,7 +58,7 @@ def roc(df: DataFrame, keys: list[str], score: str, label: str, hot_rows: int |
     hot_rows = settle(table, keys, hot_rows)
     falling = running(table, keys, [f"-{score}"], {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}, hot_rows=hot_rows)
     totals = table.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return falling.join(totals, keys)
+    return spread_join(falling, totals, keys, "inner", [score], hot_rows)
 
 
 def eer(df: DataFrame, keys: list[str], score: str, label: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -113,11 +114,21 @@ def alarm_thresholds(real_scores: DataFrame, keys: list[str], score: str, hot_ro
     return q.select(*keys, points).select(*keys, "x.*")
 
 
+def within_groups(df: DataFrame, keys: list[str], group: str, prefix: str, score: str, label: str,
+                  hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """(keys, group, n, auc): positives and negatives of the same group only; n counts the positives. Rows
+    without a group take no part."""
+    rows = df.where(F.col(group).isNotNull() & (F.col(group).cast("string") != "")).select(
+        *keys, F.concat(F.lit(prefix), F.col(group).cast("string")).alias("group"), score, label)
+    n = rows.groupBy(*keys, "group").agg(F.sum((F.col(label) == 1).cast("long")).alias("n"))
+    return n.join(auc(rows, [*keys, "group"], score, label, hot_rows=hot_rows).drop("n"), [*keys, "group"], "left")
+
+
 def operating_points(validation: DataFrame, test: DataFrame, keys: list[str], score: str, label: str,
                      hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """TPR / FPR of score > threshold on the test rows and precision at three fake rates."""
     cuts = alarm_thresholds(validation.where(F.col(label) == 0), keys, score, hot_rows)
-    rows = test.join(cuts, keys)
+    rows = spread_join(test, cuts, keys, "inner", hot_rows=hot_rows)
     hit, y = (F.col(score) > F.col("threshold")).cast("double"), F.col(label)
     rates = rows.groupBy(*keys, "point", "threshold").agg(
         F.avg(F.when(y == 1, hit)).alias("tpr"), F.avg(F.when(y == 0, hit)).alias("fpr"))
@@ -168,7 +179,7 @@ def reference_norm(df: DataFrame, group: list[str], ident: str, source: str, sco
     everything derived from their sources are left out."""
     refs = first_references(df, group, ident, real, count)
     stats = refs.groupBy(*group).agg(F.avg(score).alias("_m"), (F.stddev_pop(score) + 1e-3).alias("_s"))
-    kept = df.join(refs.select(source).distinct(), source, "left_anti").join(stats, group)
+    kept = spread_join(df.join(refs.select(source).distinct(), source, "left_anti"), stats, group, "inner", [ident], hot_rows)
     kept = kept.withColumn("_norm", (F.col(score) - F.col("_m")) / F.col("_s")).withColumn("_all", F.lit(0))
     raw = auc(kept, ["_all"], score, label, name="auc_raw", hot_rows=hot_rows)
     norm = auc(kept, ["_all"], "_norm", label, name="auc_norm", hot_rows=hot_rows).drop("n")
@@ -195,7 +206,7 @@ def frame_localization(frames: DataFrame, keys: list[str], pos: str, score: str,
         F.min(F.when(inside, t)).alias("_lo"), F.max(F.when(inside, t)).alias("_hi"),
         F.max(F.struct(F.col(score), (-t).alias("neg"), F.col(truth).alias("y")))["y"].alias("top_inside"))
     near = (F.abs(t - F.col("_lo")) <= edge) | (F.abs(t - F.col("_hi")) <= edge)
-    marks = frames.join(ends, keys).where(inside).groupBy(*keys).agg(
+    marks = spread_join(frames, ends, keys, "inner", [pos], hot_rows).where(inside).groupBy(*keys).agg(
         F.avg(F.when(near, F.col(score))).alias("edge"), F.avg(F.when(~near, F.col(score))).alias("middle"))
     return area.join(ends.select(*keys, "top_inside"), keys).join(marks, keys)
 
@@ -365,7 +376,7 @@ def roc_points(df: DataFrame, keys: list[str], score: str, label: str, points: i
     placed = positions(curve, keys, [f"-{score}"], "_i", hot_rows)
     size = curve.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_m") / points))
-    thin = placed.join(size, keys).where(F.col("_i") % step == 0)
+    thin = spread_join(placed, size, keys, "inner", ["_i"], hot_rows).where(F.col("_i") % step == 0)
     return thin.select(*keys, score, F.try_divide("fp", "n").alias("fpr"), F.try_divide("tp", "p").alias("tpr"))
 
 

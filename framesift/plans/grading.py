@@ -157,6 +157,17 @@ def m9(spark, sf):
     return out.select("task", "group", "n", r6("auc"))
 
 
+GENDERED = """gendered AS (SELECT task, score, y, 'gender/' || CASE WHEN sample_id % 11 = 0 THEN NULL WHEN sample_id % 2 = 0 THEN 'F' ELSE 'M' END AS grp FROM tasked)"""
+
+
+@query("m9_within_gender", "M9", f"""WITH {SAMPLES}, {TASKED}, {GENDERED}, g AS (SELECT * FROM gendered WHERE grp IS NOT NULL)
+SELECT task, grp AS "group", k AS n, round(auc, 6) AS auc FROM (SELECT task, grp, count(*) FILTER (y = 1) AS k FROM g GROUP BY 1, 2) LEFT JOIN {auc_sql('g', 'task, grp')} a USING (task, grp)""")
+def m9_gender(spark, sf):
+    gender = F.when(F.col("sample_id") % 11 != 0, F.when(F.col("sample_id") % 2 == 0, "F").otherwise("M"))
+    out = M.within_groups(tasked(spark, sf).withColumn("gender", gender), ["task"], "gender", "gender/", "score", "y")
+    return out.select("task", "group", "n", r6("auc"))
+
+
 @query("m10_per_speaker", "M10", f"""WITH {SAMPLES}, {TASKED}
 SELECT task, count(*) AS speakers, round(avg(auc), 6) AS mean_auc, round(min(auc), 6) AS min_auc FROM {auc_sql('tasked', 'task, speaker_id')} WHERE auc IS NOT NULL GROUP BY 1""")
 def m10(spark, sf):

@@ -6,6 +6,7 @@ from framesift.functions import vectors as V
 from framesift.functions.rules import add_flag
 from framesift.operators import identity as P
 from framesift.operators import living as L
+from framesift.operators.joins import spread_join
 from framesift.operators.signals import exact_quantiles
 from framesift.plans.fixtures import VECTORS, vectors
 from framesift.plans.registry import query
@@ -145,7 +146,7 @@ def v3_living(spark, sf):
 @query("v5_outlier_flags", "V5", f"""WITH {CENTRES} SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN CASE WHEN sim < 0.1 THEN 'face_outlier,jump_suspect' ELSE 'jump_suspect' END ELSE CASE WHEN sim < 0.1 THEN 'face_outlier' ELSE '' END END AS flags
 FROM sims WHERE speaker = label""")
 def v5(spark, sf):
-    own = vectors(spark, sf).join(registry(spark, sf).select(F.col("speaker").alias("label"), "centre"), "label")
+    own = spread_join(vectors(spark, sf), registry(spark, sf).select(F.col("speaker").alias("label"), "centre"), ["label"], "inner", ["vec_id"])
     flag = F.when(V.dot(F.col("v"), F.col("centre")) < 0.1, LIT("face_outlier"))
     given = F.when(F.col("vec_id") % 3 == 0, LIT("jump_suspect,,jump_suspect")).otherwise(LIT(""))
     return own.select("vec_id", add_flag(given, flag).alias("flags"))

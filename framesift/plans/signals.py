@@ -161,14 +161,37 @@ def c29(spark, sf):
     return out.select("clip_id", "t", F.round("z", 6).alias("z"))
 
 
-@query("c30_jump_detect", "C30")
+def _z_sql(item: str) -> str:
+    mad = f"list_median(list_transform({item}.k, lambda y: abs(y - list_median({item}.k)))) * 1.4826"
+    return f"CASE WHEN {item}.v IS NULL THEN NULL WHEN len({item}.k) < 5 THEN 0.0 ELSE ({item}.v - list_median({item}.k)) / greatest({mad}, 1e-4) END"
+
+
+def _own_sql(field: str, u: str) -> str:
+    return f"{{'v': list_filter(ctx, lambda x: x.t = {u})[1].{field}, 'k': list_transform(list_filter(ctx, lambda x: abs(x.t - ({u})) > 1), lambda x: x.{field})}}"
+
+
+JUMPS = f"""{VSER}, g AS (SELECT *, lag(v) OVER w AS u, lag(v, 2) OVER w AS b2, lead(v) OVER w AS a1 FROM vser WINDOW w AS (PARTITION BY clip_id ORDER BY t)),
+s AS (SELECT clip_id, t, coalesce((SELECT avg(sqrt((v[2*i+1]-u[2*i+1])^2 + (v[2*i+2]-u[2*i+2])^2)) FROM range(0, 5) r(i))
+    / ((greatest(0.05, sqrt((v[1]-v[3])^2 + (v[2]-v[4])^2)) + greatest(0.05, sqrt((u[1]-u[3])^2 + (u[2]-u[4])^2))) / 2), 0) AS m,
+  coalesce((SELECT avg(abs(v[i] - u[i])) FROM range(11, 43) r(i)), 0) AS p, coalesce((SELECT sqrt(avg(((v[i] + a1[i]) / 2 - (u[i] + b2[i]) / 2)^2)) FROM range(1, 17) r(i)), 0) AS c FROM g),
+w AS (SELECT a.clip_id, a.t, any_value(a.m) AS m, list({{'t': b.t, 'm': b.m, 'p': b.p, 'c': b.c}} ORDER BY b.t) AS ctx FROM s a JOIN s b ON b.clip_id = a.clip_id AND b.t BETWEEN a.t - 25 AND a.t + 25 AND b.t >= 1 WHERE a.t >= 1 GROUP BY 1, 2),
+z AS (SELECT *, {_own_sql('p', 't')} AS pz, [{_own_sql('c', 't - 1')}, {_own_sql('c', 't')}, {_own_sql('c', 't + 1')}] AS cz,
+  greatest(coalesce(list_median(list_transform(list_filter(ctx, lambda x: abs(x.t - t) >= 3), lambda x: x.m)), 0), 0.06 / 1.3) AS base, list_max(list_transform(list_filter(ctx, lambda x: abs(x.t - t) BETWEEN 1 AND 2), lambda x: x.m)) AS calm FROM w),
+f AS (SELECT clip_id, t, m >= greatest(0.06, 1.3 * base) AND (calm IS NULL OR calm <= 2.0 * base) AS spike, coalesce({_z_sql('pz')} >= 1.0, false) AS app,
+  coalesce(list_max(list_transform(cz, lambda e: {_z_sql('e')})) >= 1.0, false) AS aud FROM z),
+l AS (SELECT clip_id, t, CASE WHEN spike AND (app OR aud) THEN 'confident' WHEN spike OR (app AND aud) THEN 'suspect' END AS level FROM f),
+j AS (SELECT clip_id, list({{'t': t, 'l': level}} ORDER BY t) AS found FROM l WHERE level IS NOT NULL GROUP BY 1),
+kept AS (SELECT clip_id, unnest(list_reduce(list_prepend([{{'t': -10::BIGINT, 'l': ''}}], list_transform(found, lambda x: [x])), lambda a, x: CASE WHEN x[1].t - a[-1].t > 3 THEN list_concat(a, x) ELSE a END)[2:]) AS e FROM j)"""
+
+
+@query("c30_jump_detect", "C30", f"WITH {JUMPS} SELECT clip_id, e.t AS t, e.l AS level FROM kept")
 def c30(spark, sf):
     s = vector_series(spark, sf).select("clip_id", "t", "v")
     s = G.step_change(s, ["clip_id"], "t", lambda prev: {
         "motion": G.landmark_motion(F.col("v"), prev("v"), 0.05),
         "appearance": F.coalesce(V.mean_abs_diff(F.slice("v", 11, 32), F.slice(prev("v"), 11, 32)), LIT(0.0))})
     s = G.spectrum_change(s, ["clip_id"], "t", "v", 16).drop("v")
-    s = G.robust_z(G.robust_z(s, ["clip_id"], "t", "appearance", out="app_z"), ["clip_id"], "t", "change", out="audio_z")
+    s = G.robust_z(G.robust_z(s, ["clip_id"], "t", "appearance", out="app_z"), ["clip_id"], "t", "change", out="audio_z", offsets=(-1, 0, 1))
     rules = {"landmark_ratio": 1.3, "calm_ratio": 2.0, "appearance_z": 1.0, "audio_z": 1.0}
     return G.detect_jumps(s, ["clip_id"], "t", rules)
 

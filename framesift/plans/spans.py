@@ -210,13 +210,15 @@ def c14(spark, sf):
     return I.fill_blocks(hours(spark, sf), ["clip_id"], "h", "event_id", "value", 6)
 
 
-@query("c15_grid_resample", "C15", f"""WITH RECURSIVE {HOURS},
+TICKS = f"""WITH RECURSIVE {HOURS},
 s AS (SELECT clip_id, event_id, row_number() OVER w - 1 AS i, floor((h - first_value(h) OVER w + 6.0::DOUBLE) / 12.0::DOUBLE)::BIGINT AS u
   FROM hours WINDOW w AS (PARTITION BY clip_id ORDER BY h, event_id)),
 r AS (SELECT clip_id, event_id, i, 0::BIGINT AS tick, 1::BIGINT AS kept FROM s WHERE i = 0
   UNION ALL SELECT s.clip_id, s.event_id, s.i, CASE WHEN r.kept <= s.u THEN r.kept END, r.kept + CASE WHEN r.kept <= s.u THEN 1 ELSE 0 END
-  FROM r JOIN s ON s.clip_id = r.clip_id AND s.i = r.i + 1)
-SELECT clip_id, event_id, tick FROM r""")
+  FROM r JOIN s ON s.clip_id = r.clip_id AND s.i = r.i + 1)"""
+
+
+@query("c15_grid_resample", "C15", f"{TICKS} SELECT clip_id, event_id, tick FROM r")
 def c15(spark, sf):
     h = hours(spark, sf)
     first = h.groupBy("clip_id").agg(F.min("h").alias("h0"))
@@ -224,6 +226,13 @@ def c15(spark, sf):
     return I.resample(rows, ["clip_id"], ["h", "event_id"], "since", 12.0, event_limit(spark, sf)).select("clip_id", "event_id", "tick")
 
 
+@query("c15_closed_grid", "C15", f"""{TICKS}, k AS (SELECT clip_id, tick, event_id FROM r WHERE tick < 40), m AS (SELECT clip_id, max(tick) AS t, arg_max(event_id, tick) AS e FROM k GROUP BY 1)
+SELECT * FROM k UNION ALL SELECT clip_id, unnest(range(t + 1, 40)), e FROM m""")
+def c15_closed(spark, sf):
+    """Exactly forty ticks a series: the last row repeats where it is shorter."""
+    return I.closed_grid(c15(spark, sf), ["clip_id"], "tick", ["event_id"], LIT(40).cast("long"))
+
+
 def lengths(s):
     return s.groupBy("clip_id").agg(F.count(LIT(1)).alias("n"))
 
