@@ -206,7 +206,20 @@ def d15(spark, sf):
     return good.withColumn("conflict", LIT(False)).unionByName(first.withColumn("conflict", LIT(True)))
 
 
-@query("d16_form_parts", "D16")
+GROUPS = """rows_ AS (SELECT c_custkey AS k, (c_custkey // 4) || ':g' AS component, count(*) AS clips, min(o_orderdate) AS first FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
+groups AS (SELECT component, sum(k % 2)::BIGINT AS m, sum(1 - k % 2)::BIGINT AS f, sum(clips)::BIGINT AS clips, strftime(min(first), '%Y-%m-%d') AS first, max(k % 97 = 0) AS blocked FROM rows_ GROUP BY 1)"""
+# The first part with room for a group, and all groups in order handed to it.
+ROOM = "list_filter(range(1, len(s.parts) + 2), lambda i: i > len(s.parts) OR (s.parts[i].m + x.m <= 50 AND s.parts[i].f + x.f <= 50))[1]"
+EMPTY = "'parts': []::STRUCT(m BIGINT, f BIGINT)[], 'out': []::BIGINT[]"
+
+
+@query("d16_form_parts", "D16", f"""WITH {GROUPS}, free AS (SELECT * FROM groups WHERE NOT blocked),
+l AS (SELECT list(component ORDER BY first, component) AS cs, list({{'m': m, 'f': f, {EMPTY}}} ORDER BY first, component) AS xs FROM free),
+r AS (SELECT cs, list_reduce(list_prepend({{'m': 0::BIGINT, 'f': 0::BIGINT, {EMPTY}}}, xs), lambda s, x: {{'m': 0::BIGINT, 'f': 0::BIGINT, 'parts': list_transform(range(1, greatest(len(s.parts), {ROOM}) + 1), lambda j:
+  {{'m': coalesce(s.parts[j].m, 0) + CASE WHEN j = {ROOM} THEN x.m ELSE 0 END, 'f': coalesce(s.parts[j].f, 0) + CASE WHEN j = {ROOM} THEN x.f ELSE 0 END}}), 'out': list_append(s.out, {ROOM})}}) AS e FROM l),
+k AS (SELECT unnest(cs) AS component, unnest(e.out) AS p, coalesce(list_filter(range(1, len(e.parts) + 1), lambda i: e.parts[i].m < 50 OR e.parts[i].f < 50)[1], len(e.parts) + 1) AS open FROM r)
+SELECT component, CASE WHEN p < open THEN p END AS part, CASE WHEN p < open THEN 'placed' ELSE 'left over' END AS status FROM k
+UNION ALL SELECT component, NULL, 'blocked' FROM groups WHERE blocked""")
 def d16(spark, sf):
     return A.form_parts(speaker_groups(spark, sf).select("component", "first", "m", "f", "blocked"), 50)
 
