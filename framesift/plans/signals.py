@@ -298,7 +298,15 @@ def c40(spark, sf):
     return G.proposals(s, ["clip_id"], "t", "x", hot_rows=hot)
 
 
-@query("c41_face_track", "C41")
+_NEAR = """sqrt((x + w / 2 - lx - lw / 2)^2 + (y + h / 2 - ly - lh / 2)^2) < greatest(w, h) * 0.6 AND w / lw > 0.5 AND w / lw < 2"""
+TRACK = f"""{SERIES}, rows_ AS (SELECT clip_id, event_id, t, CASE WHEN valid THEN 1 ELSE event_id % 2 * 2 END::INT AS faces, event_id % 17 <> 0 AS ok_geometry, x * 4 AS x, x * 2 AS y, 40 + x AS w, 40 + x AS h FROM series),
+f AS (SELECT clip_id, t, faces = 1 AND ok_geometry AS valid, CASE WHEN faces = 1 AND ok_geometry THEN 0 ELSE 1 END AS missed, CASE WHEN faces = 1 AND ok_geometry THEN x END AS lx, CASE WHEN faces = 1 AND ok_geometry THEN y END AS ly,
+    CASE WHEN faces = 1 AND ok_geometry THEN w END AS lw, CASE WHEN faces = 1 AND ok_geometry THEN h END AS lh FROM rows_ WHERE t = 0
+  UNION ALL SELECT clip_id, t, ok, CASE WHEN ok THEN 0 ELSE missed + 1 END, CASE WHEN ok THEN x WHEN missed < 2 THEN lx END, CASE WHEN ok THEN y WHEN missed < 2 THEN ly END, CASE WHEN ok THEN w WHEN missed < 2 THEN lw END, CASE WHEN ok THEN h WHEN missed < 2 THEN lh END
+  FROM (SELECT r.*, f.missed, lx, ly, lw, lh, faces = 1 AND ok_geometry AND (lw IS NULL OR ({_NEAR})) AS ok FROM f JOIN rows_ r ON r.clip_id = f.clip_id AND r.t = f.t + 1))"""
+
+
+@query("c41_face_track", "C41", f"WITH RECURSIVE {TRACK} SELECT clip_id, t, faces, ok_geometry, x, y, w, h, valid FROM rows_ JOIN f USING (clip_id, t)")
 def c41(spark, sf):
     hot = event_limit(spark, sf)
     s = series(spark, sf, hot)

@@ -9,6 +9,7 @@ from framesift.operators import living as L
 from framesift.plans.grading import auc_sql
 from framesift.plans.identity import LIVING_RULES, living_clips, living_sql
 from framesift.plans.registry import query
+from framesift.plans.signals import TRACK
 from framesift.plans.spans import HOURS, WINDOWS
 from framesift.session import table, workspace
 from framesift.streaming import jobs as J
@@ -43,7 +44,7 @@ def t3(spark, sf):
     return out.select("user_id", F.unix_micros("start").alias("start"), "inside", "valid")
 
 
-@query("t4_continuity", "T4")
+@query("t4_continuity", "T4", f"WITH RECURSIVE {TRACK} SELECT clip_id AS user_id, event_id, valid FROM rows_ JOIN f USING (clip_id, t)")
 def t4(spark, sf):
     k, x = F.col("event_id"), F.sqrt("value")
     e = J.event_stream(spark, sf, "1 day").select(
