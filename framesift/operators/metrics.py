@@ -380,6 +380,35 @@ def roc_points(df: DataFrame, keys: list[str], score: str, label: str, points: i
     return thin.select(*keys, score, F.try_divide("fp", "n").alias("fpr"), F.try_divide("tp", "p").alias("tpr"))
 
 
+def gate_table(scores: DataFrame, rows: DataFrame, speaker: str, gates: list[tuple], subset, replicates: int = 1000, seed: int = 42) -> DataFrame | None:
+    """(first, second, task, note, subset, variant, delta, lo, hi, speakers, samples): one row per gate.
+
+    scores(model, seed, task, variant, sample_id, score) holds the runs, a null variant the plain test set;
+    `rows` holds sample_id, the speaker and a label column per task. A gate (first, second, task, note, subset,
+    variant) compares the two models' runs of the smallest seed; it is left out when a model has no run for the
+    task and variant. `subset(rows, task, name)` picks the rows of a named subset. The list of runs is a
+    planning table and is read to the driver; None when no gate can be judged.
+    """
+    runs = {(r["model"], r["task"], r["variant"]) for r in scores.select("model", "task", "variant").distinct().collect()}
+    first_seed = {r["model"]: r["seed"] for r in scores.groupBy("model").agg(F.min("seed").alias("seed")).collect()}
+
+    def run_of(model, task, variant, name):
+        mine = scores.where((F.col("model") == model) & (F.col("seed") == first_seed[model]) & (F.col("task") == task) & F.col("variant").eqNullSafe(F.lit(variant)))
+        return mine.select("sample_id", F.col("score").alias(name))
+
+    out = None
+    for first, second, task, note, name, variant in gates:
+        if not {(first, task, variant), (second, task, variant)} <= runs:
+            continue
+        picked = subset(rows, task, name) if name else rows
+        both = picked.join(run_of(first, task, variant, "_a"), "sample_id").join(run_of(second, task, variant, "_b"), "sample_id")
+        one = paired_bootstrap(both, speaker, task, "_a", "_b", replicates, seed).select(
+            F.lit(first).alias("first"), F.lit(second).alias("second"), F.lit(task).alias("task"), F.lit(note).alias("note"),
+            F.lit(name).cast("string").alias("subset"), F.lit(variant).cast("string").alias("variant"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def over_seeds(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and population deviation over seeds as numbers and as text "m ± s" ("-" without values)."""
     out = df.groupBy(*keys).agg(F.count(value).alias("k"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))

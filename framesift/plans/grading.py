@@ -362,6 +362,55 @@ def m20(spark, sf):
     return out
 
 
+# Fixed values: (first, second, task, note, subset, variant). Model m4 has no runs, m3 none on the compressed set.
+GATE_ROWS = [("m1", "m2", "y", "R1 all", None, None), ("m1", "m2", "y", "R2 compressed", None, "c480"), ("m1", "m3", "y", "R3 against m3", None, None), ("m1", "m3", "y", "R4 m3 compressed", None, "c480"),
+             ("m1", "m4", "y", "R5 without a run", None, None), ("m1", "m2", "y2", "R6 second task, one cell", "cell:en", None), ("m1", "m2", "y", "R7 unseen sources", "unseen", "c480")]
+RUNS = [("m1", 42, None), ("m1", 43, None), ("m1", 42, "c480"), ("m2", 42, None), ("m2", 42, "c480"), ("m3", 7, None)]
+
+
+def gate_scores(spark, sf):
+    """Runs of three models: scores from the text length and a hash of model, variant and sample; seed 43 is another run."""
+    s, out = samples(spark, sf), None
+    for model, seed, variant in RUNS:
+        noise = stable_int(F.concat(LIT(f"{model}{seed}{variant or ''}:"), "sample_id")) % 5000
+        one = s.select(LIT(model).alias("model"), LIT(seed).alias("seed"), LIT(variant).cast("string").alias("variant"), "sample_id", (noise.cast("double") + F.col("score") / 4).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("task", F.explode(F.array(LIT("y"), LIT("y2"))))
+
+
+def gates_sql() -> str:
+    """Point values of the gates that can be judged; the smallest seeds are m1 42, m2 42, m3 7."""
+    parts, have = [], {(m, v) for m, _, v in RUNS}
+    seeds = {"m1": 42, "m2": 42, "m3": 7}
+    noise = lambda m, v: hash_sql(f"'{m}{seeds[m]}{v or ''}:' || sample_id::VARCHAR") + " % 5000 + score / 4"
+    for k, (a, b, task, note, subset, variant) in enumerate(GATE_ROWS):
+        if (a, variant) not in have or (b, variant) not in have:
+            continue
+        where = {"cell:en": f"{task} = 0 OR cell = 'en'", "unseen": f"{task} = 0 OR speaker_id NOT IN (SELECT speaker_id FROM samples WHERE split = 'train' AND sample_id % 3 = 0 AND speaker_id < 'src3')"}.get(subset, "true")
+        parts.append(f"""SELECT '{a}' AS first, '{b}' AS second, '{task}' AS task, '{note}' AS note, {f"'{subset}'" if subset else 'NULL'} AS subset, {f"'{variant}'" if variant else 'NULL'} AS variant,
+  round(p.auc - q.auc, 6) AS delta, (SELECT count(DISTINCT speaker_id) FROM t{k}) AS speakers, (SELECT count(*) FROM t{k}) AS samples FROM {auc_sql(f't{k}', 'z', 'sa', task)} p, {auc_sql(f't{k}', 'z', 'sb', task)} q""")
+        parts[-1] = (f"t{k} AS (SELECT 0 AS z, *, ({noise(a, variant)})::DOUBLE AS sa, ({noise(b, variant)})::DOUBLE AS sb FROM samples WHERE {where})", parts[-1])
+    return f"WITH {SAMPLES}, " + ", ".join(p[0] for p in parts) + " " + " UNION ALL ".join(p[1] for p in parts)
+
+
+def gate_rows(spark, sf, replicates):
+    s = samples(spark, sf)
+    seen = s.where("split = 'train' AND sample_id % 3 = 0 AND speaker_id < 'src3'")
+
+    def subset(rows, task, name):
+        if name.startswith("cell:"):
+            return gate_subset(rows, task, "speaker_id", cell=("cell", name.split(":")[1]))
+        return gate_subset(rows, task, "speaker_id", seen=seen)
+
+    return M.gate_table(gate_scores(spark, sf), s.drop("score"), "speaker_id", GATE_ROWS, subset, replicates)
+
+
+@query("m20_gate_rows", "M20", gates_sql())
+def m20_rows(spark, sf):
+    """Gates over models, tasks, subsets and variants; those of missing runs are left out."""
+    return gate_rows(spark, sf, 20).select("first", "second", "task", "note", "subset", "variant", r6("delta"), "speakers", "samples")
+
+
 @query("m21_over_seeds", "M21", """
 WITH s AS (SELECT event_type AS model, user_id % 3 AS seed, avg(sqrt(value)) AS v FROM events WHERE event_type <> 'view' OR user_id % 3 = 0 GROUP BY 1, 2)
 SELECT model, count(v) AS k, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM s GROUP BY 1""")
