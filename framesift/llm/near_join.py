@@ -331,7 +331,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     packed = docs.select(F.struct(*named).alias("_row"), F.col(key).alias("_mine"), F.col(text).alias("_text"))
     blank = packed.where(F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)) == 0).select("_row")
     wordy = packed.where(F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)) > 0)
-    once = wordy.join(keep.where("_rows = 1"), F.col("_mine").eqNullSafe(F.col("_key")), "left_semi").select("_row")
+    # The keys that go are fewer than those that stay, and the rows stand beside them with their texts.
+    stay = keep.where("_rows = 1")
+    gone = written(rows.where("_blank < _rows").join(stay, rows["key"].eqNullSafe(stay["_key"]), "left_anti").select(F.col("key").alias("_key")), "join_gone")
+    once = wordy.join(gone, F.col("_mine").eqNullSafe(F.col("_key")), "left_anti").select("_row")
     again = keep.where("_rows > 1")
     out = once.unionByName(blank)
     if not again.isEmpty():
