@@ -16,9 +16,12 @@ from framesift.session import workspace
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One parquet table as a stream with the schema of the table."""
+    """One parquet table, a file or a folder of files, as a stream with the schema of the table.
+
+    The last letter stands in brackets because a stream takes a single file only by a pattern.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, delay: str) -> DataFrame:

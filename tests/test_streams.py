@@ -54,3 +54,14 @@ def test_registry_over_several_batches(spark):
     stream = spark.readStream.schema("k string, v array<double>").option("maxFilesPerTrigger", 1).parquet(path)
     row = J.registry_stream(stream.select("k", "v"), "k", "v", 2).first()
     assert (row["n"], list(row["s"])) == (3, [3.0, 3.0])
+
+
+def test_table_as_file_or_folder(spark):
+    """Both kinds of a table's path arrive whole, also when the folder holds several files."""
+    path = workspace(spark, "tables")
+    rows = spark.range(10).selectExpr("id AS vec_id", "CAST(id % 2 AS INT) AS label")
+    rows.repartition(3).write.parquet(f"{path}/embeddings.parquet")
+    folder = J.run_to_end(J.table_stream(spark, path, "embeddings"), "points", "append")
+    assert sorted(r["vec_id"] for r in folder.collect()) == list(range(10))
+    file = J.run_to_end(J.table_stream(spark, SF, "labels"), "points", "append")
+    assert file.count() == spark.read.parquet(f"{SF}/labels.parquet").count()
