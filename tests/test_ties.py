@@ -11,3 +11,16 @@ def test_noise_floor_takes_first_of_equal_levels(spark):
     x = [1.0 + 1e-12] * 4 + [1.0] * 4 + [5.0] * 8
     s = spark.createDataFrame([("k", t, v) for t, v in enumerate(x)], "k string, t long, x double")
     assert [(r["start"], r["rms"]) for r in G.noise_floor(s, ["k"], "t", "x", 4).collect()] == [(0, 1.0)]
+
+
+def events(spark, rows):
+    path = workspace(spark, "ties")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, event_type string, value double")
+    df.coalesce(1).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def test_score_equal_to_the_mean_is_a_hit(spark):
+    path = events(spark, [(1, "view", 0.1), (1, "purchase", 0.2), (1, "purchase", 0.3)])  # as doubles their mean is above 0.2
+    got = {r["k"]: (r["f1"], r["far"], r["recall"]) for r in load_all()["m5_at_threshold"].build(spark, path).collect()}
+    assert got == {1: (1.0, 0.0, 1.0), -1: (1.0, 0.0, 1.0)}
