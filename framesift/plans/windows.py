@@ -109,8 +109,9 @@ def s3(spark, sf):
   round(20 * log10(value + 1e-9), 6) AS db, round(2595 * log10(1 + value / 700), 6) AS mel FROM events""")
 def s4(spark, sf):
     v = F.col("value")
+    ln = F.when(v == 0, LIT(float("-inf"))).otherwise(F.log(v))  # Spark's own logarithm of 0 is NULL
     return table(spark, sf, "events").select(
-        "event_id", F.floor(v).alias("fl"), F.ceil(v).alias("ce"), F.bround(v * 2, 0).alias("re"), F.least(F.greatest(v, LIT(5.0)), LIT(50.0)).alias("clip"), F.round(F.log(v), 6).alias("ln"),
+        "event_id", F.floor(v).alias("fl"), F.ceil(v).alias("ce"), F.bround(v * 2, 0).alias("re"), F.least(F.greatest(v, LIT(5.0)), LIT(50.0)).alias("clip"), F.round(ln, 6).alias("ln"),
         F.round(F.exp(-v / 100), 6).alias("ex"), F.round(sigmoid((v - 50) / 10), 6).alias("sig"), F.round(20 * F.log10(v + 1e-9), 6).alias("db"), F.round(2595 * F.log10(1 + v / 700), 6).alias("mel"))
 
 

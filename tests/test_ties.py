@@ -24,3 +24,9 @@ def test_score_equal_to_the_mean_is_a_hit(spark):
     path = events(spark, [(1, "view", 0.1), (1, "purchase", 0.2), (1, "purchase", 0.3)])  # as doubles their mean is above 0.2
     got = {r["k"]: (r["f1"], r["far"], r["recall"]) for r in load_all()["m5_at_threshold"].build(spark, path).collect()}
     assert got == {1: (1.0, 0.0, 1.0), -1: (1.0, 0.0, 1.0)}
+
+
+def test_logarithm_of_zero(spark):
+    path = events(spark, [(1, "view", 0.0), (1, "view", 1.0)])
+    got = {r["event_id"]: r["ln"] for r in load_all()["s4_math"].build(spark, path).collect()}
+    assert got == {0: -math.inf, 1: 0.0}
