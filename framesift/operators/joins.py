@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from framesift.operators.ordered import (
     BLOCK, HOT_KEYS, HOT_ROWS, halo, running,
@@ -62,6 +63,19 @@ def spread_join(rows: DataFrame, totals: DataFrame, keys: list[str], how: str =
     return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
+def with_totals(rows: DataFrame, keys: list[str], totals: dict[str, Column], hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Add {name: aggregate of the key} to every row whose key is known.
+
+    With only light keys (`hot_rows=None`) the totals are taken over the rows as they stand sorted by key, so a
+    task sorts them once; else they are aggregated and joined, hot keys spread.
+    """
+    if hot_rows is not None:
+        return spread_join(rows, rows.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()]), keys, "inner", hot_rows=hot_rows)
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    return rows.withColumns({n: c.over(W.partitionBy(*keys)) for n, c in totals.items()})
+
+
 def as_of(grid: DataFrame, rows: DataFrame, keys: list[str], pos: str, columns: list[str],
           hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Last row at or before each grid point, as one ordered pass over grid ∪ rows.
