@@ -64,7 +64,7 @@ def spread_join(rows: DataFrame, totals: DataFrame, keys: list[str], how: str =
 
 
 def with_totals(rows: DataFrame, keys: list[str], totals: dict[str, Column], hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Add {name: aggregate of the key} to every row whose key is known.
+    """Add {name: one plain aggregate of the key} to every row whose key is known.
 
     With only light keys (`hot_rows=None`) the totals are taken over the rows as they stand sorted by key, so a
     task sorts them once; else they are aggregated and joined, hot keys spread.

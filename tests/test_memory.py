@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from framesift.operators import allocate as A
 
 
@@ -24,3 +26,10 @@ def test_choose_single_sorts_once(spark, rows):
     assert sorted_steps(light) == 1
     by_count = [{r["vid"] for r in A.spread(v, ["k"], ["day", "vid"], c, "size", 3500.0, None).collect()} for c in range(2, 7)]
     assert all(r["vid"] in by_count[r["count"] - 2] for r in light.collect())
+
+
+def test_split_quota_sorts_twice(spark, rows):
+    v = videos(spark).withColumn("total", F.lit(17).cast("long"))
+    light, cut = (A.split_quota(v, ["k"], "vid", "total", "size", hot) for hot in (None, 5))
+    assert rows(light, "vid", "quota") == rows(cut, "vid", "quota")
+    assert sorted_steps(light) == 2
