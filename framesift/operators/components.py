@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framesift.operators.ordered import parts_for
 from framesift.session import checkpointed
 
 
@@ -23,22 +24,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     Alternates "large star" and "small star" steps: each round every node links its neighbours to
     the smallest one it knows, which halves the diameter, and a hub's neighbours are reduced to one
     minimum by a partial aggregate. Every round is written to the shared folder; the loop ends when
-    the edges no longer change.
+    the edges no longer change. The number of parts follows that of the edges, so a task's share stays the same.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).distinct()
-    work = checkpointed(both.distinct())
+    parts = parts_for(edges, 2 * edges.count())
+    nodes = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).repartition(parts, "node").distinct()
+    work = checkpointed(both.repartition(parts, "u", "v").distinct())
     seen = None
     for _ in range(rounds):
         # Large star: neighbours above a node point to the smallest neighbour (or the node itself).
-        sym = work.union(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sym = work.union(work.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(parts, "u")
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Small star: neighbours below a node, and the node, point to the smallest of them.
-        low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).repartition(parts, "u")
         floor = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            floor.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+            floor.select("u", F.col("m").alias("v"))).where("u <> v").repartition(parts, "u", "v").distinct()
         work = checkpointed(small)
         state = work.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == state:
@@ -46,7 +48,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         seen = state
     else:
         raise RuntimeError(f"Components did not settle in {rounds} rounds")
-    return nodes.join(work.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
+    found = work.select(F.col("u").alias("node"), F.col("v").alias("component")).repartition(parts, "node")
+    return nodes.join(found, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"))
 
 

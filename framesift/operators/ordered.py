@@ -27,6 +27,7 @@ HOT_KEYS = 2_000  # a key is cut only above 1/HOT_KEYS of all rows, so at most t
 RANGE_BITS = 10  # a heavy key is cut into up to 2**RANGE_BITS ranges
 SAMPLED = 32  # rows drawn for each range of a heavy key
 BUCKET_ROWS = 20_000  # rows of small groups that one Python call gets
+TASK_ROWS = 500_000  # rows of light keys that one task gets
 BLOCK = 65_536  # positions per block once rows are numbered
 
 
@@ -151,6 +152,20 @@ def settle(df: DataFrame, keys: list[str], hot_rows: int | None) -> int | None:
     return None if hot_rows is None or light(df, keys, hot_rows) else hot_rows
 
 
+def parts_for(df: DataFrame, rows: int, task_rows: int | None = None) -> int:
+    """Number of parts that gives a task about `task_rows` of the `rows`, at least the session's own number."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // (task_rows or TASK_ROWS)))
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int | None = None, task_rows: int | None = None) -> DataFrame:
+    """Deal rows of light keys to as many parts as they need, so that what a task sorts does not grow with the input.
+
+    Later steps over the same keys take the parts over. Where the session's own number will do, rows stay as they are.
+    """
+    count = parts_for(df, df.count() if rows is None else rows, task_rows)
+    return df if count == parts_for(df, 0) else df.repartition(count, *keys)
+
+
 def ordered(
     df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = HOT_ROWS
 ) -> OrderedRows:

@@ -5,6 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from framesift.operators import allocate as A
+from framesift.operators import ordered
+from framesift.operators.components import connected_components
+from framesift.operators.ordered import dealt
 
 
 def sorted_steps(df):
@@ -33,3 +36,18 @@ def test_split_quota_sorts_twice(spark, rows):
     light, cut = (A.split_quota(v, ["k"], "vid", "total", "size", hot) for hot in (None, 5))
     assert rows(light, "vid", "quota") == rows(cut, "vid", "quota")
     assert sorted_steps(light) == 2
+
+
+def most_rows(df):
+    """Rows in the fullest part."""
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(4000).withColumn("k", F.col("id") % 1000)
+    assert dealt(rows, ["k"]).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    assert most_rows(dealt(rows, ["k"], task_rows=100)) < 400
+    monkeypatch.setattr(ordered, "TASK_ROWS", 50)
+    chain = spark.range(400).select((F.col("id") * 2).cast("string").alias("src"), (F.col("id") * 2 + 1).cast("string").alias("dst"))
+    out = connected_components(chain)
+    assert out.count() == 800 and out.rdd.getNumPartitions() == 16
