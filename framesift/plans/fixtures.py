@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.hashing import split_of
 from framesift.functions.vectors import doubles
-from framesift.operators.ordered import HOT_ROWS, positions, settle
+from framesift.operators.ordered import HOT_ROWS, dealt, positions, settle
 from framesift.session import table
 
 DIMENSIONS = 64
@@ -103,6 +103,7 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_shipdate", "l_quantity", "l_returnflag"
     )
+    lines = dealt(lines, ["l_orderkey"])
     first = lines.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first"))
     day = F.datediff("l_shipdate", "first").cast("double")
     return lines.join(first, "l_orderkey").select(
