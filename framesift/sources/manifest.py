@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framesift.operators.ordered import dealt, light
+
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines with an explicit schema; blank lines are skipped, absent fields are NULL."""
@@ -61,8 +63,11 @@ def finalize(jobs: DataFrame, rows: DataFrame, decisions: DataFrame) -> tuple[Da
     jobs(key), rows(key, sample_id, …), decisions(sample_id, decision) → (kept rows, jobs without
     any row). A sample without a decision is kept.
     """
+    count = rows.count()
+    rows = dealt(rows, ["key"], count if light(rows, ["key"]) else 0)
     missing = jobs.join(rows, "key", "left_anti")
-    kept = rows.join(jobs, "key", "left_semi").join(decisions, "sample_id", "left").where(
+    kept = dealt(rows.join(jobs, "key", "left_semi"), ["sample_id"], count)
+    kept = kept.join(dealt(decisions, ["sample_id"], count), "sample_id", "left").where(
         F.coalesce("decision", F.lit("keep")) == "keep"
     )
     return kept.drop("decision"), missing
