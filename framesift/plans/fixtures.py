@@ -37,6 +37,8 @@ def series(spark: SparkSession, sf: str, hot_rows: int | None = HOT_ROWS) -> Dat
         F.col("user_id").alias("clip_id"), "event_id", "ts", "event_type", "value",
         (F.col("event_type") != "error").alias("valid"), F.sqrt("value").alias("x"),
     )
+    if hot_rows is None:
+        events = dealt(events, ["clip_id"])
     return positions(events, ["clip_id"], ["ts", "event_id"], hot_rows=hot_rows)
 
 
