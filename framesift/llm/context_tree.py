@@ -1,12 +1,13 @@
 """Language-model scoring by context-tree weighting of bytes, beside a word-count base score.
 
 Bytes are eight binary decisions each. Every context of 0 to DEPTH bytes keeps Krichevsky-Trofimov counts
-for its decisions, and the tree weights all depths. The tree lives in tables keyed by byte runs; texts
-are scored in blocks, each of which meets the words and runs it contains and nothing else.
+for its decisions, and the tree weights all depths. Texts are handled in blocks. A block hands each group of
+contexts one sorted, packed list of its byte runs and gets their scores back in the same order; words likewise.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 
 from framesift.llm.tables import fold_of, read, small_batches, written
 
-DEPTH, NEAR = 6, 3  # bytes of context; nearest bytes whose part of the tree is one group
-BLOCK_BYTES = 32_000_000  # text of a block; one longer text is a block of its own
-FLUSH = 400_000  # different words a task holds before it passes its counts on
-END = b""  # stands for the end token among the words
+DEPTH, NEAR = 6, 3  # bytes of context; nearest bytes whose part of the tree lies in one group
+BLOCK_BYTES = 16_000_000  # characters of a block; one longer text is a block of its own
+PACK = 2_000_000  # characters of texts packed together
+GROUP_BYTES = 64_000_000  # characters for each group of contexts; at least one group per shuffle partition
+HELD = 1_600_000  # byte runs a task holds before it merges them
+END = b" "  # stands for the end token among the words, none of which has a space
+STEP = 2.0**34  # scores travel as whole numbers of 1 / STEP: 3e-11 of rounding a byte
 HALF = float(np.log(0.5))
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -29,25 +33,74 @@ def folded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, kind=np.int64) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def rising(x: np.ndarray) -> bytes:
+    """Sorted whole numbers, as differences."""
+    return squeezed(np.diff(x.astype(np.int64), prepend=np.int64(0)))
+
+
+def risen(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(data))
+
+
+def listed(words: list[bytes]) -> bytes:
+    raw = b"\n".join(words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unlisted(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], decompressed_size=n, codec="zstd", asbytes=True).split(b"\n") if n else []
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 def blocks(docs: DataFrame, key: str, text: str, held_out) -> DataFrame:
-    """(block, key, held_out, text): the documents, neighbours in the input sharing a block; written once."""
+    """(block, size, docs): the documents packed, neighbours in the input sharing a block; written once."""
     small_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    most = BLOCK_BYTES
+
+    def pack(batch):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        return sink.getvalue().to_pybytes()
 
     def assign(batches):
         block, size = TaskContext.get().partitionId() << 28, 0
         for b in batches:
-            at = []
-            for n in b["text"].to_pylist():
-                n = len(n or "")
-                if size and size + n > BLOCK_BYTES:
+            row, cut, weight = [], 0, 0  # rows `cut` and later are not packed yet
+            lengths = [len(n or "") for n in b["text"].to_pylist()]
+            for i, n in enumerate(lengths):
+                full = size and size + n > most
+                if i > cut and (full or weight + n > PACK):
+                    row.append((block, weight, pack(b.slice(cut, i - cut))))
+                    cut, weight = i, 0
+                if full:
                     block, size = block + 1, 0
-                size += n
-                at.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[b[c] for c in ("key", "held_out", "text")]], ["block", "key", "held_out", "text"])
+                size, weight = size + n, weight + n
+            if b.num_rows:
+                row.append((block, weight, pack(b.slice(cut))))
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in row], k) for c, k in enumerate(kinds)], ["block", "size", "docs"])
 
     rows = docs.select(F.col(key).alias("key"), held_out.alias("held_out"), F.col(text).alias("text"))
-    return written(rows.mapInArrow(assign, f"block long, key {kind}, held_out boolean, text string"), "lm_blocks")
+    return written(rows.mapInArrow(assign, "block long, size long, docs binary"), "lm_blocks")
 
 
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,29 +116,54 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return run[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + starts[owner]], owner
 
 
-def items(batches):
-    """What each block holds: its words and byte runs, with their counts in training texts."""
+def turned(run: np.ndarray) -> np.ndarray:
+    """The run with its context bytes in opposite order, nearest first, so that sorting puts contexts with common
+    nearest bytes together; turns it back as well."""
+    return (run.byteswap() & np.uint64(0x00FFFFFFFFFFFF00)) | (run & np.uint64(255))
 
-    def passed(block, words, runs):
-        none = lambda n, kind: pa.nulls(n, kind)
-        if words:
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(words.keys(), pa.binary()), none(n, pa.int64()), pa.array(words.values(), pa.int64())], ["block", "word", "run", "n"])
-        if runs:
-            run, n = merged(runs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(run), block)), none(len(run), pa.binary()), pa.array(run.view(np.int64)), pa.array(n)], ["block", "word", "run", "n"])
+
+def dealt_runs(run: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Turned runs, their order by group and in it, and the groups in that order. A group holds all runs with
+    the same NEAR nearest context bytes."""
+    turn = turned(run)
+    near = (turn >> np.uint64(8 * (DEPTH - NEAR + 1))) * np.uint64(0x9E3779B97F4A7C15)
+    group = ((near >> np.uint64(33)) % np.uint64(groups)).astype(np.int32)
+    order = np.lexsort((turn, group))
+    return turn, order, group[order]
+
+
+def dealt_words(words, groups: int) -> dict[int, list[bytes]]:
+    """The words of each group, sorted."""
+    out: dict[int, list[bytes]] = {}
+    for w in sorted(words):
+        out.setdefault(zlib.crc32(w) % groups, []).append(w)
+    return out
+
+
+def items(batches, groups: int):
+    """What each block holds, one row per group: its byte runs and words, with their counts in training texts."""
+
+    def passed():
+        run, n = merged(runs)
+        turn, order, group = dealt_runs(run, groups)
+        edges, by_word = np.searchsorted(group, np.arange(groups + 1)), dealt_words(words, groups)
+        rows = []
+        for g, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            mine = by_word.get(g, [])
+            if lo < hi or mine:
+                at = order[lo:hi]
+                rows.append((g, block, rising(turn[at]), squeezed(n[at]), listed(mine), squeezed(np.array([words[w] for w in mine], np.int64))))
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["grp", "block", "runs", "n", "words", "uses"])
 
     block, words, runs, weight = None, Counter(), [], 0
     for b in batches:
-        if not b.num_rows:
-            continue
-        at = b["block"].to_numpy()
-        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if at[lo] != block or len(words) > FLUSH:
-                yield from passed(block, words, runs)
-                block, words, runs, weight = int(at[lo]), Counter(), [], 0
-            part = b.slice(lo, hi - lo)
+        for at, docs in zip(b["block"].to_pylist(), b["docs"].to_pylist()):
+            if at != block:
+                if runs:
+                    yield passed()
+                block, words, runs, weight = at, Counter(), [], 0
+            part = unpacked(docs)
             texts, train = [folded(t) for t in part["text"].to_pylist()], [not h for h in part["held_out"].to_pylist()]
             for learn in (True, False):
                 mine = [t for t, l in zip(texts, train) if l is learn]
@@ -97,10 +175,11 @@ def items(batches):
                 for t in mine:
                     words.update(t.split()) if learn else words.update(dict.fromkeys(t.split(), 0))
                 words[END] += len(mine) * learn
-            if weight > 4 * FLUSH:
+            if weight > HELD:
                 runs = [merged(runs)]
-                weight = len(runs[0][0])
-    yield from passed(block, words, runs)
+                weight = len(runs[0][0]) // 2
+    if runs:
+        yield passed()
 
 
 def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +194,21 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+LOOKED_UP = 65_536
+AT_HALF, AT_WHOLE = log_gamma(np.arange(LOOKED_UP) + 0.5), log_gamma(np.arange(LOOKED_UP) + 1.0)
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
+
+    def gamma(x, table, shift):
+        out = table[np.minimum(x, LOOKED_UP - 1).astype(np.intp)]
+        large = x >= LOOKED_UP
+        if large.any():
+            out[large] = log_gamma(x[large] + shift)
+        return out
+
+    return gamma(zeros, AT_HALF, 0.5) + gamma(ones, AT_HALF, 0.5) - np.log(np.pi) - gamma(zeros + ones, AT_WHOLE, 1.0)
 
 
 def decisions(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,25 +251,109 @@ def summed(node: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return name, *[np.bincount(where.ravel(), weights=v.ravel(), minlength=len(name)) for v in values]
 
 
+class Layer:
+    """One depth over sorted turned runs: their distinct (context, byte) pairs and, for each of a byte's eight
+    decisions, the nodes. Pairs with equal leading bits lie together, so nodes are stretches of pairs."""
+
+    def __init__(self, pair: np.ndarray, n: np.ndarray, deep: Layer | None = None, up: np.ndarray | None = None):
+        self.pair, self.n, self.up = pair, n, up  # up: the pair here of each pair of the deeper layer
+        self.at, self.zeros, self.ones, self.log, self.share, self.first = [], [], [], [], [], []
+        for k in range(8):
+            name = pair >> np.uint64(8 - k)
+            new = np.r_[True, name[1:] != name[:-1]]
+            first, at = np.flatnonzero(new), np.cumsum(new) - 1
+            one = n * self.bit(k)
+            ones = np.add.reduceat(one, first)
+            zeros = np.add.reduceat(n - one, first)
+            own = log_kt(zeros, ones)
+            if deep is None:
+                log, share = own, np.ones(len(own))
+            else:
+                below = np.bincount(at[up[deep.first[k]]], weights=deep.log[k], minlength=len(first))
+                log = np.logaddexp(own, below) + HALF
+                share = np.exp(own + HALF - log)
+            for values, value in ((self.at, at), (self.zeros, zeros), (self.ones, ones), (self.log, log), (self.share, share), (self.first, first)):
+                values.append(value)
+
+    def bit(self, k: int) -> np.ndarray:
+        return ((self.pair >> np.uint64(7 - k)) & np.uint64(1)).astype(float)
+
+    def own(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each pair's chance of its k-th bit by its node alone, and the node's share."""
+        at = self.at[k]
+        zeros, ones = self.zeros[k][at], self.ones[k][at]
+        return (np.where(self.bit(k) > 0, ones, zeros) + 0.5) / (zeros + ones + 1.0), self.share[k][at]
+
+    def named(self, depth: int) -> np.ndarray:
+        """Names of all nodes, as `node_at` gives them."""
+        names = []
+        for k in range(8):
+            pair = self.pair[self.first[k]]
+            context = turned((pair >> np.uint64(8)) << np.uint64(8 * (DEPTH - depth + 1))) >> np.uint64(8)
+            names.append(node_at(context, np.uint64(1 << k) | ((pair & np.uint64(255)) >> np.uint64(8 - k)), depth))
+        return np.concatenate(names)
+
+
+def risen_pairs(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs one context byte shorter, their counts, and where each pair went."""
+    short, up = np.unique(((pair >> np.uint64(16)) << np.uint64(8)) | (pair & np.uint64(255)), return_inverse=True)
+    return short, np.bincount(up.ravel(), weights=n, minlength=len(short)), up.ravel()
+
+
+def layers_of(turn: np.ndarray, n: np.ndarray) -> list[Layer]:
+    """Layers DEPTH to NEAR over sorted turned runs. Runs never met in training count 0: a node of such runs only
+    says one half and changes no other."""
+    out = [Layer(turn, n.astype(float))]
+    for _ in range(DEPTH - NEAR):
+        pair, more, up = risen_pairs(out[-1].pair, out[-1].n)
+        out.append(Layer(pair, more, out[-1], up))
+    return out
+
+
 def near_levels(run: np.ndarray, n: np.ndarray) -> list[Level]:
-    """Levels DEPTH to NEAR of the tree, from the runs met in training."""
-    context, place, bit = decisions(run[n > 0])
-    n = n[n > 0].astype(float)[:, None]
+    """Levels DEPTH to NEAR of the tree, from the runs met in training, to be asked about any run."""
+    some, where = np.unique(turned(run[n > 0]), return_inverse=True)
     levels: list[Level] = []
-    for depth in range(DEPTH, NEAR - 1, -1):
-        node, zeros, ones = summed(node_at(context, place, depth), n * (1 - bit.astype(float)), n * bit)
-        below = None
-        if levels:  # every node of the deeper level has its parent here, and every node a child
-            deep = levels[-1]
-            below = summed(node_at(deep.node >> np.uint64(8), deep.node & np.uint64(255), depth), deep.log)[1]
-        levels.append(Level(node, zeros, ones, below))
+    for depth, layer in zip(range(DEPTH, NEAR - 1, -1), layers_of(some, np.bincount(where.ravel(), weights=n[n > 0])) if len(some) else []):
+        node, level = layer.named(depth), Level.__new__(Level)
+        order = np.argsort(node, kind="stable")
+        level.node = node[order]
+        level.zeros, level.ones, level.log, level.share = (np.concatenate(v)[order] for v in (layer.zeros, layer.ones, layer.log, layer.share))
+        levels.append(level)
     return levels
 
 
+GROUPS = "grp int, block long, runs binary, n binary, c binary, node binary, zeros binary, ones binary, log binary, total long, known long"
+
+
 def grow(key, table):
-    """Nodes at depth NEAR of one group of runs, for the levels above."""
-    top = near_levels(table["run"].to_numpy().view(np.uint64), table["n"].to_numpy())[-1]
-    return pa.table({"node": pa.array(top.node.view(np.int64)), **{n: pa.array(v, pa.float64()) for n, v in (("zeros", top.zeros), ("ones", top.ones), ("log", top.log))}})
+    """One group: a row with all its runs and words counted and its nodes at depth NEAR, and a row per block with
+    the places of the block's runs among all, and the counts of its words."""
+    blocks, lists = table["block"].to_pylist(), [risen(x) for x in table["runs"].to_pylist()]
+    turn, where = np.unique(np.concatenate(lists), return_inverse=True)
+    n = np.bincount(where.ravel(), weights=np.concatenate([unsqueezed(x) for x in table["n"].to_pylist()]), minlength=len(turn))
+    where = np.split(where.ravel(), np.cumsum([len(x) for x in lists])[:-1])
+    words, uses = [unlisted(x) for x in table["words"].to_pylist()], Counter()
+    for mine, x in zip(words, table["uses"].to_pylist()):
+        for w, c in zip(mine, unsqueezed(x).tolist()):
+            uses[w] += c
+    rows = [{"block": b, "runs": rising(at), "c": squeezed(np.array([uses[w] for w in mine], np.int64))} for b, at, mine in zip(blocks, where, words)]
+    whole = {"block": None, "runs": rising(turn), "n": squeezed(n), "total": sum(uses.values()), "known": sum(c > 0 for c in uses.values())}
+    if len(turn):
+        top = layers_of(turn.astype(np.uint64), n)[-1]
+        whole |= {"node": squeezed(top.named(NEAR)), **{c: squeezed(np.concatenate(v)) for c, v in (("zeros", top.zeros), ("ones", top.ones), ("log", top.log))}}
+    kinds = {"grp": pa.int32(), "block": pa.int64(), **dict.fromkeys(("runs", "n", "c", "node", "zeros", "ones", "log"), pa.binary()), "total": pa.int64(), "known": pa.int64()}
+    rows = [r | {"grp": key[0].as_py()} for r in (whole, *rows)]
+    return pa.table({c: pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()})
+
+
+def near_nodes(batches):
+    """The nodes at depth NEAR as rows."""
+    for b in batches:
+        for row in b.to_pylist():
+            got = {c: unsqueezed(row[c], float) for c in ("zeros", "ones", "log")}
+            node = unsqueezed(row["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), row["grp"], np.int32)), pa.array(node), *map(pa.array, got.values())], ["grp", "node", *got])
 
 
 def above(nodes: DataFrame, depth: int) -> DataFrame:
@@ -198,41 +373,56 @@ def weighed(nodes: DataFrame) -> DataFrame:
     return written(nodes.mapInArrow(weigh, "node long, zeros double, ones double, log double, share double"), "lm_level")
 
 
-def run_scores(runs: DataFrame) -> DataFrame:
-    """(run, score): log10 of the chance of a run's last byte after its context, by the whole tree.
+def run_scores(held: DataFrame) -> DataFrame:
+    """(block, grp, score, c): for each block and group, log10 of the chance of each run's last byte after its
+    context by the whole tree, in the order of the block's runs, and its word counts.
 
     The tree grows from its deep end: groups of runs that share their NEAR nearest context bytes, then
     one aggregate per level. Depths 1 and 0 hold at most 65,535 nodes and go to every task; depth 2 meets
-    the groups that lie under it, at most 255 nodes each. Then the groups are weighed again from the top.
+    the groups that lie under it. Then the groups are weighed again from the top.
     """
-    spark = runs.sparkSession
-    near = F.shiftrightunsigned("run", 8).bitwiseAND(F.lit((1 << 8 * NEAR) - 1))
-    runs = written(runs.select("run", "n", near.alias("near")), "lm_runs")
-    nodes = written(runs.groupBy("near").applyInArrow(grow, "node long, zeros double, ones double, log double"), "lm_nodes")
+    spark = held.sparkSession
+    nodes = written(held.where("node IS NOT NULL").select("grp", "node", "zeros", "ones", "log").mapInArrow(near_nodes, "grp int, node long, zeros double, ones double, log double"), "lm_nodes")
     second = weighed(above(nodes, 2))
     first = above(second, 1).toArrow().sort_by("node")
     one = Level(*(first[c].to_numpy().astype(t) for c, t in (("node", np.uint64), ("zeros", float), ("ones", float), ("below", float))))
     top = Level(*summed(one.node & np.uint64(255), one.zeros, one.ones, one.log))
     shared = spark.sparkContext.broadcast((one, top))
-    pair = F.lit(0xFFFF)
-    parts = second.groupBy(F.shiftright("node", 8).alias("pair")).agg(F.array_sort(F.collect_list(F.struct(F.col("node").bitwiseAND(F.lit(255)).alias("place"), "zeros", "ones", "share"))).alias("nodes"))
-    groups = written(runs.select("near").distinct().withColumn("pair", F.col("near").bitwiseAND(pair)).join(parts, "pair", "left").select("near", "nodes"), "lm_parts")
+    pair = F.shiftright("node", 8)
+    under = nodes.select("grp", pair.bitwiseAND(F.lit(0xFFFF)).alias("pair")).distinct().join(second.withColumn("pair", pair), "pair").select("grp", "node", "zeros", "ones", "share")
 
     def weigh(left, right):
         one, top = shared.value
-        run = left["run"].to_numpy().view(np.uint64)
-        context, place, bit = decisions(run)
-        chance = np.full(bit.shape, 0.5)
-        for depth, level in zip(range(DEPTH, NEAR - 1, -1), near_levels(run, left["n"].to_numpy())):
-            chance = level.predict(node_at(context, place, depth), bit, chance)
-        rows = right["nodes"][0].as_py() or []
-        zeros, ones, share = (np.array([r[c] for r in rows]) for c in ("zeros", "ones", "share"))
-        chance = mixed(np.array([r["place"] for r in rows], np.uint64), zeros, ones, share, place, bit, chance)
-        chance = one.predict(node_at(context, place, 1), bit, chance)
-        chance = top.predict(node_at(context, place, 0), bit, chance)
-        return pa.table({"run": left["run"], "score": pa.array(np.log10(chance).sum(1))})
-
-    return written(runs.groupBy("near").cogroup(groups.groupBy("near")).applyInArrow(weigh, "run long, score double"), "lm_scores")
+        whole = left.filter(left["block"].is_null()).to_pylist()[0]
+        mine = left.filter(left["block"].is_valid())
+        turn, n = risen(whole["runs"]).astype(np.uint64), unsqueezed(whole["n"], float)
+        log = np.zeros(len(turn))
+        if len(turn):
+            layers = layers_of(turn, n)
+            pair, _, up = risen_pairs(layers[-1].pair, layers[-1].n)
+            two = right.sort_by("node")
+            names = two["node"].to_numpy().astype(np.uint64)
+            zeros, ones, share = (two[c].to_numpy() for c in ("zeros", "ones", "share"))
+            context, place, bit = decisions(turned(pair << np.uint64(8 * (DEPTH - 2))) & np.uint64(0xFFFF00) | (pair & np.uint64(255)))
+            ends = []
+            for deeper in (0.0, 1.0):  # the upper depths are linear in what depth NEAR says
+                chance = mixed(names, zeros, ones, share, node_at(context, place, 2), bit, np.full(bit.shape, deeper))
+                chance = one.predict(node_at(context, place, 1), bit, chance)
+                ends.append(top.predict(node_at(context, place, 0), bit, chance))
+            for k in range(8):
+                chance, at = layers[0].own(k)[0], np.arange(len(turn))
+                for layer in layers[1:]:
+                    at = layer.up[at]
+                    own, part = layer.own(k)
+                    chance = part[at] * own[at] + (1 - part[at]) * chance
+                at = up[at]
+                log += np.log10(ends[0][at, k] * (1 - chance) + ends[1][at, k] * chance)
+        whole_steps = np.rint(-log * STEP).astype(np.int64)
+        scores = [squeezed(whole_steps[risen(x)]) for x in mine["runs"].to_pylist()]
+        return pa.table({"block": mine["block"], "grp": mine["grp"], "score": pa.array(scores, pa.binary()), "c": mine["c"]})
+
+    rows = held.select("grp", "block", "runs", "n", "c")
+    return rows.groupBy("grp").cogroup(under.groupBy("grp")).applyInArrow(weigh, "block long, grp int, score binary, c binary")
 
 
 def scored(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,28 +434,42 @@ def scored(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -
     """
     placed = blocks(docs, key, text, held_out)
     kind = docs.schema[key].dataType.simpleString()
-    held = written(placed.mapInArrow(items, "block long, word binary, run long, n long"), "lm_items")
-    words = written(held.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "lm_words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    runs = run_scores(held.where("run IS NOT NULL").groupBy("run").agg(F.sum("n").alias("n")))
-    none = {k: F.lit(None).cast(k) for k in ("binary", "bigint", "double")}
-    mine = held.where("word IS NOT NULL").select("block", "word").join(words, "word").select("block", "word", "c", none["bigint"].alias("run"), none["double"].alias("score"))
-    own = held.where("run IS NOT NULL").select("block", "run").join(runs, "run").select("block", none["binary"].alias("word"), none["bigint"].alias("c"), "run", "score")
+    size = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
+    parts = placed.select("block", "docs").mapInArrow(lambda batches: items(batches, groups), "grp int, block long, runs binary, n binary, words binary, uses binary")
+    held = written(parts.groupBy("grp").applyInArrow(grow, GROUPS), "lm_groups")
+    total, distinct = held.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    found = run_scores(held)
 
     def score(left, right):
-        is_word = right["word"].is_valid()
-        some = right.filter(is_word)
-        counts = dict(zip(some["word"].to_pylist(), some["c"].to_pylist()))
-        some = right.filter(right["run"].is_valid())
-        run, at = np.unique(some["run"].to_numpy().view(np.uint64), return_index=True)
-        value = some["score"].to_numpy()[at]
+        texts, names, marks = [], [], []
+        for docs in left["docs"].to_pylist():
+            part = unpacked(docs)
+            texts += [part["text"].combine_chunks()]
+            names += part["key"].chunks
+            marks += part["held_out"].chunks
+        got = {g: (s, c) for g, s, c in zip(right["grp"].to_pylist(), right["score"].to_pylist(), right["c"].to_pylist())}
+        pieces, words = [], set()
+        for some in texts:  # the block's runs once more, which its scores follow in order
+            raw = [folded(t) for t in some.to_pylist()]
+            own, at = np.unique(runs_of(raw)[0], return_inverse=True)
+            pieces.append((raw, own, at.ravel().astype(np.int32)))
+            for t in raw:
+                words.update(t.split())
+        words.add(END)
+        runs = np.unique(np.concatenate([p[1] for p in pieces]))
+        _, order, _ = dealt_runs(runs, groups)
+        value = np.empty(len(runs))
+        value[order] = np.concatenate([unsqueezed(got[g][0]) for g in sorted(got)]) / -STEP
+        counts: dict[bytes, int] = {}
+        for g, mine in dealt_words(words, groups).items():
+            counts.update(zip(mine, unsqueezed(got[g][1]).tolist()))
         log = {c: float(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))) for c in set(counts.values())}
         out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
-        for lo in range(0, left.num_rows, 256):
-            texts = [folded(t) for t in left["text"].slice(lo, 256).to_pylist()]
-            got, owner = runs_of(texts)
-            sums = np.bincount(owner, weights=value[np.searchsorted(run, got)], minlength=len(texts))
-            for t, s in zip(texts, sums.tolist()):
+        for raw, own, at in pieces:
+            starts = np.cumsum([0] + [len(t) + 1 for t in raw[:-1]])
+            sums = np.add.reduceat(value[np.searchsorted(runs, own)][at], starts)
+            for t, s in zip(raw, sums.tolist()):
                 c = [counts[w] for w in t.split()] + [counts[END]]
                 out["n_tokens"].append(len(c))
                 out["n_known"].append(len(c) - c.count(0))
@@ -273,9 +477,9 @@ def scored(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -
                 out["score"].append(s)
                 out["bits_per_byte"].append(-s / np.log10(2) / (len(t) + 1))
         types = {"n_tokens": pa.int64(), "n_known": pa.int64()}
-        return pa.table({"key": left["key"], "held_out": left["held_out"], **{n: pa.array(v, types.get(n, pa.float64())) for n, v in out.items()}})
+        return pa.table({"key": pa.chunked_array(names), "held_out": pa.chunked_array(marks), **{n: pa.array(v, types.get(n, pa.float64())) for n, v in out.items()}})
 
-    rows = placed.groupBy("block").cogroup(mine.unionByName(own).groupBy("block")).applyInArrow(
+    rows = placed.select("block", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         score, f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return rows.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 

@@ -115,3 +115,21 @@ def test_nothing_to_learn_from(spark, docs_of):
 def test_the_sixth_byte_back_is_context():
     run, owner = tree.runs_of([b"1abcdex", b"2abcdex"])
     assert run[owner == 0][6] != run[owner == 1][6]
+
+
+def test_runs_travel_packed(spark, docs_of, monkeypatch):
+    """No table has a row per (block, run) or (block, word)."""
+    docs = docs_of([(i, " ".join(f"w{(i * 37 + j) ** 2 % 9973}" for j in range(200))) for i in range(20)])
+    sizes, write = {}, tree.written
+    monkeypatch.setattr(tree, "written", lambda df, name: (out := write(df, name), sizes.update({name: out.count()}))[0])
+    assert tree.scored(docs, F.col("doc_id") % 5 == 1).count() == 20
+    blocks = docs.rdd.getNumPartitions()
+    assert all(n <= (blocks + 1) * int(spark.conf.get("spark.sql.shuffle.partitions")) for name, n in sizes.items() if name not in ("lm_nodes", "lm_level"))
+
+
+def test_packed_numbers_and_words_come_back():
+    x = np.array([0, 1, 255, 256, 1 << 55], np.int64)
+    assert (tree.risen(tree.rising(x)) == x).all() and (tree.unsqueezed(tree.squeezed(x / 3), float) == x / 3).all()
+    assert not len(tree.unsqueezed(tree.squeezed(x[:0]))) and tree.unlisted(tree.listed([])) == [] and tree.unlisted(tree.listed([b"a", tree.END])) == [b"a", tree.END]
+    run = tree.runs_of(["abcabcd é".encode()])[0]
+    assert (tree.turned(tree.turned(run)) == run).all()
