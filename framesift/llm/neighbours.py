@@ -1,7 +1,9 @@
-"""Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
+"""Approximate nearest neighbours: neighbour graphs by NN-descent, searched greedily.
 
-The graph holds different vectors only; rows with the same vector are its members and come back with it.
-Each round joins every vector's neighbours, both ways, with one another and keeps the nearest, as tables.
+The index holds different vectors only; rows with the same vector are its members and come back with it.
+Vectors are dealt to shards by their nearest pivot, and each shard has a graph of its own. A query enters the
+shards of its nearest pivots. How many, and how wide it searches there, is decided on a sample of the queries
+that is compared with the whole table.
 """
 
 from __future__ import annotations
@@ -11,17 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from framesift.llm.near_join import by_group
 from framesift.llm.tables import read, small_batches, uniform, written
 
 NEIGHBOURS = 24  # edges each vector keeps
-PROJECTIONS, BLOCK = 3, 256  # first neighbours: sorted along random directions, compared in blocks
+PROJECTIONS, BESIDE = 4, 8  # first neighbours: those beside a vector along random directions
 SETTLED = 0.01  # share of changed edges at which the rounds end
-HELD = 1_000_000  # edges a task holds before it drops those that cannot be kept
 WAYS_IN = 4  # nearest neighbours from which a vector is always reached, also where they are hubs
-BEAM, EXPAND = 96, 32  # vectors a query keeps at first, and expands at once
-CHECKED, RECALL = 64, 0.95  # queries compared with the whole table; share of their nearest the search must find
-ENTRIES = 64  # fixed starting points of the search, a sample by hash
+SHARD = 4096  # vectors of a shard on average; shards above twice as many are cut by hash
+WIDTHS = (32, 64, 128, 256, 512, 1024)  # vectors a query may keep in a shard; the last is the most
+CHECKED, RECALL = 64, 0.97  # queries compared with the whole table; share of their nearest the search must find
+ENTRIES = 32  # starting points in a shard
+AT_ONCE = 128  # vectors or queries handled in one array step
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -40,154 +42,178 @@ def short(vec: pa.Array) -> np.ndarray:
     return flat.reshape(len(vec), -1) if len(vec) else flat.reshape(0, 1)
 
 
-def packed(nodes: DataFrame) -> DataFrame:
-    """(node, half): the upper two bytes of each component, enough to build the graph with."""
+def edge_batch(u, v, d) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(u, np.int64)), pa.array(np.asarray(v, np.int64)), pa.array(np.asarray(d, np.float64))], ["u", "v", "d"])
 
-    def pack(batches):
-        for b in batches:
-            x = (short(b["vec"]).view(np.uint32) >> 16).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array([r.tobytes() for r in x], pa.binary())], ["node", "half"])
 
-    return nodes.mapInArrow(pack, "node long, half binary")
+# -- one shard ---------------------------------------------------------------------------------------------
+
+def closest(x: np.ndarray, norm: np.ndarray, at: np.ndarray, offers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` nearest different offers of the vectors `at`, nearest first, and their squared distances."""
+    offers = np.sort(offers.astype(np.int32), 1)
+    d = norm[at][:, None] + norm[offers] - 2 * np.matmul(x[offers], x[at][:, :, None])[:, :, 0]
+    d[offers == at[:, None]] = np.inf
+    d[:, 1:][offers[:, 1:] == offers[:, :-1]] = np.inf
+    best = np.argpartition(d, most - 1, 1)[:, :most]
+    best = np.take_along_axis(best, np.argsort(np.take_along_axis(d, best, 1), 1), 1)
+    return np.take_along_axis(offers, best, 1), np.take_along_axis(d, best, 1)
+
+
+def neighbour_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """NN-descent: the neighbours found for each vector, nearest first, and their squared distances; infinite where
+    there are fewer. Each round offers every vector the neighbours of its neighbours, taken both ways."""
+    n, norm = len(x), (x * x).sum(1)
+    k = min(NEIGHBOURS, n - 1)
+    if k < 1:
+        return np.empty((n, 0), np.int64), np.empty((n, 0), np.float32)
+    random = np.random.default_rng(0)
+    offers = []
+    for _ in range(PROJECTIONS):
+        order = np.argsort(x @ random.standard_normal(x.shape[1]), kind="stable")
+        place = np.argsort(order)
+        offers += [order[(place + o) % n] for o in range(-BESIDE, BESIDE + 1) if o]
+    offers = np.stack(offers, 1)
+    near, d = closest(x, norm, np.arange(n), offers, min(k, offers.shape[1]))
+    near, d = np.pad(near, ((0, 0), (0, k - near.shape[1])), mode="edge"), np.pad(d, ((0, 0), (0, k - d.shape[1])), constant_values=np.inf)
+    while True:
+        back = near.copy()  # where few come back, the own neighbours stand in
+        to, source, far = near.ravel(), np.repeat(np.arange(n), k), d.ravel()
+        by = np.lexsort((far, to))
+        rank = np.arange(n * k) - np.searchsorted(to[by], to[by])
+        some = (rank < k) & np.isfinite(far[by])
+        back[to[by][some], rank[some]] = source[by][some]
+        ways, news = np.hstack([near, back]), []
+        for lo in range(0, n, AT_ONCE):
+            at = np.arange(lo, min(n, lo + AT_ONCE))
+            news.append(closest(x, norm, at, np.hstack([near[at], ways[at], near[ways[at]].reshape(len(at), -1)]), k))
+        better, d_new = (np.concatenate(v) for v in zip(*news))
+        changed = (d_new < d).sum()
+        near, d = better, d_new
+        if changed <= SETTLED * n * k:
+            return near, d
+
+
+def ways_of(near: np.ndarray, d: np.ndarray) -> pa.ListArray:
+    """The edges of each vector both ways: a hub leads to its nearest followers only, but each vector is reached
+    from its WAYS_IN nearest."""
+    n, k = near.shape
+    own, u, v, far = np.tile(np.arange(k), n), np.repeat(np.arange(n), k), near.ravel(), d.ravel()
+    own, u, v, far = (a[np.isfinite(far)] for a in (own, u, v, far))
+    by = np.lexsort((far, v))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by)) - np.searchsorted(v[by], v[by])
+    back = (rank < NEIGHBOURS) | (own < WAYS_IN)
+    pairs = np.unique(np.r_[u * n + v, v[back] * n + u[back]])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs, np.arange(n + 1) * n).astype(np.int32)), pa.array((pairs % n).astype(np.int32)))
+
+
+def greedy_search(x: np.ndarray, ways: pa.ListArray, q: np.ndarray, own: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of each query to the vectors it has seen (infinite: not seen). It starts at ENTRIES vectors
+    and at its own (`own`, -1 if it is elsewhere) and each hop follows the edges of the nearest vectors not yet
+    followed, until the `width` nearest all are."""
+    n, norm = len(x), (x * x).sum(1)
+    first, flat = ways.offsets.to_numpy(), ways.values.to_numpy()
+    d, done = np.full((len(q), n), np.inf, np.float32), np.zeros((len(q), n), bool)
+
+    def see(row, node):
+        code = np.unique(row * n + node)
+        row, node = code // n, code % n
+        new = np.isinf(d[row, node])
+        row, node = row[new], node[new]
+        d[row, node] = np.maximum(norm[node] - 2 * np.einsum("ij,ij->i", x[node], q[row]) + (q[row] * q[row]).sum(1), 0)
+
+    entries = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))
+    see(np.repeat(np.arange(len(q)), len(entries)), np.tile(entries, len(q)))
+    here = np.flatnonzero(own >= 0)
+    see(here, own[here])
+    width = min(width, n)
+    while True:
+        top = np.argpartition(d, width - 1, 1)[:, :width]
+        far = np.where(np.take_along_axis(done, top, 1), np.inf, np.take_along_axis(d, top, 1))
+        at = np.argsort(far, 1)[:, :max(1, width // 4)]
+        row, col = np.nonzero(np.isfinite(np.take_along_axis(far, at, 1)))
+        if not len(row):
+            return d
+        node = top[row, at[row, col]]
+        done[row, node] = True
+        size = first[node + 1] - first[node]
+        see(np.repeat(row, size), flat[np.repeat(first[node] - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.int64))
 
 
-def unpacked(halves: list[bytes]) -> np.ndarray:
-    return (np.frombuffer(b"".join(halves), np.uint16).reshape(len(halves), -1).astype(np.uint32) << 16).view(np.float32)
+# -- the index ---------------------------------------------------------------------------------------------
 
+def pivots_of(nodes: DataFrame) -> np.ndarray:
+    """One vector in SHARD, a sample by hash."""
+    total = nodes.count()
+    rows = nodes.orderBy(uniform(F.lit("pivot"), "node"), "node").limit(-(-total // SHARD)).select("vec").collect()
+    return np.array([r.vec for r in rows], np.float32).reshape(len(rows), -1 if rows else 0)
 
-def square_distances(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    norm = (x * x).sum(1)
-    return np.maximum(norm[:, None] + norm[None, :] - 2 * (x @ x.T), 0)
 
+def index(nodes: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(pivot, part, node, vec, ways): every vector in its shard with its edges, as places in the shard by node;
+    and (pivot, part): the shards."""
+    kind = nodes.schema["vec"].dataType.simpleString()
 
-def edge_batch(u, v, d) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(u, np.int64)), pa.array(np.asarray(v, np.int64)), pa.array(np.asarray(d, np.float64))], ["u", "v", "d"])
+    def assign(batches):
+        for b in batches:
+            near = ((pivots * pivots).sum(1)[None, :] - 2 * short(b["vec"]) @ pivots.T).argmin(1) if b.num_rows else np.empty(0)
+            yield b.append_column("pivot", pa.array(near.astype(np.int32)))
 
+    placed = written(nodes.select("node", "vec").mapInArrow(assign, f"node long, vec {kind}, pivot int"), "nn_placed")
+    sizes = written(placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / (2 * SHARD)).cast("int").alias("parts")), "nn_shards")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
 
-def nearest_in(nodes: np.ndarray, d: np.ndarray, most: int) -> pa.RecordBatch:
-    """Up to `most` finite entries of each row of d, as edges."""
-    k = min(most, d.shape[1] - 1)
-    at = np.argpartition(d, k, 1)[:, :k] if k < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
-    near = np.take_along_axis(d, at, 1)
-    row, col = np.nonzero(np.isfinite(near))
-    return edge_batch(nodes[row], nodes[at[row, col]], near[row, col])
-
-
-def thinned(batches):
-    """Edges without repeats and without those beyond the nearest NEIGHBOURS of a vector in this task,
-    which no later step could keep."""
-
-    def thin(held):
-        u, v, d = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
-        at = np.lexsort((v, d, u))
-        u, v, d = u[at], v[at], d[at]
-        new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (d[1:] != d[:-1])]
-        u, v, d = u[new], v[new], d[new]
-        first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-        rank = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)]))
-        near = rank < NEIGHBOURS
-        return edge_batch(u[near], v[near], d[near])
-
-    held, size = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            size += b.num_rows
-        if size > HELD:
-            held = [thin(held)]
-            size = held[0].num_rows
-            if size > HELD // 2:
-                yield from held
-                held, size = [], 0
-    if held:
-        yield thin(held)
-
-
-def first_edges(nodes: DataFrame) -> DataFrame:
-    """Neighbours within blocks of vectors that lie together along a few random directions."""
-    spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def compare(batches):
-        return thinned(blocks(batches))
-
-    def blocks(batches):
-        held: list[tuple[int, bytes]] = []
+    def build(table):
+        table = table.sort_by("node")
+        near, d = neighbour_graph(short(table["vec"].combine_chunks()))
+        return table.append_column("ways", ways_of(near, d))
+
+    dealt = placed.join(F.broadcast(sizes), "pivot").select("pivot", part.alias("part"), "node", "vec")
+    graph = dealt.groupBy("pivot", "part").applyInArrow(build, f"pivot int, part int, node long, vec {kind}, ways array<int>")
+    return written(graph, "nn_graph"), sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+def routed(queries: DataFrame, pivots: np.ndarray, most: int) -> DataFrame:
+    """(query_id, node, qvec, pivot, rank): each query at its `most` nearest pivots, ranked from 1."""
+    kind = queries.schema["qvec"].dataType.simpleString()
+
+    def route(batches):
         for b in batches:
-            held += zip(b["node"].to_pylist(), b["half"].to_pylist())
-            while len(held) >= 2 * BLOCK:
-                yield block(held[:BLOCK])
-                held = held[BLOCK // 2:]  # blocks overlap by half
-        if len(held) > 1:
-            yield block(held)
-
-    def block(rows):
-        d = square_distances(unpacked([r[1] for r in rows]))
-        np.fill_diagonal(d, np.inf)
-        return nearest_in(np.array([r[0] for r in rows]), d, NEIGHBOURS)
-
-    edges = None
-    for p in range(PROJECTIONS):
-        def project(batches, p=p):
-            for b in batches:
-                x = unpacked(b["half"].to_pylist()).astype(np.float64) if b.num_rows else np.empty((0, 1))
-                yield b.append_column("at", pa.array(x @ np.random.default_rng(p).standard_normal(x.shape[1])))
-
-        placed = nodes.mapInArrow(project, "node long, half binary, at double").repartitionByRange(parts, "at", "node").sortWithinPartitions("at", "node")
-        found = placed.mapInArrow(compare, "u long, v long, d double")
-        edges = found if edges is None else edges.unionByName(found)
-    return edges
-
-
-def kept(edges: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
-    """The nearest `most` different neighbours of each vector; an edge is fresh until it has been joined."""
-    once = edges.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
-    nearest = W.partitionBy("u").orderBy("d", "v")
-    return once.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= most).drop("r")
-
-
-def local_join(batches):
-    """Distances between the neighbours of one vector, where one of the two is fresh; only offers that
-    beat what a vector has are sent on. No vector can keep more than NEIGHBOURS of them."""
-    return thinned(offers_of(batches))
-
-
-def offers_of(batches):
-    for group in by_group(batches, "centre"):
-        node, at = np.unique(group["member"].to_numpy(), return_index=True)
-        fresh, radius = group["fresh"].to_numpy()[at] > 0, group["radius"].to_numpy()[at]
-        halves = group["half"].to_pylist()
-        if len(node) < 2 or not fresh.any():
-            continue
-        d = square_distances(unpacked([halves[i] for i in at]))
-        np.fill_diagonal(d, np.inf)
-        d[~(fresh[:, None] | fresh[None, :]) | (d >= radius[:, None])] = np.inf
-        yield nearest_in(node, d, NEIGHBOURS)
-
-
-def neighbour_graph(nodes: DataFrame) -> DataFrame:
-    """(u, v, d): the neighbour graph over (node, vec), d the squared distance it was built with."""
-    spark = nodes.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    halves = written(packed(nodes), "nn_vectors")
-    total = halves.count()
-    graph = written(kept(first_edges(halves).withColumn("fresh", F.lit(1))), "nn_graph")
-    while True:
-        forward = graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "fresh", "d")
-        back = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "fresh", "d")
-        rank = W.partitionBy("centre").orderBy(F.desc("fresh"), "d", "member")  # a hub joins its nearest, not all
-        back = back.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= NEIGHBOURS).drop("r")
-        pairs = forward.unionByName(back).groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
-        radius = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) < NEIGHBOURS, F.lit(float("inf"))).otherwise(F.max("d")).alias("radius"))
-        known = halves.join(radius, F.col("node") == F.col("u"), "left").select("node", "half", F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
-        members = pairs.join(known, F.col("member") == F.col("node")).select("centre", "member", "fresh", "half", "radius")
-        offers = members.repartition(parts, "centre").sortWithinPartitions("centre").mapInArrow(local_join, "u long, v long, d double")
-        graph = written(kept(graph.withColumn("fresh", F.lit(0)).unionByName(offers.withColumn("fresh", F.lit(1)))), "nn_graph")
-        if graph.agg(F.sum("fresh")).first()[0] in (None, 0) or graph.where("fresh = 1").count() < SETTLED * NEIGHBOURS * total:
-            break
-    return graph.select("u", "v", "d")
+            if b.num_rows:
+                d = (pivots * pivots).sum(1)[None, :] - 2 * short(b["qvec"]) @ pivots.T
+                near = np.argsort(d, 1, kind="stable")[:, :most]
+                out = b.take(pa.array(np.repeat(np.arange(b.num_rows), near.shape[1])))
+                rank = np.tile(np.arange(1, near.shape[1] + 1, dtype=np.int32), b.num_rows)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(near.ravel().astype(np.int32)), pa.array(rank)], [*out.schema.names, "pivot", "rank"])
+
+    return queries.select("query_id", "node", "qvec").mapInArrow(route, f"query_id long, node long, qvec {kind}, pivot int, rank int")
+
+
+def hits_in(graph: DataFrame, asked: DataFrame, widths: tuple[int, ...], k: int) -> DataFrame:
+    """(query_id, node, d, rank, width): the k + 1 nearest vectors that each asked query finds in each shard it enters,
+    for each width; twice as many candidates, whose distances single precision may have swapped."""
+
+    def search(left, right):
+        out: list[pa.RecordBatch] = []
+        left = left.sort_by("node")
+        node, x = left["node"].to_numpy(), short(left["vec"].combine_chunks()) if left.num_rows else None
+        ways = left["ways"].combine_chunks() if left.num_rows else None
+        for lo in range(0, right.num_rows if left.num_rows else 0, AT_ONCE):
+            some = right.slice(lo, AT_ONCE)
+            own = some["node"].to_numpy()
+            at = np.minimum(np.searchsorted(node, own), len(node) - 1)
+            own = np.where(node[at] == own, at, -1)
+            for width in widths:
+                d = greedy_search(x, ways, short(some["qvec"].combine_chunks()), own, width)
+                best = np.argsort(d, 1, kind="stable")[:, :2 * (k + 1)]
+                row, col = np.nonzero(np.isfinite(np.take_along_axis(d, best, 1)))
+                near = best[row, col]
+                out.append(pa.RecordBatch.from_arrays([some["query_id"].take(pa.array(row)).combine_chunks(), pa.array(node[near]), pa.array(d[row, near].astype(float)), some["rank"].take(pa.array(row)).combine_chunks(),
+                                                       pa.array(np.full(len(row), width, np.int32))], names))
+        return pa.Table.from_batches(out, pa.schema(dict(zip(names, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())))))
+
+    names = ["query_id", "node", "d", "rank", "width"]
+    return graph.groupBy("pivot", "part").cogroup(asked.groupBy("pivot", "part")).applyInArrow(search, "query_id long, node long, d double, rank int, width int")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -195,8 +221,8 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def exact(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(query_id, node): the k nearest other vectors of CHECKED queries, a sample by hash, from the whole table."""
-    sample = queries.orderBy(uniform(F.lit("checked"), "query_id"), "query_id").limit(CHECKED).collect()
+    """(query_id, node): the k nearest other vectors of a few queries, from the whole table."""
+    sample = queries.collect()
     ids, own = np.array([r.query_id for r in sample], np.int64), np.array([r.node for r in sample], np.int64)
     q = np.array([r.qvec for r in sample], float).reshape(len(sample), -1 if sample else 0)
 
@@ -218,45 +244,22 @@ def exact(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return written(found.withColumn("r", rank).where(F.col("r") <= k).select(F.col("u").alias("query_id"), F.col("v").alias("node")), "nn_exact")
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, node, score): the nearest vectors found for (query_id, qvec, node), BEAM or more.
-
-    Every query starts at ENTRIES fixed vectors and at its own. Each hop expands the nearest kept vectors
-    not yet expanded along edges both ways. When none is left, a sample of the queries is compared with
-    the whole table: until RECALL of their nearest are found, every query keeps twice as many and goes on.
-    """
-    back = graph.withColumn("own", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).select(F.col("v").alias("u"), F.col("u").alias("v"), "d", "own")
-    back = back.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).where((F.col("r") <= NEIGHBOURS) | (F.col("own") <= WAYS_IN)).select("u", "v", "d")
-    ways = written(graph.unionByName(back).select("u", "v").distinct(), "nn_ways")
-    entries = nodes.orderBy(uniform(F.lit("entry"), "node"), "node").limit(ENTRIES).select("node", "vec")
-    lists = entries.agg(F.collect_list(F.struct("node", "vec")).alias("entries"))  # ENTRIES vectors, in one row
-    start = queries.join(F.broadcast(lists)).select("query_id", "qvec", F.explode("entries").alias("e")).select("query_id", F.col("e.node").alias("node"), distance(F.col("qvec"), F.col("e.vec")).alias("score"))
-    own = queries.where("node IS NOT NULL").select("query_id", "node", F.lit(0.0).alias("score"))
-    seen = written(start.unionByName(own).groupBy("query_id", "node").agg(F.min("score").alias("score")), "nn_seen")
-    turns = None
-    wanted, total, width = exact(queries, nodes, k), nodes.count(), BEAM
-    sought = wanted.count()
-    near = W.partitionBy("query_id").orderBy("score", "node")
-
-    def best(rows):
-        return written(rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= width).drop("r"), "nn_beam")
-
-    beam = best(seen.withColumn("open", F.lit(True)))
-    while True:
-        turn = written(beam.where("open").withColumn("r", F.row_number().over(near)).where(F.col("r") <= EXPAND).select("query_id", "node", F.lit(True).alias("_done")), "nn_turn")
-        if turn.isEmpty():
-            if width >= total or beam.join(wanted, ["query_id", "node"]).count() >= RECALL * sought:
-                return beam.select("query_id", "node", "score")
-            width *= 2
-            rows = seen if turns is None else seen.join(turns, ["query_id", "node"], "left")
-            beam = best(rows.select("query_id", "node", "score", F.lit(True).alias("open") if turns is None else F.col("_done").isNull().alias("open")))
-            continue
-        reached = turn.join(ways, F.col("node") == F.col("u")).select("query_id", F.col("v").alias("node")).distinct()
-        new = reached.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").join(nodes, "node").join(queries.select("query_id", "qvec"), "query_id")
-        new = written(new.select("query_id", "node", distance(F.col("qvec"), F.col("vec")).alias("score")), "nn_seen")
-        old = beam.join(turn, ["query_id", "node"], "left").select("query_id", "node", "score", (F.col("open") & F.col("_done").isNull()).alias("open"))
-        beam = best(old.unionByName(new.withColumn("open", F.lit(True))))
-        seen, turns = seen.unionByName(new), turn if turns is None else turns.unionByName(turn)
+def breadth(graph: DataFrame, shards: DataFrame, pivots: np.ndarray, queries: DataFrame, nodes: DataFrame, k: int) -> tuple[int, int]:
+    """How many pivots a query must enter and how many vectors it must keep in a shard, so that CHECKED queries, a
+    sample by hash, find RECALL of their nearest; the cheapest such pair, or else all pivots and the largest width."""
+    sample = written(queries.orderBy(uniform(F.lit("checked"), "query_id"), "query_id").limit(CHECKED), "nn_checked")
+    wanted = exact(sample, nodes, k)
+    asked = routed(sample, pivots, len(pivots)).join(F.broadcast(shards), "pivot")
+    hits = hits_in(graph, asked, WIDTHS, k).join(F.broadcast(wanted), ["query_id", "node"]).select("width", "rank").toArrow()
+    width, rank = hits["width"].to_numpy(), hits["rank"].to_numpy()
+    need = RECALL * wanted.count()
+    fits = []
+    for w in WIDTHS:
+        found = np.cumsum(np.bincount(rank[width == w], minlength=len(pivots) + 1))
+        if len(pivots) and found[-1] >= need:
+            p = max(1, int(np.searchsorted(found, need)))
+            fits.append((w * p, p, w))
+    return min(fits)[1:] if fits else (len(pivots), WIDTHS[-1])
 
 
 def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
@@ -270,9 +273,15 @@ def nearest(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     nodes = written(good.groupBy("vec").agg(F.min("vec_id").alias("node")).select("node", "vec"), "nn_nodes")
     nodes = distinct_nodes(nodes)
     named = written(good.join(nodes.select("node", "vec"), "vec").select("vec_id", "node", "vec"), "nn_named")
-    graph = neighbour_graph(nodes)
-    queries = written(named.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"), "node").dropDuplicates(["query_id"]), "nn_queries")
-    found = greedy_search(queries, nodes, graph, k)
+    small_batches(rows.sparkSession)
+    pivots = pivots_of(nodes)
+    graph, shards = index(nodes, pivots)
+    queries = written(named.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("node", F.col("vec").alias("qvec"))).alias("q")).select("query_id", "q.node", "q.qvec"), "nn_queries")
+    enter, width = breadth(graph, shards, pivots, queries, nodes, k)
+    hits = hits_in(graph, routed(queries, pivots, enter).join(F.broadcast(shards), "pivot"), (width,), k)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("d", "node"))
+    hits = hits.withColumn("r", rank).where(F.col("r") <= 2 * (k + 1)).select("query_id", "node")
+    found = hits.join(nodes, "node").join(queries.select("query_id", "qvec"), "query_id").select("query_id", "node", distance(F.col("qvec"), F.col("vec")).alias("score"))
     few = W.partitionBy("node").orderBy("vec_id")  # no more members of one vector than a result can hold
     members = named.select("node", "vec_id").withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).drop("r")
     hits = found.join(members, "node").where("vec_id <> query_id")

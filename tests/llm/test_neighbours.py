@@ -61,3 +61,20 @@ def test_recall_holds_as_rows_grow(spark):
     d[np.arange(80), np.arange(0, 8000, 100)] = np.inf
     near = np.argsort(d, 1, kind="stable")[:, :10]
     assert sum(len(got[100 * i] & set(n.tolist())) for i, n in enumerate(near)) >= 0.9 * 800
+
+
+def test_few_tables_whatever_the_rows_and_shards(spark, monkeypatch):
+    """Clusters of very unlike sizes in many shards: recall holds, and no table is written per hop or round."""
+    monkeypatch.setattr(neighbours, "SHARD", 200)
+    names, write = [], neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, name: (names.append(name), write(df, name))[1])
+    random = np.random.default_rng(3)
+    x = np.concatenate([random.standard_normal(16) * 5 + random.standard_normal((n, 16)) for n in (1500, 400, 60, 40)]).astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+    got = {}
+    for r in neighbours.nearest(frame(spark, rows), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows)
+    assert got.keys() == want.keys()
+    assert sum(len(got[q] & {j for _, j in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+    assert len(names) <= 12
