@@ -100,8 +100,7 @@ def _leaf(rows: pa.Table) -> pa.Table:
         free = (size >= me["_x"]) & ~over & (p != me["_p"])
         pool = free.sum(1)
         below = (free & (p < me["_p"])).sum(1)
-        k = np.select([col["_kind"][i] == w for w in (BY_HASH, NEXT, BEFORE, LAST)],
-                      [np.where(pool > 0, col["_h"][i] % np.maximum(pool, 1), -1), below, below - 1, pool - 1], col["_k"][i]).astype(np.int64)
+        k = _wanted(col, i, pool, below)
         good = (k >= 0) & (k < pool)
         ranks = np.cumsum(free, 1)
         where = (ranks <= k[:, None]).sum(1)
@@ -110,6 +109,36 @@ def _leaf(rows: pa.Table) -> pa.Table:
     return pa.table({"_ask": rows.column("_ask").take(pa.array(asks)), "_pool": count, "_pick": rows.column("_id").take(taken), "_pick_size": rows.column("_size").take(taken)})
 
 
+def _leaves(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+    """Answers of many small leaves, sorted by leaf, in one step over all (ask, candidate) pairs of a leaf."""
+    col = {n: rows.column(n).to_numpy(zero_copy_only=False) for n in ("_kind", "_p", "_size", "_a", "_b", "_x", "_h", "_k")}
+    code = rows.column("_source").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    leaf = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, rows.num_rows]))
+    mine, asks = np.flatnonzero(col["_kind"] < 0), np.flatnonzero(col["_kind"] >= 0)
+    mine = mine[np.lexsort((col["_p"][mine], leaf[mine]))]
+    first, last = np.searchsorted(leaf[mine], leaf[asks]), np.searchsorted(leaf[mine], leaf[asks], "right")
+    size = last - first
+    ends = np.cumsum(size)
+    ask = np.repeat(np.arange(len(asks)), size)
+    i, j = asks[ask], mine[np.arange(len(ask)) - np.repeat(ends - size, size) + np.repeat(first, size)]
+    a, b, p = col["_a"], col["_b"], col["_p"]
+    over = (code[j] == code[i]) & (a[j] < b[i]) & (a[i] < b[j]) & (a[j] < b[j]) & (a[i] < b[i])
+    free = (col["_size"][j] >= col["_x"][i]) & ~over & (p[j] != p[i])
+    pool = np.bincount(ask[free], minlength=len(asks))
+    below = np.bincount(ask[free & (p[j] < p[i])], minlength=len(asks))
+    k = _wanted(col, asks, pool, below)
+    hits = j[free]
+    good = (k >= 0) & (k < pool)
+    taken = pa.array(hits[np.where(good, np.cumsum(pool) - pool + k, 0)] if len(hits) else np.zeros(len(asks), np.int64), mask=~good)
+    return pa.table({"_ask": rows.column("_ask").take(pa.array(asks)), "_pool": pool.astype(np.int64), "_pick": rows.column("_id").take(taken), "_pick_size": rows.column("_size").take(taken)})
+
+
+def _wanted(col: dict, i: np.ndarray, pool: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Which of its remaining rows each ask wants."""
+    return np.select([col["_kind"][i] == w for w in (BY_HASH, NEXT, BEFORE, LAST)],
+                     [np.where(pool > 0, col["_h"][i] % np.maximum(pool, 1), -1), below, below - 1, pool - 1], col["_k"][i]).astype(np.int64)
+
+
 def picks(rows: DataFrame, asks: DataFrame, keys: list[str], bits: int = LEAF_BITS, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """(_ask, _pool, _pick, _pick_size) per ask.
 
@@ -146,7 +175,7 @@ def picks(rows: DataFrame, asks: DataFrame, keys: list[str], bits: int = LEAF_BI
     mine = rows.withColumns({"_node": F.shiftright("_p", bits), "_kind": F.lit(-1)}).select(*leaf, "_kind")
     met = mine.unionByName(asks.select(*leaf, "_kind", "_ask", "_x", "_h", "_k"), allowMissingColumns=True).na.fill({"_k": -1, "_h": 0})
     ident = rows.schema["_id"].dataType.simpleString()
-    out = in_buckets(met, [*keys, "_node"], 2 * total, _leaf, f"_ask long, _pool long, _pick {ident}, _pick_size double")
+    out = in_buckets(met, [*keys, "_node"], 2 * total, _leaf, f"_ask long, _pool long, _pick {ident}, _pick_size double", together=_leaves)
     if known is not None:
         out = out.join(known, "_ask", "left").withColumn("_pool", F.coalesce("_all", "_pool")).drop("_all")
     return out

@@ -27,6 +27,7 @@ HOT_KEYS = 2_000  # a key is cut only above 1/HOT_KEYS of all rows, so at most t
 RANGE_BITS = 10  # a heavy key is cut into up to 2**RANGE_BITS ranges
 SAMPLED = 32  # rows drawn for each range of a heavy key
 BUCKET_ROWS = 20_000  # rows of small groups that one Python call gets
+SMALL_GROUP = 64  # rows of a group that may be settled together with others
 TASK_ROWS = 500_000  # rows of light keys that one task gets
 BLOCK = 65_536  # positions per block once rows are numbered
 
@@ -241,11 +242,12 @@ def python_groups(df: DataFrame, keys: list[str]):
     return df.repartition(count, *keys).groupBy(*keys)
 
 
-def in_buckets(df: DataFrame, keys: list[str], rows: int, fold, schema: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def in_buckets(df: DataFrame, keys: list[str], rows: int, fold, schema: str, bucket_rows: int = BUCKET_ROWS, together=None) -> DataFrame:
     """Apply `fold(arrow table of one group)` to every group, many small groups to a Python call.
 
     Groups are dealt to buckets by hash, about `bucket_rows` of the `rows` each; inside a bucket they are
-    told apart by their keys. A group must be of bounded size, as it is held in memory.
+    told apart by their keys. A group must be of bounded size, as it is held in memory. `together(arrow table,
+    first row of each group)`, if given, settles all groups of at most SMALL_GROUP rows in one array step.
     """
     count = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // bucket_rows))
 
@@ -257,8 +259,12 @@ def in_buckets(df: DataFrame, keys: list[str], rows: int, fold, schema: str, buc
             code = np.unique(code * (values.max(initial=0) + 1) + values, return_inverse=True)[1]
         order = np.argsort(code, kind="stable")
         part, borders = part.take(pa.array(order)), np.flatnonzero(np.diff(code[order])) + 1
-        starts = [0, *borders.tolist()]
-        return pa.concat_tables([fold(part.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], part.num_rows])])
+        starts = np.r_[0, borders]
+        sizes, done = np.diff(np.r_[starts, part.num_rows]), []
+        few = sizes <= SMALL_GROUP if together else np.zeros(len(sizes), bool)
+        if few.any():
+            done.append(together(part.filter(pa.array(np.repeat(few, sizes))), np.cumsum(sizes[few]) - sizes[few]))
+        return pa.concat_tables([*done, *(fold(part.slice(a, n)) for a, n in zip(starts[~few].tolist(), sizes[~few].tolist()))])
 
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")).repartition(count, "_bucket")
     return dealt.groupBy("_bucket").applyInArrow(each, schema)

@@ -35,7 +35,8 @@ def plan_jobs(clips: DataFrame, generators: dict[str, list[str]], voices: dict[s
     donor = donors(slim, group, "clip_id", "duration_s", "source_id", "start_s", "end_s", shorter, seed, hot_rows=hot_rows).select("clip_id", "donor", "pool")
     reference = reference_of(slim, group, "clip_id", "source_id", "duration_s").select("clip_id", "reference")
     turn = positions(slim.select(*group).distinct(), ["split"], ["speaker_id"], "_turn", hot_rows)
-    known = slim.select(*group, "clip_id").join(donor, "clip_id").join(reference, "clip_id")
+    # Written before the next join counts its rows, which would find all donors a second time.
+    known = checkpointed(slim.select(*group, "clip_id").join(donor, "clip_id").join(reference, "clip_id"))
     known = checkpointed(spread_join(known, turn, group, spread=["clip_id"], hot_rows=hot_rows))
     voice_key = job_key("voice", F.col("clip_id").cast("string"))
     for split, names in voices.items():

@@ -82,3 +82,37 @@ def test_empty(spark):
     none = spark.createDataFrame([], KIND)
     assert donors(none, ["split", "speaker"], "clip", "d", "source", "a", "b", 1.0, "1").collect() == []
     assert nearest_donor(none, ["split", "speaker"], "clip", "d", "source", "a", "b", 1.0).collect() == []
+
+
+def test_small_leaves_together_are_like_one_by_one():
+    import numpy as np
+    import pyarrow as pa
+
+    from framesift.operators import donors as D
+
+    random, parts = np.random.default_rng(4), []
+    for n in (1, 2, 7, 30, 3):
+        for kind in (-1, D.BY_HASH, D.NEXT, D.BEFORE, D.LAST, D.GIVEN):
+            a = random.integers(0, 20, n).astype(float)
+            size = random.integers(1, 9, n).astype(float)
+            parts.append(pa.table({"_kind": np.full(n, kind), "_p": np.arange(n), "_size": size, "_a": a, "_b": a + size - 2, "_x": size - 1, "_h": random.integers(0, 99, n),
+                                   "_k": random.integers(-1, 4, n), "_id": np.arange(n) * 3, "_ask": np.arange(n) + 1000 * len(parts),
+                                   "_source": pa.array([None if s == 2 else f"s{s}" for s in random.integers(0, 3, n)], pa.string())}))
+    leaves = [pa.concat_tables(parts[i:i + 6]) for i in range(0, len(parts), 6)] + [parts[1]]  # the last one has no candidates
+    starts = np.cumsum([0] + [t.num_rows for t in leaves[:-1]])
+    want = pa.concat_tables([D._leaf(t) for t in leaves]).to_pylist()
+    assert D._leaves(pa.concat_tables(leaves), starts).to_pylist() == want
+
+
+def test_the_plan_finds_its_donors_once(spark, monkeypatch):
+    from framesift.operators import donors as D
+    from framesift.plans import load_all
+
+    calls, real = spark.sparkContext.accumulator(0), D.in_buckets
+
+    def counted(*args, together, **named):
+        return real(*args, together=lambda *a: (calls.add(1), together(*a))[1], **named)
+
+    monkeypatch.setattr(D, "in_buckets", counted)
+    load_all()["d21_make_plan"].build(spark, "/root/testdata/sf0.001").count()
+    assert 0 < calls.value <= int(spark.conf.get("spark.sql.shuffle.partitions"))
