@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -222,34 +223,34 @@ def match_segments(found: DataFrame, truth: DataFrame, clip: str) -> DataFrame:
     schema = f"{clip} {kind}, score double, a double, b double, truths long, " + ", ".join(
         [f"{h} int" for h in hits] + [f"ar_{n} double" for n in AR_AT])
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = pdf[pdf["is_truth"] == 1][["a", "b"]].to_numpy()
-        segs = pdf[pdf["is_truth"] == 0].sort_values(["score", "a", "b"], ascending=[False, True, True])
-        ab = segs[["a", "b"]].to_numpy()
-        inter = np.clip(np.minimum(ab[:, None, 1], spans[None, :, 1]) - np.maximum(ab[:, None, 0], spans[None, :, 0]), 0, None)
-        hull = np.maximum(ab[:, None, 1], spans[None, :, 1]) - np.minimum(ab[:, None, 0], spans[None, :, 0])
+    def match(rows: pa.Table) -> pa.Table:
+        truth, (score, a, b) = rows["is_truth"].to_numpy() == 1, (rows[c].to_numpy() for c in ("score", "a", "b"))
+        spans, at = np.flatnonzero(truth), np.flatnonzero(~truth)
+        at = at[np.lexsort((b[at], a[at], -score[at]))]
+        inter = np.clip(np.minimum(b[at][:, None], b[spans]) - np.maximum(a[at][:, None], a[spans]), 0, None)
+        hull = np.maximum(b[at][:, None], b[spans]) - np.minimum(a[at][:, None], a[spans])
         cover = inter / np.where(hull > 0, hull, 1)
-        out = segs[[clip, "score", "a", "b"]].copy() if len(segs) else pd.DataFrame(
-            [(pdf[clip].iloc[0], None, None, None)], columns=[clip, "score", "a", "b"])
-        out["truths"] = len(spans)
+        size = max(len(at), 1)
+        some = rows.select([clip, "score", "a", "b"]).take(pa.array(at if len(at) else [0]))
+        if not len(at):
+            some = pa.table({clip: some[clip], **{c: pa.nulls(1, pa.float64()) for c in ("score", "a", "b")}})
+        out = {"truths": np.full(size, len(spans), np.int64)}
         for level, name in zip(IOU_AP, hits):
-            free, flags = np.ones(len(spans), bool), []
-            for row in cover:
-                open_ = np.where(free & (row >= level), row, -1.0)
-                # the last best span wins a tie
-                j = len(open_) - 1 - int(np.argmax(open_[::-1])) if len(open_) else -1
-                ok = j >= 0 and open_[j] >= level
-                if ok:
-                    free[j] = False
-                flags.append(int(ok))
-            out[name] = flags if len(segs) else 0
+            free, flags = np.ones(len(spans), bool), np.zeros(size, np.int32)
+            for i in np.flatnonzero((cover >= level).any(1)) if len(spans) else ():
+                open_ = np.where(free & (cover[i] >= level), cover[i], -1.0)
+                j = len(open_) - 1 - int(np.argmax(open_[::-1]))  # the last best span wins a tie
+                if open_[j] >= level:
+                    free[j], flags[i] = False, 1
+            out[name] = flags
         for n in AR_AT:
-            best = cover[:n].max(axis=0) if len(segs) and len(spans) else np.zeros(len(spans))
-            reached = float(np.mean([(best >= v).sum() for v in IOU_AR])) if len(spans) else 0.0
-            out[f"ar_{n}"] = [reached] + [0.0] * (len(out) - 1)
-        return out
+            best = cover[:n].max(axis=0) if len(at) and len(spans) else np.zeros(len(spans))
+            reached = np.zeros(size)
+            reached[0] = float(np.mean([(best >= v).sum() for v in IOU_AR])) if len(spans) else 0.0
+            out[f"ar_{n}"] = reached
+        return pa.table({**{c: some[c] for c in some.column_names}, **out})
 
-    return python_groups(segs, [clip]).applyInPandas(match, schema)
+    return python_groups(segs, [clip]).applyInArrow(match, schema)
 
 
 def temporal_scores(matched: DataFrame, clip: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:

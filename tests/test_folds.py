@@ -162,3 +162,16 @@ def test_clusters_and_best_matches(spark):
     for _, i, v in rows:
         want = sorted(table, key=lambda k: -float(table[k] @ np.array(v)))[:3]
         assert [r["key"] for r in sorted((r for r in found if r["id"] == i), key=lambda r: r["rank"])] == want
+
+
+def test_temporal_folds_take_arrays_and_keep_ties(spark):
+    """No Pandas frame per clip; the last best span wins a tie, a clip without segments has one row, one without spans no hit."""
+    from framesift.operators import metrics as M
+
+    found = spark.createDataFrame([("a", 2.0, 0.0, 1.0), ("a", 1.0, 0.0, 1.0), ("a", 1.0, 5.0, 6.0), ("c", 1.0, 0.0, 1.0)], "clip string, score double, a double, b double")
+    truth = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.0, 1.0), ("b", 0.0, 1.0)], "clip string, a double, b double")
+    out = M.match_segments(found, truth, "clip")
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    hit = next(c for c in out.columns if c.startswith("hit_"))
+    got = sorted(((r.clip, r.score, r.a, r.truths, r[hit]) for r in out.collect()), key=repr)
+    assert got == [("a", 1.0, 0.0, 2, 1), ("a", 1.0, 5.0, 2, 0), ("a", 2.0, 0.0, 2, 1), ("b", None, None, 1, 0), ("c", 1.0, 0.0, 0, 0)]
