@@ -8,10 +8,10 @@ contexts one sorted, packed list of its byte runs and gets their scores back in
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ END = b" "  # stands for the end token among the words, none of which has a spac
 STEP = 2.0**34  # scores travel as whole numbers of 1 / STEP: 3e-11 of rounding a byte
 HALF = float(np.log(0.5))
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+SPACE, LINE = (np.isin(np.arange(256), list(c)) for c in (b" \t\n\v\f\r", b"\n"))
 
 
 def folded(text: str | None) -> bytes:
@@ -62,8 +63,39 @@ def listed(words: list[bytes]) -> bytes:
 
 
 def unlisted(data: bytes) -> list[bytes]:
+    return unlisted_words(data).to_pylist()
+
+
+def unlisted_words(data: bytes) -> pa.Array:
     n = int.from_bytes(data[:8], "little")
-    return pa.decompress(data[8:], decompressed_size=n, codec="zstd", asbytes=True).split(b"\n") if n else []
+    return stretches(pa.decompress(data[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b"", LINE)[0]
+
+
+def stretches(data: bytes, gap: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The longest stretches without a byte of `gap`, and where they begin."""
+    raw = np.frombuffer(data, np.uint8)
+    held = ~gap[raw]
+    edge = np.flatnonzero(np.diff(held, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    return binaries(np.concatenate([[0], np.cumsum(ends - starts)]), raw[held]), starts
+
+
+def binaries(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
+def laid(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of the words."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    return at - at[0], np.frombuffer(data, np.uint8)[at[0]:at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8)
+
+
+def counted(words: pa.Array, uses: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the sums of their uses, and the place of each word among them."""
+    found = words.dictionary_encode()
+    at = found.indices.to_numpy()
+    return found.dictionary, np.bincount(at, weights=uses, minlength=len(found.dictionary)).astype(np.int64), at
 
 
 def unpacked(data: bytes) -> pa.Table:
@@ -116,6 +148,40 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return run[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + starts[owner]], owner
 
 
+def ranked_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of `runs_of`, sorted, and the place of each byte's run among them. A run is named by the
+    numbers of its two three-byte stretches and of its last byte among those that occur; such names keep the order, and
+    if they leave room for the place in the text, one plain sort gives both."""
+    pad = b"\0" * DEPTH
+    raw = np.frombuffer(pad + b"".join(t + b"\0" + pad for t in texts), np.uint8)
+    letter = np.cumsum(np.bincount(raw, minlength=256) > 0) - 1
+    letters, size = int(letter[-1]) + 1, np.array([len(t) + 1 for t in texts])
+    bits = len(raw).bit_length()
+    if DEPTH == 6 and letters**3 <= 8 * len(raw) + 1_000_000:
+        low = letter.astype(np.int32)[raw]
+        three = (low[:-2] * letters + low[1:-1]) * letters + low[2:]
+        seen = np.zeros(letters**3, bool)
+        seen[three] = True
+        number = np.cumsum(seen, dtype=np.int32)
+        threes = int(number[-1])
+        if threes**2 * letters << bits < 1 << 64:
+            mine = np.ones(len(raw) - DEPTH, bool)
+            mine[((np.cumsum(size + DEPTH) - DEPTH)[:, None] + np.arange(DEPTH)).ravel()] = False
+            dense = (number - 1)[three].astype(np.uint64)
+            name = (dense[:-4] * np.uint64(threes) + dense[3:-1]) * np.uint64(letters) + low[DEPTH:].astype(np.uint64)
+            name = name[mine] << np.uint64(bits) | np.arange(size.sum(), dtype=np.uint64)
+            name.sort()
+            where = (name & np.uint64((1 << bits) - 1)).astype(np.int64)
+            name >>= np.uint64(bits)
+            new = np.r_[True, name[1:] != name[:-1]]
+            at = np.empty(len(where), np.int32)
+            at[where] = np.cumsum(new, dtype=np.int32) - 1
+            end = np.flatnonzero(mine)[where[new]] + DEPTH
+            return sum(raw[end - k].astype(np.uint64) << np.uint64(8 * k) for k in range(DEPTH + 1)), at
+    run, at = np.unique(runs_of(texts)[0], return_inverse=True)
+    return run, at.ravel().astype(np.int32)
+
+
 def turned(run: np.ndarray) -> np.ndarray:
     """The run with its context bytes in opposite order, nearest first, so that sorting puts contexts with common
     nearest bytes together; turns it back as well."""
@@ -132,12 +198,19 @@ def dealt_runs(run: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np
     return turn, order, group[order]
 
 
-def dealt_words(words, groups: int) -> dict[int, list[bytes]]:
-    """The words of each group, sorted."""
-    out: dict[int, list[bytes]] = {}
-    for w in sorted(words):
-        out.setdefault(zlib.crc32(w) % groups, []).append(w)
-    return out
+def dealt_words(words: pa.Array, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of different words by group and in it, and the groups in that order."""
+    group = np.array([zlib.crc32(w) % groups for w in words.to_pylist()], np.int32)
+    order = pc.sort_indices(words).to_numpy()
+    order = order[np.argsort(group[order], kind="stable")]
+    return order, group[order]
+
+
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many each text has."""
+    words, starts = stretches(b" ".join(texts), SPACE)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return words, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def items(batches, groups: int):
@@ -146,35 +219,36 @@ def items(batches, groups: int):
     def passed():
         run, n = merged(runs)
         turn, order, group = dealt_runs(run, groups)
-        edges, by_word = np.searchsorted(group, np.arange(groups + 1)), dealt_words(words, groups)
+        edges = np.searchsorted(group, np.arange(groups + 1))
+        mine, uses, _ = counted(pa.concat_arrays([*words, pa.array([END], pa.large_binary())]), np.concatenate([*used, [ends]]))
+        by_word, group = dealt_words(mine, groups)
+        offsets, data = laid(pc.binary_join_element_wise(mine.take(pa.array(by_word)), *(pa.scalar(x, pa.large_binary()) for x in (b"", b"\n"))))
+        uses, cuts = uses[by_word], np.searchsorted(group, np.arange(groups + 1))
         rows = []
-        for g, (lo, hi) in enumerate(zip(edges, edges[1:])):
-            mine = by_word.get(g, [])
-            if lo < hi or mine:
-                at = order[lo:hi]
-                rows.append((g, block, rising(turn[at]), squeezed(n[at]), listed(mine), squeezed(np.array([words[w] for w in mine], np.int64))))
+        for g, (lo, hi, first, last) in enumerate(zip(edges, edges[1:], cuts, cuts[1:])):
+            if lo < hi or first < last:
+                at, raw = order[lo:hi], data[offsets[first]:max(offsets[last] - 1, offsets[first])].tobytes()
+                rows.append((g, block, rising(turn[at]), squeezed(n[at]), listed([raw]), squeezed(uses[first:last])))
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["grp", "block", "runs", "n", "words", "uses"])
 
-    block, words, runs, weight = None, Counter(), [], 0
+    block, words, used, ends, runs, weight = None, [], [], 0, [], 0
     for b in batches:
         for at, docs in zip(b["block"].to_pylist(), b["docs"].to_pylist()):
             if at != block:
                 if runs:
                     yield passed()
-                block, words, runs, weight = at, Counter(), [], 0
+                block, words, used, ends, runs, weight = at, [], [], 0, [], 0
             part = unpacked(docs)
-            texts, train = [folded(t) for t in part["text"].to_pylist()], [not h for h in part["held_out"].to_pylist()]
-            for learn in (True, False):
-                mine = [t for t, l in zip(texts, train) if l is learn]
-                if not mine:
-                    continue
-                run, n = np.unique(runs_of(mine)[0], return_counts=True)
-                runs.append((run, n * learn))
-                weight += len(run)
-                for t in mine:
-                    words.update(t.split()) if learn else words.update(dict.fromkeys(t.split(), 0))
-                words[END] += len(mine) * learn
+            texts, train = [folded(t) for t in part["text"].to_pylist()], np.array([not h for h in part["held_out"].to_pylist()])
+            run, place = ranked_runs(texts)
+            runs.append((run, np.bincount(place, weights=np.repeat(train, [len(t) + 1 for t in texts]), minlength=len(run)).astype(np.int64)))
+            weight += len(run)
+            some, sizes = words_of(texts)
+            some, uses, _ = counted(some, np.repeat(train, sizes))
+            words.append(some)
+            used.append(uses)
+            ends += int(train.sum())
             if weight > HELD:
                 runs = [merged(runs)]
                 weight = len(runs[0][0]) // 2
@@ -183,8 +257,11 @@ def items(batches, groups: int):
 
 
 def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    run, where = np.unique(np.concatenate([r for r, _ in runs]), return_inverse=True)
-    return run, np.bincount(where, weights=np.concatenate([n for _, n in runs]), minlength=len(run)).astype(np.int64)
+    run, n = (np.concatenate(x) for x in zip(*runs))
+    order = np.argsort(run, kind="stable")  # quick on lists that are sorted already
+    run = run[order]
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    return run[first], np.add.reduceat(n[order], first)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -333,12 +410,11 @@ def grow(key, table):
     turn, where = np.unique(np.concatenate(lists), return_inverse=True)
     n = np.bincount(where.ravel(), weights=np.concatenate([unsqueezed(x) for x in table["n"].to_pylist()]), minlength=len(turn))
     where = np.split(where.ravel(), np.cumsum([len(x) for x in lists])[:-1])
-    words, uses = [unlisted(x) for x in table["words"].to_pylist()], Counter()
-    for mine, x in zip(words, table["uses"].to_pylist()):
-        for w, c in zip(mine, unsqueezed(x).tolist()):
-            uses[w] += c
-    rows = [{"block": b, "runs": rising(at), "c": squeezed(np.array([uses[w] for w in mine], np.int64))} for b, at, mine in zip(blocks, where, words)]
-    whole = {"block": None, "runs": rising(turn), "n": squeezed(n), "total": sum(uses.values()), "known": sum(c > 0 for c in uses.values())}
+    words = [unlisted_words(x) for x in table["words"].to_pylist()]
+    _, uses, mine = counted(pa.concat_arrays(words), np.concatenate([unsqueezed(x) for x in table["uses"].to_pylist()]))
+    mine = np.split(uses[mine], np.cumsum([len(x) for x in words])[:-1])
+    rows = [{"block": b, "runs": rising(at), "c": squeezed(c)} for b, at, c in zip(blocks, where, mine)]
+    whole = {"block": None, "runs": rising(turn), "n": squeezed(n), "total": int(uses.sum()), "known": int((uses > 0).sum())}
     if len(turn):
         top = layers_of(turn.astype(np.uint64), n)[-1]
         whole |= {"node": squeezed(top.named(NEAR)), **{c: squeezed(np.concatenate(v)) for c, v in (("zeros", top.zeros), ("ones", top.ones), ("log", top.log))}}
@@ -449,35 +525,37 @@ def scored(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -
             names += part["key"].chunks
             marks += part["held_out"].chunks
         got = {g: (s, c) for g, s, c in zip(right["grp"].to_pylist(), right["score"].to_pylist(), right["c"].to_pylist())}
-        pieces, words = [], set()
+        pieces = []
         for some in texts:  # the block's runs once more, which its scores follow in order
             raw = [folded(t) for t in some.to_pylist()]
-            own, at = np.unique(runs_of(raw)[0], return_inverse=True)
-            pieces.append((raw, own, at.ravel().astype(np.int32)))
-            for t in raw:
-                words.update(t.split())
-        words.add(END)
-        runs = np.unique(np.concatenate([p[1] for p in pieces]))
+            words, sizes = words_of(raw)
+            words, _, word = counted(words, np.zeros(len(words)))
+            pieces.append((np.array([len(t) + 1 for t in raw]), *ranked_runs(raw), sizes, words, word))
+        runs = np.sort(np.concatenate([p[1] for p in pieces]))
+        runs = runs[np.r_[True, runs[1:] != runs[:-1]]]
         _, order, _ = dealt_runs(runs, groups)
         value = np.empty(len(runs))
         value[order] = np.concatenate([unsqueezed(got[g][0]) for g in sorted(got)]) / -STEP
-        counts: dict[bytes, int] = {}
-        for g, mine in dealt_words(words, groups).items():
-            counts.update(zip(mine, unsqueezed(got[g][1]).tolist()))
-        log = {c: float(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))) for c in set(counts.values())}
+        words, _, place = counted(pa.concat_arrays([*[p[4] for p in pieces], pa.array([END], pa.large_binary())]), np.zeros(sum(len(p[4]) for p in pieces) + 1))
+        count = np.empty(len(words), np.int64)
+        count[dealt_words(words, groups)[0]] = np.concatenate([unsqueezed(got[g][1]) for g in sorted(got)])
+        count = count[place]
+        log = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
         out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
-        for raw, own, at in pieces:
-            starts = np.cumsum([0] + [len(t) + 1 for t in raw[:-1]])
-            sums = np.add.reduceat(value[np.searchsorted(runs, own)][at], starts)
-            for t, s in zip(raw, sums.tolist()):
-                c = [counts[w] for w in t.split()] + [counts[END]]
-                out["n_tokens"].append(len(c))
-                out["n_known"].append(len(c) - c.count(0))
-                out["base_score"].append(sum(n * log[v] for v, n in Counter(c).items()))
-                out["score"].append(s)
-                out["bits_per_byte"].append(-s / np.log10(2) / (len(t) + 1))
+        begin = 0
+        for length, own, at, sizes, words, word in pieces:
+            sums = np.add.reduceat(value[np.searchsorted(runs, own)][at], np.cumsum(length) - length)
+            edge = np.concatenate([[0], np.cumsum(sizes)])
+            known = np.concatenate([[0], np.cumsum((count[begin:begin + len(words)] > 0)[word])])
+            base = log[begin:begin + len(words)][word]
+            begin += len(words)
+            out["n_tokens"].append(sizes + 1)
+            out["n_known"].append(np.diff(known[edge]) + (count[-1] > 0))
+            out["base_score"].append([base[lo:hi].sum() + log[-1] for lo, hi in zip(edge, edge[1:])])
+            out["score"].append(sums)
+            out["bits_per_byte"].append(-sums / np.log10(2) / length)
         types = {"n_tokens": pa.int64(), "n_known": pa.int64()}
-        return pa.table({"key": pa.chunked_array(names), "held_out": pa.chunked_array(marks), **{n: pa.array(v, types.get(n, pa.float64())) for n, v in out.items()}})
+        return pa.table({"key": pa.chunked_array(names), "held_out": pa.chunked_array(marks), **{n: pa.array(np.concatenate(v), types.get(n, pa.float64())) for n, v in out.items()}})
 
     rows = placed.select("block", "docs").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         score, f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")

@@ -133,3 +133,46 @@ def test_packed_numbers_and_words_come_back():
     assert not len(tree.unsqueezed(tree.squeezed(x[:0]))) and tree.unlisted(tree.listed([])) == [] and tree.unlisted(tree.listed([b"a", tree.END])) == [b"a", tree.END]
     run = tree.runs_of(["abcabcd é".encode()])[0]
     assert (tree.turned(tree.turned(run)) == run).all()
+
+
+def test_runs_are_ranked_by_one_plain_sort(monkeypatch):
+    texts = [b"", b"the cat sat on the mat. " * 50, "sofør, schön\0 é".encode() * 9, b"", bytes(range(256)), b"\0" * 9, b"t"]
+    for some in (texts, texts[:1], texts[1:2], texts[5:]):
+        run, at = np.unique(tree.runs_of(some)[0], return_inverse=True)
+        got, place = tree.ranked_runs(some)
+        assert got.dtype == run.dtype and (got == run).all() and (place == at.ravel()).all()
+    plain = tree.runs_of(texts[1:3])[0]
+    monkeypatch.setattr(tree, "runs_of", None)  # usual texts never need the slower way
+    assert (tree.ranked_runs(texts[1:3])[0] == np.unique(plain)).all()
+
+
+def test_texts_of_too_many_letters_are_ranked_too():
+    raw = np.random.default_rng(3).integers(0, 256, 200_000).astype(np.uint8).tobytes()
+    run, at = np.unique(tree.runs_of([raw, raw[:99]])[0], return_inverse=True)
+    got, place = tree.ranked_runs([raw, raw[:99]])
+    assert (got == run).all() and (place == at.ravel()).all()
+
+
+def test_lists_of_runs_add_up():
+    rng = np.random.default_rng(5)
+    lists = [(np.unique(rng.integers(0, 99, 50).astype(np.uint64)),) for _ in range(4)]
+    lists = [(r, rng.integers(0, 5, len(r))) for (r,) in lists]
+    want = Counter()
+    for r, n in lists:
+        want.update({int(k): 0 for k in r})
+        for k, c in zip(r, n):
+            want[int(k)] += int(c)
+    run, n = tree.merged(lists)
+    assert dict(zip(run.tolist(), n.tolist())) == want and (np.diff(run.astype(np.int64)) > 0).all()
+
+
+def test_words_are_cut_and_counted_as_by_split():
+    texts = [b"", b" \t\n a\x0bb\x0cc\rd ", b"\x1c\x85 \xc2\xa0 e", b"   ", b"a a", b"", b"z"]
+    words, sizes = tree.words_of(texts)
+    assert words.to_pylist() == [w for t in texts for w in t.split()] and sizes.tolist() == [len(t.split()) for t in texts]
+    distinct, uses, at = tree.counted(words, np.arange(len(words)))
+    assert distinct.take(at).equals(words) and uses[distinct.to_pylist().index(b"a")] == sum(i for i, w in enumerate(words.to_pylist()) if w == b"a")
+    order, group = tree.dealt_words(distinct, 3)
+    mine = [distinct.to_pylist()[i] for i in order]
+    assert sorted(zip(group.tolist(), mine)) == list(zip(group.tolist(), mine)) and sorted(mine) == sorted(distinct.to_pylist())
+    assert not len(tree.words_of([b"", b" "])[0]) and tree.words_of([b"", b" "])[1].tolist() == [0, 0]
