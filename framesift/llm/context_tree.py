@@ -148,38 +148,88 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return run[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + starts[owner]], owner
 
 
-def ranked_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of `runs_of`, sorted, and the place of each byte's run among them. A run is named by the
-    numbers of its two three-byte stretches and of its last byte among those that occur; such names keep the order, and
-    if they leave room for the place in the text, one plain sort gives both."""
+def run_names(texts: list[bytes], spare: int):
+    """A number for each run of `runs_of`, in the same order as runs, and what turns numbers back into runs; None if
+    that leaves fewer than `spare` bits. A run is named by its two three-byte stretches and its last byte, each
+    numbered among those that occur."""
     pad = b"\0" * DEPTH
     raw = np.frombuffer(pad + b"".join(t + b"\0" + pad for t in texts), np.uint8)
-    letter = np.cumsum(np.bincount(raw, minlength=256) > 0) - 1
-    letters, size = int(letter[-1]) + 1, np.array([len(t) + 1 for t in texts])
-    bits = len(raw).bit_length()
-    if DEPTH == 6 and letters**3 <= 8 * len(raw) + 1_000_000:
-        low = letter.astype(np.int32)[raw]
-        three = (low[:-2] * letters + low[1:-1]) * letters + low[2:]
-        seen = np.zeros(letters**3, bool)
-        seen[three] = True
-        number = np.cumsum(seen, dtype=np.int32)
-        threes = int(number[-1])
-        if threes**2 * letters << bits < 1 << 64:
-            mine = np.ones(len(raw) - DEPTH, bool)
-            mine[((np.cumsum(size + DEPTH) - DEPTH)[:, None] + np.arange(DEPTH)).ravel()] = False
-            dense = (number - 1)[three].astype(np.uint64)
-            name = (dense[:-4] * np.uint64(threes) + dense[3:-1]) * np.uint64(letters) + low[DEPTH:].astype(np.uint64)
-            name = name[mine] << np.uint64(bits) | np.arange(size.sum(), dtype=np.uint64)
-            name.sort()
-            where = (name & np.uint64((1 << bits) - 1)).astype(np.int64)
-            name >>= np.uint64(bits)
-            new = np.r_[True, name[1:] != name[:-1]]
-            at = np.empty(len(where), np.int32)
-            at[where] = np.cumsum(new, dtype=np.int32) - 1
-            end = np.flatnonzero(mine)[where[new]] + DEPTH
-            return sum(raw[end - k].astype(np.uint64) << np.uint64(8 * k) for k in range(DEPTH + 1)), at
-    run, at = np.unique(runs_of(texts)[0], return_inverse=True)
-    return run, at.ravel().astype(np.int32)
+    byte = np.flatnonzero(np.bincount(raw, minlength=256)).astype(np.uint64)
+    letters = len(byte)
+    if DEPTH != 6 or letters**3 > 8 * len(raw) + 1_000_000:
+        return None
+    number = np.zeros(256, np.uint32)
+    number[byte.astype(np.intp)] = np.arange(letters)
+    low = number[raw]
+    code = low[:-2] * np.uint32(letters)
+    code += low[1:-1]
+    code *= np.uint32(letters)
+    code += low[2:]
+    seen = np.zeros(letters**3, bool)
+    seen[code] = True
+    some = np.flatnonzero(seen)
+    if len(some) ** 2 * letters << spare >= 1 << 64:
+        return None
+    three = byte[some // letters**2] << np.uint64(16) | byte[some // letters % letters] << np.uint64(8) | byte[some % letters]
+    place = (np.cumsum(seen, dtype=np.int32) - 1).astype(np.uint32)[code]
+    del code
+    many, wide = np.uint64(len(some)), np.uint64(letters)
+    name = place[:-4].astype(np.uint64)
+    name *= many
+    name += place[3:-1]
+    name *= wide
+    name += low[DEPTH:]
+    del place, low
+    inside = np.ones(len(name), bool)
+    inside[((np.cumsum([len(t) + 1 + DEPTH for t in texts]) - DEPTH)[:, None] + np.arange(DEPTH)).ravel()] = False
+
+    def back(name):
+        stretch, last = np.divmod(name, wide)
+        far, near = np.divmod(stretch, many)
+        return three[far] << np.uint64(32) | three[near] << np.uint64(8) | byte[last]
+
+    return name[inside], back
+
+
+def ranked_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of `runs_of`, sorted, and the place of each byte's run among them: names and places share
+    a number, so that one plain sort gives both."""
+    size = sum(len(t) + 1 for t in texts)
+    bits = size.bit_length()
+    found = run_names(texts, bits)
+    if found is None:
+        run, at = np.unique(runs_of(texts)[0], return_inverse=True)
+        return run, at.ravel().astype(np.int32)
+    name, back = found
+    name <<= np.uint64(bits)
+    name |= np.arange(size, dtype=np.uint64)
+    name.sort()
+    where = (name & np.uint64((1 << bits) - 1)).view(np.int64)
+    name >>= np.uint64(bits)
+    new = np.r_[True, name[1:] != name[:-1]]
+    at = np.empty(size, np.int32)
+    at[where] = np.cumsum(new, dtype=np.int32) - 1
+    return back(name[new]), at
+
+
+def counted_runs(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of `runs_of`, sorted, and how often they occur in the texts marked in `train`."""
+    learned = np.repeat(train, [len(t) + 1 for t in texts])
+    found = run_names(texts, 1)
+    name, back = found or (runs_of(texts)[0], lambda run: run)
+    name <<= np.uint64(1)  # a run has 56 bits, so there is always room for one more
+    name |= learned
+    name.sort()
+    learned = (name & np.uint64(1)).view(np.int64)
+    name >>= np.uint64(1)
+    first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+    return back(name[first]), stretch_sums(learned, first)
+
+
+def stretch_sums(n: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the whole numbers from each place of `first` to the next."""
+    total = np.cumsum(n)
+    return np.diff(total[np.append(first[1:], len(n)) - 1], prepend=0)
 
 
 def turned(run: np.ndarray) -> np.ndarray:
@@ -193,8 +243,9 @@ def dealt_runs(run: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np
     the same NEAR nearest context bytes."""
     turn = turned(run)
     near = (turn >> np.uint64(8 * (DEPTH - NEAR + 1))) * np.uint64(0x9E3779B97F4A7C15)
-    group = ((near >> np.uint64(33)) % np.uint64(groups)).astype(np.int32)
-    order = np.lexsort((turn, group))
+    group = ((near >> np.uint64(33)) % np.uint64(groups)).astype(np.uint16 if groups < 1 << 16 else np.int32)  # 16 bits sort in one pass
+    order = np.argsort(turn)
+    order = order[np.argsort(group[order], kind="stable")]
     return turn, order, group[order]
 
 
@@ -216,19 +267,26 @@ def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
 def items(batches, groups: int):
     """What each block holds, one row per group: its byte runs and words, with their counts in training texts."""
 
+    def passed_words():
+        some, uses, _ = counted(pa.concat_arrays([*words, pa.array([END], pa.large_binary())]), np.concatenate([*used, [ends]]))
+        words.clear()
+        used.clear()
+        order, group = dealt_words(some, groups)
+        offsets, data = laid(pc.binary_join_element_wise(some.take(pa.array(order)), *(pa.scalar(x, pa.large_binary()) for x in (b"", b"\n"))))
+        uses, edges = uses[order], np.searchsorted(group, np.arange(groups + 1))
+        return [(listed([data[offsets[lo]:max(offsets[hi] - 1, offsets[lo])].tobytes()]), squeezed(uses[lo:hi])) for lo, hi in zip(edges, edges[1:])], np.diff(edges)
+
     def passed():
+        mine, sizes = passed_words()
         run, n = merged(runs)
+        runs.clear()
         turn, order, group = dealt_runs(run, groups)
         edges = np.searchsorted(group, np.arange(groups + 1))
-        mine, uses, _ = counted(pa.concat_arrays([*words, pa.array([END], pa.large_binary())]), np.concatenate([*used, [ends]]))
-        by_word, group = dealt_words(mine, groups)
-        offsets, data = laid(pc.binary_join_element_wise(mine.take(pa.array(by_word)), *(pa.scalar(x, pa.large_binary()) for x in (b"", b"\n"))))
-        uses, cuts = uses[by_word], np.searchsorted(group, np.arange(groups + 1))
         rows = []
-        for g, (lo, hi, first, last) in enumerate(zip(edges, edges[1:], cuts, cuts[1:])):
-            if lo < hi or first < last:
-                at, raw = order[lo:hi], data[offsets[first]:max(offsets[last] - 1, offsets[first])].tobytes()
-                rows.append((g, block, rising(turn[at]), squeezed(n[at]), listed([raw]), squeezed(uses[first:last])))
+        for g, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            if lo < hi or sizes[g]:
+                at = order[lo:hi]
+                rows.append((g, block, rising(turn[at]), squeezed(n[at]), *mine[g]))
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["grp", "block", "runs", "n", "words", "uses"])
 
@@ -241,9 +299,8 @@ def items(batches, groups: int):
                 block, words, used, ends, runs, weight = at, [], [], 0, [], 0
             part = unpacked(docs)
             texts, train = [folded(t) for t in part["text"].to_pylist()], np.array([not h for h in part["held_out"].to_pylist()])
-            run, place = ranked_runs(texts)
-            runs.append((run, np.bincount(place, weights=np.repeat(train, [len(t) + 1 for t in texts]), minlength=len(run)).astype(np.int64)))
-            weight += len(run)
+            runs.append(counted_runs(texts, train))
+            weight += len(runs[-1][0])
             some, sizes = words_of(texts)
             some, uses, _ = counted(some, np.repeat(train, sizes))
             words.append(some)
@@ -261,7 +318,7 @@ def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     order = np.argsort(run, kind="stable")  # quick on lists that are sorted already
     run = run[order]
     first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    return run[first], np.add.reduceat(n[order], first)
+    return run[first], stretch_sums(n[order], first)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -531,16 +588,17 @@ def scored(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -
             words, sizes = words_of(raw)
             words, _, word = counted(words, np.zeros(len(words)))
             pieces.append((np.array([len(t) + 1 for t in raw]), *ranked_runs(raw), sizes, words, word))
-        runs = np.sort(np.concatenate([p[1] for p in pieces]))
-        runs = runs[np.r_[True, runs[1:] != runs[:-1]]]
-        _, order, _ = dealt_runs(runs, groups)
-        value = np.empty(len(runs))
-        value[order] = np.concatenate([unsqueezed(got[g][0]) for g in sorted(got)]) / -STEP
         words, _, place = counted(pa.concat_arrays([*[p[4] for p in pieces], pa.array([END], pa.large_binary())]), np.zeros(sum(len(p[4]) for p in pieces) + 1))
         count = np.empty(len(words), np.int64)
         count[dealt_words(words, groups)[0]] = np.concatenate([unsqueezed(got[g][1]) for g in sorted(got)])
         count = count[place]
         log = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
+        runs = np.concatenate([p[1] for p in pieces])
+        runs.sort()
+        runs = runs[np.r_[True, runs[1:] != runs[:-1]]]
+        _, order, _ = dealt_runs(runs, groups)
+        value = np.empty(len(runs))
+        value[order] = np.concatenate([unsqueezed(got[g][0]) for g in sorted(got)]) / -STEP
         out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")}
         begin = 0
         for length, own, at, sizes, words, word in pieces:

@@ -153,6 +153,25 @@ def test_texts_of_too_many_letters_are_ranked_too():
     assert (got == run).all() and (place == at.ravel()).all()
 
 
+def test_runs_are_counted_in_the_texts_to_learn_from():
+    rng = np.random.default_rng(7)
+    odd = rng.integers(0, 256, 150_000).astype(np.uint8).tobytes()  # too many letters to number their threes
+    for texts in ([b"", b"abc abc abc", b"abc", b""], [b""], [odd, b"abc", odd[:50]]):
+        for train in (np.arange(len(texts)) % 2 == 1, np.zeros(len(texts), bool)):
+            runs, owner = tree.runs_of(texts)
+            run, at = np.unique(runs, return_inverse=True)
+            got, n = tree.counted_runs(texts, train)
+            assert (got == run).all() and (n == np.bincount(at.ravel(), weights=train[owner])).all()
+
+
+def test_runs_are_dealt_in_one_order():
+    run = np.unique(tree.runs_of([b"the cat sat on the mat, the dog sat on the log"])[0])
+    for groups in (1, 5, 70_000):
+        turn, order, group = tree.dealt_runs(run, groups)
+        got = list(zip(group.tolist(), turn[order].tolist()))
+        assert got == sorted(got) and sorted(order.tolist()) == list(range(len(run))) and max(group) < groups
+
+
 def test_lists_of_runs_add_up():
     rng = np.random.default_rng(5)
     lists = [(np.unique(rng.integers(0, 99, 50).astype(np.uint64)),) for _ in range(4)]
