@@ -1,8 +1,10 @@
+import cProfile
 import math
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,18 @@ def test_words_are_cut_and_counted_as_by_split():
     mine = [distinct.to_pylist()[i] for i in order]
     assert sorted(zip(group.tolist(), mine)) == list(zip(group.tolist(), mine)) and sorted(mine) == sorted(distinct.to_pylist())
     assert not len(tree.words_of([b"", b" "])[0]) and tree.words_of([b"", b" "])[1].tolist() == [0, 0]
+
+
+def test_a_block_takes_one_call_per_different_word():
+    """Words are counted and dealt as arrays; only their group is found one by one."""
+    words = [f"w{i}" for i in range(30_000)]
+    docs = pa.record_batch({"key": [1, 2], "held_out": [False, True], "text": [" ".join(words), " ".join(words[::2])]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as out:
+        out.write_batch(docs)
+    batch = pa.record_batch({"block": [0], "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    profile = cProfile.Profile()
+    rows = profile.runcall(lambda: list(tree.items([batch], 4)))[0].to_pylist()
+    assert sorted(w for r in rows for w in tree.unlisted(r["words"])) == sorted([w.encode() for w in words] + [tree.END])
+    assert sum(tree.unsqueezed(r["uses"]).sum() for r in rows) == 30_001
+    assert sum(e.callcount for e in profile.getstats()) < 2 * len(words)
