@@ -109,10 +109,22 @@ def s3(spark, sf):
   round(20 * log10(value + 1e-9), 6) AS db, round(2595 * log10(1 + value / 700), 6) AS mel FROM events""")
 def s4(spark, sf):
     v = F.col("value")
-    ln = F.when(v == 0, LIT(float("-inf"))).otherwise(F.log(v))  # Spark's own logarithm of 0 is NULL
+    fine = {"ln": whole_log(F.log, v), "ex": F.exp(-v / 100), "sig": sigmoid((v - 50) / 10), "db": 20 * whole_log(F.log10, v + 1e-9), "mel": 2595 * whole_log(F.log10, 1 + v / 700)}
     return table(spark, sf, "events").select(
-        "event_id", F.floor(v).alias("fl"), F.ceil(v).alias("ce"), F.bround(v * 2, 0).alias("re"), F.least(F.greatest(v, LIT(5.0)), LIT(50.0)).alias("clip"), F.round(ln, 6).alias("ln"),
-        F.round(F.exp(-v / 100), 6).alias("ex"), F.round(sigmoid((v - 50) / 10), 6).alias("sig"), F.round(20 * F.log10(v + 1e-9), 6).alias("db"), F.round(2595 * F.log10(1 + v / 700), 6).alias("mel"))
+        "event_id", F.floor(v).alias("fl"), F.ceil(v).alias("ce"), F.rint(v * 2).alias("re"), F.least(F.greatest(v, LIT(5.0)), LIT(50.0)).alias("clip"), *[x.alias(c) for c, x in fine.items()]
+    ).withColumns({c: six(F.col(c)) for c in fine})
+
+
+def whole_log(log, x):
+    """A logarithm with SQL's values at 0 (minus infinity) and below (NaN), where Spark's own are NULL."""
+    return F.when(x == 0, LIT(float("-inf"))).when(x < 0, LIT(float("nan"))).otherwise(log(x))
+
+
+def six(x):
+    """Six decimals as SQL rounds them: by the product with 10^6, zeros keep their sign. Spark's own rounding goes by
+    the shortest decimal, which may tie where the product does not."""
+    whole = F.round(x * 1e6, 0)
+    return F.when(whole == 0, x * 0.0).otherwise(whole / 1e6)
 
 
 @query("s5_arrays", "S5", f"""WITH {VECTORS} SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_dot_product(v[1:32], v[33:64]), 6) AS dot, len(list_filter(v, lambda x: x > 0)) AS positive, list_position(v, list_max(v))::BIGINT AS top, round(list_sort(v)[1], 6) AS least FROM vectors""")

@@ -2,6 +2,8 @@
 
 import math
 
+import duckdb
+
 from framesift.operators import signals as G
 from framesift.plans import load_all
 from framesift.session import workspace
@@ -30,3 +32,15 @@ def test_logarithm_of_zero(spark):
     path = events(spark, [(1, "view", 0.0), (1, "view", 1.0)])
     got = {r["event_id"]: r["ln"] for r in load_all()["s4_math"].build(spark, path).collect()}
     assert got == {0: -math.inf, 1: 0.0}
+
+
+def test_logarithms_below_zero_and_six_decimals_as_in_sql(spark):
+    values = [50.00002, -0.01, -1e-9, -700.0, -800.0, None, 29.27]
+    path = events(spark, [(1, "view", v) for v in values])
+    q = load_all()["s4_math"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    want = con.execute(q.sql).fetchall()
+    names = [c[0] for c in con.description]
+    got = [tuple(r) for r in q.build(spark, path).select(names).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
