@@ -2,7 +2,8 @@
 
 Tokens are hashed windows of five words. Texts with the same set are one node, so copies never meet in
 pairs. Every run sends a set of n tokens to the buckets of tokens drawn with probability 1 / (0.8 n) by a
-hash all sets share; too large buckets split again on further draws. Buckets are compared by bottom-k
+hash all sets share; too large buckets split again on further draws, and what stays too large by the rarest
+tokens of each set, one of which similar sets share. Buckets are compared by bottom-k
 sketches and give one edge per member, not all pairs. Each group so connected is then compared
 exactly, in tiles of bounded size. The runs are as many as the target recall asks for.
 """
@@ -25,6 +26,8 @@ RECALL = 1 - 1e-6  # of each pair at the wanted similarity
 DEPTH, WIDER = 2, 2.0  # levels of splitting; draws at the lower ones, in units of 1 / LEVEL
 BUCKET = 4096  # sets that are compared at once
 SKETCH = 64
+MISSED = 1e-8  # of the pairs at the wanted similarity, by their sketches
+COMMON, COMMON_KEPT = 256, 100_000  # sets of too large buckets that make a token a common one; such tokens at most
 TILE, TILE_TOKENS = 1024, 4_000_000  # sets and tokens that are compared exactly at once
 CHECKED_BROADCAST = 1_000_000  # keys; beyond that the join shuffles
 ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -142,11 +145,7 @@ def leaves(first: DataFrame, tokens_for) -> DataFrame:
         found.append(whole_buckets(rows.join(large, "bucket", "left_anti")))
         again = rows.join(large, "bucket")
         if level == DEPTH:
-            tiles = F.ceil(F.col("_n") * 2 / BUCKET).cast("int")
-            own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-            other = F.explode(F.sequence(F.lit(0), tiles - 1))
-            tiled = again.withColumn("_own", own).withColumn("_other", other)
-            found.append(tiled.select(F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("leaf"), "node"))
+            found += rare_buckets(tokens_for(again.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))))
             break
         again = again.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # buckets of one set, a few per run
         rows = written(tokens_for(again).mapInArrow(split, "bucket long, node binary").distinct(), "join_level")
@@ -170,6 +169,51 @@ def split(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket) if bucket else [], pa.int64()), pa.array(node, pa.binary())], ["bucket", "node"])
 
 
+def rare_buckets(rows: DataFrame) -> list[DataFrame]:
+    """(leaf, node) of sets (node, tokens) by the tokens one of which every two similar sets share: the first
+    fifth of a set, common tokens of all these sets last. Buckets still too large are cut into tiles, every two of which meet."""
+    sets = written(rows.select("node", "tokens").where(F.length("tokens") > 0), "join_rest")
+
+    def listed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b["tokens"].to_pylist()), np.int64))], ["token"])
+
+    counts = sets.select("tokens").mapInArrow(listed, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    total = sets.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
+    common = counts.where(F.col("_n") >= max(COMMON, total / COMMON_KEPT))
+    ranked = common.sort("token").toArrow()
+    ranks = sets.sparkSession.sparkContext.broadcast([ranked[c].to_numpy() for c in ("token", "_n")])
+
+    def first(batches):
+        token, often = ranks.value
+        for b in batches:
+            bucket, node = [], []
+            for name, raw in zip(b["node"].to_pylist(), b["tokens"].to_pylist()):
+                own = np.frombuffer(raw, np.int64)
+                at = np.minimum(np.searchsorted(token, own), max(len(token) - 1, 0))
+                n = np.where(token[at] == own, often[at], 0) if len(token) else np.zeros(len(own), np.int64)
+                bucket.append(own[np.lexsort((own, n))[:prefix(len(own))]])
+                node += [name] * len(bucket[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket) if bucket else [], pa.int64()), pa.array(node, pa.binary())], ["bucket", "node"])
+
+    rows = written(sets.mapInArrow(first, "bucket long, node binary").distinct(), "join_rare")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+    large = written(sizes.where(F.col("_n") > BUCKET), "join_large")
+    if large.isEmpty():
+        return [whole_buckets(rows)]
+    tiles = F.ceil(F.col("_n") * 2 / BUCKET).cast("int")
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    other = F.explode(F.sequence(F.lit(0), tiles - 1))
+    tiled = rows.join(large, "bucket").withColumn("_own", own).withColumn("_other", other)
+    return [whole_buckets(rows.join(large, "bucket", "left_anti")),
+            tiled.select(F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("leaf"), "node")]
+
+
+def prefix(n: int) -> int:
+    """Tokens of a set of n, first in one order of all, one of which each similar set has among its own first ones."""
+    return n - (4 * n + 4) // 5 + 1
+
+
 def whole_buckets(rows: DataFrame) -> DataFrame:
     """Buckets as (leaf, node); buckets with the same members count once. None holds more than BUCKET sets."""
     lists = rows.groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
@@ -225,6 +269,41 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def least_shared() -> np.ndarray:
+    """For the summed sizes of two similar sets, not both in their sketches: hashes their sketches share, less often with chance MISSED.
+
+    Of the SKETCH least hashes of the union those of both sets are in both sketches; their number is hypergeometric.
+    """
+    total = np.arange(SKETCH, 64 * SKETCH)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, len(total) + SKETCH)))])  # of factorials
+    union = 5 * total // 9
+    both, k = total - union, np.arange(SKETCH + 1)[:, None]
+
+    def ways(n, k):
+        good = (k >= 0) & (k <= n)
+        k = np.where(good, k, 0)
+        return np.where(good, logs[n] - logs[k] - logs[n - k], -np.inf)
+
+    with np.errstate(invalid="ignore"):
+        chance = np.exp(ways(both[None, :], k) + ways((union - both)[None, :], SKETCH - k) - ways(union, np.full_like(union, SKETCH))[None, :])
+    chance[:, -1] = [math.comb(SKETCH, k) * LEVEL**k * (1 - LEVEL)**(SKETCH - k) for k in range(SKETCH + 1)]  # for all larger ones
+    below = np.cumsum(np.nan_to_num(chance), 0)
+    return np.concatenate([np.zeros(SKETCH, np.int64), (below <= MISSED).sum(0)])
+
+
+LEAST_SHARED = least_shared()
+
+
+def alike(shared: np.ndarray, n: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """Which sets of n tokens may be similar by the hashes their sketches share, of which each has `lost` some.
+
+    Sets that fit their sketches are compared exactly, others by the least number similar ones share.
+    """
+    total, most = n[:, None] + n[None, :], np.maximum(n[:, None], n[None, :])
+    need = np.where(most <= SKETCH, (4 * total + 8) // 9, LEAST_SHARED[np.minimum(total, len(LEAST_SHARED) - 1)])
+    return (5 * np.minimum(n[:, None], n[None, :]) >= 4 * most) & (shared + np.maximum(lost[:, None], lost[None, :]) >= need)
+
+
 def sketch_edges(batches):
     """One edge from each set of a bucket to the first it may be similar to, over others."""
     for group in by_group(batches, "leaf"):
@@ -233,11 +312,10 @@ def sketch_edges(batches):
         nodes, at = list(first), list(first.values())
         if len(nodes) < 2:
             continue
-        raw = group["sketch"].to_pylist()
-        sketches = [np.unique(np.frombuffer(raw[i], np.uint32)) for i in at]
-        size = np.array([len(s) for s in sketches])
-        linked = 2 * overlaps(sketches) >= np.minimum(size[:, None], size[None, :])
-        root = roots(linked)
+        raw = [np.frombuffer(x, np.uint32) for x in group["sketch"].take(at).to_pylist()]
+        sketches = [np.unique(x) for x in raw]
+        lost = np.array([len(x) - len(y) for x, y in zip(raw, sketches)])
+        root = roots(alike(overlaps(sketches), group["n"].to_numpy()[at], lost))
         edge = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in edge], pa.binary()), pa.array([nodes[i] for i in root[edge]], pa.binary())], ["src", "dst"])
 
@@ -276,7 +354,7 @@ def similar_sets(docs: DataFrame, key: str, text: str, recall: float) -> tuple[D
         return with_tokens(docs, written(rows.join(keys, "node").select("key", "node", "buckets"), "join_split"), key, text)
 
     found = written(leaves(first, tokens_for), "join_leaves")
-    rows = found.join(nodes.select("node", "sketch"), "node")
+    rows = found.join(nodes.select("node", "n", "sketch"), "node")
     edges = written(rows.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(sketch_edges, "src binary, dst binary").distinct(), "join_edges")
     group = connected_components(edges).withColumnRenamed("component", "group")
     member = written(group.join(nodes.select("node", "key", "n", "copies"), "node"), "join_members")

@@ -83,3 +83,41 @@ def test_deduplicated_with_repeated_and_null_keys(spark, docs_of):
     assert near_join.deduplicated(docs_of([])).count() == 0
     nulls = near_join.joined(docs_of([(None, long), (8, long)])).collect()
     assert {r.n_links for r in nulls} == {1}
+
+
+def leaf_rows(monkeypatch):
+    """Tables a join writes, by name."""
+    seen, plain = {}, near_join.written
+    monkeypatch.setattr(near_join, "written", lambda df, name: seen.setdefault(name, plain(df, name)))
+    return seen
+
+
+def test_a_common_line_does_not_multiply_rows(spark, docs_of, monkeypatch):
+    """Texts that share a line and little else meet in one bucket that draws do not split; no rows for each two parts of it."""
+    monkeypatch.setattr(near_join, "BUCKET", 16)
+    monkeypatch.setattr(near_join, "COMMON", 8)
+    r = random.Random(5)
+    line = " ".join(f"common{i}" for i in range(30))
+    texts = [line + " " + " ".join(r.choices([f"v{i}" for i in range(500)], k=20)) for _ in range(300)]
+    rows = list(enumerate(texts + [t + " more" for t in texts[:40]]))
+    seen = leaf_rows(monkeypatch)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_join.joined(docs_of(rows)).collect())
+    assert got == brute(rows)
+    assert seen["join_leaves"].count() < 20 * len(rows)
+    assert seen["join_edges"].count() < len(rows)  # texts that share a line only are no group
+
+
+def test_similar_sets_share_enough_of_their_sketches():
+    r = np.random.default_rng(1)
+    for n in (1, 3, 5, 20, 60, 64, 65, 80, 130, 400, 3000):
+        for m in {n, -(-4 * n // 5), n * 5 // 4}:
+            both = -(-4 * (n + m) // 9)
+            if both > min(n, m):
+                continue
+            for _ in range(20):
+                x = r.integers(0, 2**63, n + m - both).astype(np.uint64)
+                sketches = [np.unique(near_join.sketch_of(s)) for s in (x[:n], x[n - both:])]
+                lost = np.array([min(k, near_join.SKETCH) - len(s) for k, s in zip((n, m), sketches)])
+                assert near_join.alike(near_join.overlaps(sketches), np.array([n, m]), lost)[0, 1], (n, m)
+    far = [near_join.sketch_of(s) for s in (x[:50], x[25:75], x[:120])]
+    assert not near_join.alike(near_join.overlaps(far), np.array([50, 50, 120]), np.zeros(3, int))[np.triu_indices(3, 1)].any()
