@@ -1,15 +1,17 @@
 """Steps that need few sorts in one task, whose memory is what a task needs, and give the same rows cut or not."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from framesift.operators import allocate as A
-from framesift.operators import ordered
+from framesift.operators import components, ordered
 from framesift.operators.components import connected_components
 from framesift.operators.intervals import cell_cover
 from framesift.operators.ordered import dealt
 from framesift.plans import fixtures
+from framesift.session import shared_folder
 from framesift.sources.manifest import finalize
 
 
@@ -70,3 +72,49 @@ def test_steps_take_the_parts(spark, monkeypatch):
     rows = spark.range(1000).selectExpr("id % 300 AS key", "id AS sample_id")
     kept, missing = finalize(spark.range(301).toDF("key"), rows, rows.selectExpr("sample_id", "'keep' AS decision"))
     assert kept.count() == 1000 and missing.count() == 1 and kept.rdd.getNumPartitions() == 10
+
+
+def groups_of(edges):
+    """Node → smallest node of its group, by plain union."""
+    up = {}
+
+    def top(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in up}
+
+
+def test_components_equal_plain_groups_in_any_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", 4)
+    monkeypatch.setattr(components, "HELD", 16)
+    rnd = random.Random(2)
+    some = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(600)]
+    chain = [(1000 + i, 1001 + i) for i in range(400)]
+    hub = [(2000, 2000 + i) for i in range(300)]
+    edges = some + chain + hub + [(5000, 5000), (6000, None), (None, None)]
+    rnd.shuffle(edges)
+    want = groups_of([(a if a is not None else b, b if b is not None else a) for a, b in edges if (a, b) != (None, None)])
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    found = components.number_components(df).collect()
+    least = {}
+    for r in found:
+        least[r["root"]] = min(least.get(r["root"], r["node"]), r["node"])
+    assert len(found) == len(want) and {r["node"]: least[r["root"]] for r in found} == want
+    names = connected_components(df.selectExpr("lpad(src, 5, '0') AS src", "lpad(dst, 5, '0') AS dst")).collect()
+    assert {r["node"]: r["component"] for r in names if r["node"]} == {f"{n:05d}": f"{c:05d}" for n, c in want.items()}
+
+
+def test_components_write_less_than_their_edges(spark):
+    """A graph of many edges and few nodes goes to disk as nodes, not as edges in every round."""
+    folder = Path(shared_folder(spark).replace("file:", ""))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    edges = spark.range(300_000).selectExpr("concat('a', pmod(hash(id), 400)) AS src", "concat('b', pmod(hash(id, 1), 400)) AS dst")
+    assert connected_components(edges).agg(F.count("*"), F.countDistinct("component")).first()[:] == (800, 1)
+    assert size() - before < 500_000
